@@ -11,8 +11,8 @@ that a third of all documents share costs one row for each block. The text cross
 three passes read the same exchange.
 
 The earlier place is the one with the smaller doc_id, or the earlier start in the same document. Defined results:
-null or empty text: no words. Null doc_id: comes before all others. Rows with the same doc_id: the one with the smaller xxhash64 of
-its text comes first; equal ones in the order of arrival in their block. Other columns are ignored.
+null or empty text: no words. Null doc_id: comes before all others. Rows with the same doc_id: those in the lower block
+come first, in a block those with the smaller xxhash64 of their text; equal ones in the order of arrival. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,12 +86,12 @@ def repeats(docs: DataFrame, length: int = 20, block_bytes: int = BLOCK_BYTES) -
 
     def seeded(key: tuple, block: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(seeds):
-            return pd.DataFrame({"block": [], "hash": [], "doc_id": [], "text_hash": [], "start": [], "n": []})
+            return pd.DataFrame({"hash": [], "doc_id": [], "place": []})
         w = Windows(block, length)
         pick = np.flatnonzero(np.isin(w.anchor, seeds["anchor"].to_numpy()))
         hash_, first, n = np.unique(w.hash[pick], return_index=True, return_counts=True)  # rows are in order, so the first is the earliest
         at = pick[first]
-        return pd.DataFrame({"block": key[0], "hash": hash_, "doc_id": w.ids[w.row[at]], "text_hash": w.rows["text_hash"].to_numpy()[w.row[at]], "start": w.start[at], "n": n})
+        return pd.DataFrame({"hash": hash_, "doc_id": w.ids[w.row[at]], "place": key[0] << 40 | w.start[at] << 1 | (n > 1)})
 
     def cut(key: tuple, block: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
@@ -99,19 +99,14 @@ def repeats(docs: DataFrame, length: int = 20, block_bytes: int = BLOCK_BYTES) -
         w = Windows(block, length)
         gone = np.zeros(int(w.sizes.sum()) + 1, np.int64)
         if len(shared):
-            shared = shared.sort_values("hash").reset_index(drop=True)
-            known = shared["hash"].to_numpy()
+            shared = shared.sort_values("hash")
+            known, mine = shared["hash"].to_numpy(), shared["mine"].to_numpy(bool)
             i = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
             hit = np.flatnonzero(known[i] == w.hash)
-            i = i[hit]
-            same = (shared["doc_id"].to_numpy()[i] == w.ids[w.row[hit]]) & (shared["text_hash"].to_numpy()[i] == w.rows["text_hash"].to_numpy()[w.row[hit]]) & (shared["start"].to_numpy()[i] == w.start[hit])
-            # rows that repeat a whole document have the first place's id, text and start: all but one of them go
-            first = np.zeros(len(hit), bool)
-            if same.any():
-                places = np.flatnonzero(same)
-                _, one = np.unique(w.hash[hit[places]], return_index=True)
-                first[places[one]] = True
-            at = w.at[hit[~first]]
+            _, earliest = np.unique(w.hash[hit], return_index=True)
+            stays = np.zeros(len(hit), bool)
+            stays[earliest] = mine[i[hit[earliest]]]
+            at = w.at[hit[~stays]]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + length, -1)
         gone = np.cumsum(gone[:-1]) > 0
@@ -130,8 +125,9 @@ def repeats(docs: DataFrame, length: int = 20, block_bytes: int = BLOCK_BYTES) -
     blocks = rows.groupBy("block")
     seeds = blocks.applyInPandas(anchors, "block int, anchor long, n long")
     seeds = seeds.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1").select("block", "anchor")
-    found = blocks.cogroup(seeds.groupBy("block")).applyInPandas(seeded, "block int, hash long, doc_id long, text_hash long, start long, n long")
+    # place: block, start, and whether the block has the window more than once; mine: the earliest place of all is this block's
+    found = blocks.cogroup(seeds.groupBy("block")).applyInPandas(seeded, "hash long, doc_id long, place long")
     by_hash = Window.partitionBy("hash")
-    found = found.withColumn("all", F.sum("n").over(by_hash)).withColumn("low", F.min(F.struct("doc_id", "text_hash", "start")).over(by_hash)).where("all > 1")
-    shared = found.select("block", "hash", "low.doc_id", "low.text_hash", "low.start")
+    found = found.withColumns({"low": F.min(F.struct("doc_id", "place")).over(by_hash), "blocks": F.count("*").over(by_hash)}).where("blocks > 1 or place % 2 = 1")
+    shared = found.select((F.shiftright("place", 40)).cast("int").alias("block"), "hash", (F.col("low.place") == F.col("place")).alias("mine"))
     return blocks.cogroup(shared.groupBy("block")).applyInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<begin:long,end:long>>")
