@@ -35,23 +35,23 @@ FIRST, LAST = 49408, 1 << 16
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, blob binary"
 
 
-def replace_pairs(ids: np.ndarray, end: int = END, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def replace_pairs(ids: np.ndarray, end: int = END, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): frequent pairs replaced until none comes ``least`` times or the rules run out; no rule crosses an end.
 
-    Each round counts all pairs (in 2**20 hashed cells) and replaces those at least a quarter as frequent as the first.
+    Each round counts all pairs (in 2**18 hashed cells) and replaces those at least a sixteenth as frequent as the first.
     """
     a, rules = ids.astype(np.uint32), []
     while len(a) > 1 and len(rules) < LAST - FIRST:
-        cell = ((a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)
+        cell = ((a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
         cell[a[:-1] == end] = 0
-        count = np.bincount(cell, minlength=1 << 20)
+        count = np.bincount(cell, minlength=1 << 18)
         count[0] = 0
         top = int(count.max())
         if top < least:
             break
-        pick = np.flatnonzero(count >= max(least, top // 4))
+        pick = np.flatnonzero(count >= max(least, top // 16))
         pick = pick[np.argsort(-count[pick], kind="stable")][: LAST - FIRST - len(rules)]
-        rule = np.zeros(1 << 20, np.uint32)
+        rule = np.zeros(1 << 18, np.uint32)
         rule[pick] = np.arange(FIRST + len(rules), FIRST + len(rules) + len(pick))
         at = np.flatnonzero(rule[cell])
         name = rule[cell[at]] - FIRST - len(rules)
@@ -112,20 +112,28 @@ class Shard:
         self.lengths = take("<u4", docs).astype(np.int64)
         self.rules, self.expands = take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take("<u2", symbols)
-        self.words = list(_TERMINALS)
+        words = list(_TERMINALS)
         for x, y in self.rules.tolist():
-            self.words.append(self.words[x] + self.words[y])
+            words.append(words[x] + words[y])
+        self.words = np.frombuffer(b"".join(words), "<u4")  # what each symbol stands for, one after the other
+        self.width = np.r_[np.ones(FIRST, np.int64), self.expands.astype(np.int64)]
+        self.where = np.cumsum(self.width) - self.width
+
+    def _expand(self, symbols: np.ndarray) -> bytes:
+        width = self.width[symbols]
+        stop = np.cumsum(width)
+        shift = np.repeat(self.where[symbols] - stop + width, width)
+        return self.words[shift + np.arange(len(shift))].tobytes()
 
     def decode(self) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.symbols.tolist()))
+        return self._expand(self.symbols)
 
     def decode_range(self, begin: int, end: int) -> bytes:
         """Ids begin..end-1, from the symbols that cover them alone."""
-        width = np.r_[np.ones(FIRST, np.int64), self.expands.astype(np.int64)][self.symbols]
-        stop = np.cumsum(width)
+        stop = np.cumsum(self.width[self.symbols])
         first, last = np.searchsorted(stop, begin, "right"), np.searchsorted(stop, end, "left")
         skip = begin - int(stop[first - 1] if first else 0)
-        raw = b"".join(map(self.words.__getitem__, self.symbols[first : last + 1].tolist()))
+        raw = self._expand(self.symbols[first : last + 1])
         return raw[4 * skip : 4 * (skip + end - begin)]
 
 

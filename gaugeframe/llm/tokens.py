@@ -8,7 +8,7 @@ that hold a special token go through the whole tokenizer.
 from __future__ import annotations
 
 import os
-import struct
+from array import array
 
 import public_tokenizers
 import regex
@@ -26,61 +26,78 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Parts(dict):
+    """Ids of pattern matches, made when first asked for."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        raw = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
+        out = self[part] = array("I", [t.id for t in self.model(raw)]).tobytes()
+        return out
+
+
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of the latest words, at most 2 x ``most``."""
 
-    def __init__(self, path: str = WORD_BPE, most: int = 400_000):
+    def __init__(self, path: str = WORD_BPE, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.normal, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+        self.normal = self.tokenizer.normalizer.normalize_str
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(PATTERN).findall
-        self.letters = byte_letters()
+        self.pieces = regex.compile(PATTERN + "| ").findall
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self.tokenizer.model.tokenize)
         self.most = most
-        if self._word(b"Don't-\xc3\x89a9") != self._whole("Don't-Éa9"):
-            self._word = lambda w: self._whole(w.decode("utf-8", "replace"))
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            raw = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = [t.id for t in self.model(raw)]
-            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        if b"<|" in word and any(s in word for s in self.special):
-            return self._whole(word.decode("utf-8", "replace"))
-        text = word.decode("utf-8", "replace")
-        text = text.lower() if text.isascii() else self.normal(text)
-        if text.isalpha():
-            return self._part(text)
-        return b"".join(map(self._part, self.pieces(text)))
+        self.apart = self._together([b"Don't-\xc3\x89a9"]) == [self._whole(b"Don't-\xc3\x89a9")]
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _together(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words that hold no white space after normalizing; else None."""
+        text = b" ".join(words).decode("utf-8", "replace")
+        out, ids, parts = [], [], self.parts
+        for x in self.pieces(text.lower() if text.isascii() else self.normal(text)):
+            if x == " ":
+                out.append(b"".join(ids))
+                ids = []
+            else:
+                ids.append(parts[x])
+        out.append(b"".join(ids))
+        return out if len(out) == len(words) else None
+
+    def _learn(self, new: list[bytes]) -> None:
+        special = {w for w in new if b"<|" in w and any(s in w for s in self.special)} if self.apart else set(new)
+        for w in special:
+            self.known[w] = self._whole(w)
+        for ascii_ in (True, False):
+            words = [w for w in new if w.isascii() == ascii_ and w not in special]
+            for k in range(0, len(words), 256):
+                part = words[k : k + 256]
+                ids = self._together(part)
+                self.known.update(zip(part, ids if ids is not None else map(self._whole, part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if len(self.known) > self.most:
-                self.known, self.older = {}, self.known
-            if len(self.parts) > self.most:
-                self.parts = {}
-            split = text.encode("utf-8", "surrogatepass").split() if text else []
-            known = self.known
-            try:
-                out.append(b"".join(map(known.__getitem__, split)))
-            except KeyError:
-                for w in split:
-                    if w not in known:
-                        known[w] = self.older.get(w) or self._word(w)
-                out.append(b"".join(map(known.__getitem__, split)))
-        return out
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        known, older = self.known, self.older
+        splits = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        met = set().union(*splits)
+        new = []
+        for w in met:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        if new:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, s)) for s in splits]
 
 
 _ENCODERS: dict[str, Encoder] = {}
