@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from gaugeframe.llm.common import hashes, rolled, with_block, words
 
 SEED = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 
 
