@@ -28,30 +28,30 @@ from pyspark.sql.window import Window
 
 from gaugeframe.llm.tokens import WORD_BPE, encoder
 
-END, SHARD = 2, 1 << 20
+END, SHARD = 2, 1 << 18
 MAGIC = b"GFRP0001"
 #: The first nonterminal: the vocabulary has 49,408 ids. A symbol has 16 bits, so a shard has at most 16,128 rules.
 FIRST, LAST = 49408, 1 << 16
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, blob binary"
 
 
-def replace_pairs(ids: np.ndarray, end: int = END, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def replace_pairs(ids: np.ndarray, end: int = END, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): frequent pairs replaced until none comes ``least`` times or the rules run out; no rule crosses an end.
 
-    Each round counts all pairs (in 2**18 hashed cells) and replaces those at least a sixteenth as frequent as the first.
+    Each round counts all pairs (in 2**16 hashed cells) and replaces those at least a 32nd as frequent as the first.
     """
     a, rules = ids.astype(np.uint32), []
     while len(a) > 1 and len(rules) < LAST - FIRST:
-        cell = ((a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
+        cell = ((a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))) >> np.uint32(16)
         cell[a[:-1] == end] = 0
-        count = np.bincount(cell, minlength=1 << 18)
+        count = np.bincount(cell, minlength=1 << 16)
         count[0] = 0
         top = int(count.max())
         if top < least:
             break
-        pick = np.flatnonzero(count >= max(least, top // 16))
+        pick = np.flatnonzero(count >= max(least, top // 32))
         pick = pick[np.argsort(-count[pick], kind="stable")][: LAST - FIRST - len(rules)]
-        rule = np.zeros(1 << 18, np.uint32)
+        rule = np.zeros(1 << 16, np.uint32)
         rule[pick] = np.arange(FIRST + len(rules), FIRST + len(rules) + len(pick))
         at = np.flatnonzero(rule[cell])
         name = rule[cell[at]] - FIRST - len(rules)

@@ -41,7 +41,7 @@ class _Parts(dict):
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of the latest words, at most 2 x ``most``."""
 
-    def __init__(self, path: str = WORD_BPE, most: int = 500_000):
+    def __init__(self, path: str = WORD_BPE, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.normal = self.tokenizer.normalizer.normalize_str
@@ -86,18 +86,23 @@ class Encoder:
         if len(self.parts) > self.most:
             self.parts.clear()
         known, older = self.known, self.older
-        splits = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        met = set().union(*splits)
-        new = []
-        for w in met:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
+        get, done, open_, new = known.get, [], [], set()
+        for text in texts:
+            split = text.encode("utf-8", "surrogatepass").split() if text else []
+            ids = list(map(get, split))
+            done.append(ids)
+            if None in ids:
+                gaps = [(k, split[k]) for k, x in enumerate(ids) if x is None]
+                open_.append((ids, gaps))
+                new.update(w for _, w in gaps)
+        again = new & older.keys() if older else set()
+        known.update((w, older[w]) for w in again)
         if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, s)) for s in splits]
+            self._learn(list(new - again))
+        for ids, gaps in open_:
+            for k, w in gaps:
+                ids[k] = known[w]
+        return [b"".join(ids) for ids in done]
 
 
 _ENCODERS: dict[str, Encoder] = {}
