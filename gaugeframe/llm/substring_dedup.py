@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from gaugeframe.llm.common import hashes, rolled, with_block, words
 
 SEED = 8
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 NO_ID = -(1 << 63)
 
 
@@ -91,7 +91,7 @@ def repeats(docs: DataFrame, length: int = 20, block_bytes: int = BLOCK_BYTES) -
         pick = np.flatnonzero(np.isin(w.anchor, seeds["anchor"].to_numpy()))
         hash_, first, n = np.unique(w.hash[pick], return_index=True, return_counts=True)  # rows are in order, so the first is the earliest
         at = pick[first]
-        return pd.DataFrame({"hash": hash_, "doc_id": w.ids[w.row[at]], "place": key[0] << 40 | w.start[at] << 1 | (n > 1)})
+        return pd.DataFrame({"hash": hash_, "doc_id": w.ids[w.row[at]], "place": (int(key[0]) << 40) + 2 * w.start[at] + (n > 1)})
 
     def cut(key: tuple, block: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
