@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio. DataFrame operations alone.
 
 Two models of character pairs, one of random strings and one of ordinary identifiers, are trained from labelled samples: the values
-that the fixed patterns find, and the words of documents in which they find nothing. Long tokens that no pattern covers are
+that the fixed patterns find, and the digitless words of documents in which they find nothing. Long tokens with letters and digits that no pattern covers are
 reported as kind ``markov`` where random is likelier by ``LIKELIER`` nats in all and ``EACH`` for each pair.
 
 The samples come from about ``SAMPLE`` documents (chosen by a hash; the bound does not grow with the table); the scan reads every whole text.
@@ -22,11 +22,15 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+#: What may be a secret besides, if it has a letter and a digit; and whole words without digits, samples of ordinary identifiers.
 LONG = r"[A-Za-z0-9+/_=-]{16,}"
+ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z_]{4,}(?![A-Za-z0-9_])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
 WIDTH = len(ALPHABET) + 1
 SAMPLE = 8000
 LIKELIER, EACH = 12.0, 0.5
+#: Weight of single characters behind pairs.
+BACK = 5.0
 SPANS = "array<struct<start:int,kind:int,end:int,value:int>>"
 
 
@@ -65,14 +69,16 @@ def train(docs: DataFrame) -> list[float]:
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE))) == 0)
     values = F.flatten(F.array(*[F.when(F.col("text").rlike(p), F.regexp_extract_all("text", F.lit(p), F.lit(g))).otherwise(F.array().cast("array<string>")) for _, p, g, _ in KINDS]))
     sample = sample.withColumn("values", values)
-    plain = F.when(F.size("values") == 0, F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]{4,}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    plain = F.when(F.size("values") == 0, F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     labelled = sample.select(F.explode(F.concat(F.transform("values", lambda v: F.struct(F.lit(1).alias("random"), v.alias("token"))), F.transform(plain, lambda v: F.struct(F.lit(0).alias("random"), v.alias("token"))))).alias("x"))
     pairs = labelled.where("length(x.token) >= 4").select("x.random", F.explode(_codes(F.col("x.token"))).alias("pair"))
     count = {(r["random"], r["pair"]): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}
     logs = []
     for random in (0, 1):
-        total = [sum(count.get((random, a * WIDTH + b), 0) for b in range(WIDTH)) for a in range(WIDTH)]
-        logs.append([math.log((count.get((random, p), 0) + 0.5) / (total[p // WIDTH] + 0.5 * WIDTH)) for p in range(WIDTH * WIDTH)])
+        n = [[count.get((random, a * WIDTH + b), 0) for b in range(WIDTH)] for a in range(WIDTH)]
+        every = sum(map(sum, n)) + 0.5 * WIDTH
+        char = [(sum(row[b] for row in n) + 0.5) / every for b in range(WIDTH)]  # pairs not seen fall back on their second character
+        logs.append([math.log((n[a][b] + BACK * char[b]) / (sum(n[a]) + BACK)) for a in range(WIDTH) for b in range(WIDTH)])
     return [x - y for x, y in zip(logs[1], logs[0], strict=True)]
 
 
@@ -84,9 +90,10 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     out = docs.withColumn("_base", base_spans(text)).withColumn("_long", _spans(text, LONG, 0, 16, len(KINDS)))
 
     def random(s: Column) -> Column:
-        pairs = _codes(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        pairs = _codes(token)
         ratio = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(model, p))
-        return (ratio >= LIKELIER) & (ratio >= EACH * F.size(pairs)) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return token.rlike("[A-Za-z]") & token.rlike("[0-9]") & (ratio >= LIKELIER) & (ratio >= EACH * F.size(pairs)) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     return out.withColumn("found", F.array_sort(F.concat("_base", F.filter("_long", random)))).drop("_long", "_base")
 
