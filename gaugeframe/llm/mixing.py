@@ -6,7 +6,8 @@ so that the largest is 1: nothing is taken twice. A document is sampled where a
 doc_id is below its cell's probability, so runs agree, and a hot source is thinned in place without moving.
 
 ``topic`` is what the text looks like, unless the documents have a column of that name. A target defaults to the margin's share
-to the power ``SMOOTHING``. Cells are aggregated before any shuffle.
+to the power ``SMOOTHING``. Cells are aggregated before any shuffle. Up to ``TOGETHER`` cells, counted first, are raked in one
+partition without further shuffles; beyond that each margin is a shuffle of the cells.
 
 Defined results: nulls in a margin are a value of their own; null or empty text: no tokens, and where a whole cell has none, probability 1. Null doc_id: hashed by
 its text. Repeated rows get the same decision.
@@ -22,6 +23,7 @@ from gaugeframe.llm.common import materialize
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS, SMOOTHING = 10, 0.9
+TOGETHER = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -41,6 +43,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> DataFrame:
     """Cells (margins, tokens > 0) with ``weight``; the weights add up to 1. ``targets``: shares by margin and value; values without one share nothing."""
+    if cells.count() <= TOGETHER:
+        cells = cells.coalesce(1)
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("tokens").cast("double")).scalar()
     for m in MARGINS:

@@ -196,3 +196,15 @@ def docs_frame(spark):
     rows = [(k, prose(60 + k) + (" password=abcdefgh1234" if k % 5 == 0 else ""), "en", f"s{k % 2}", 1) for k in range(40)]
     rows += [(100 + k, rows[k][1], "en", "s0", 1) for k in range(5)] + [(200, "short", "en", "s1", 1), (201, None, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_raking_together_or_by_shuffles(spark, monkeypatch):
+    from gaugeframe.llm import mixing
+
+    rows = [(f"s{k % 5}" if k % 5 else None, "ab"[k % 2], "t", 10 * k + 1) for k in range(10)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").repartition(3)
+    got = []
+    for together in (mixing.TOGETHER, 0):
+        monkeypatch.setattr(mixing, "TOGETHER", together)
+        got.append({(r["source"], r["lang"]): round(r["weight"], 9) for r in mixing.raked(cells).collect()})
+    assert got[0] == got[1] and len(got[0]) == 10
