@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import expr
-from gaugeframe.operators import joins, profile, rules
+from gaugeframe.operators import counters, joins, profile, rules
 from gaugeframe.operators import timeseries as ts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,3 +230,22 @@ def kv_differing_keys(spark, d):
     s = table(spark, d, "supplier").groupBy("s_nationkey").count().select(F.lit("supplier").alias("run"), F.col("s_nationkey").cast("string").alias("grp"), F.lit("BUILDING").alias("key"), F.col("count").cast("string").alias("value"))
     kv = c.unionByName(s)
     return joins.differing_keys(kv, kv.select("run").distinct())
+
+
+@query("""WITH e AS (SELECT l_linestatus AS run, l_suppkey AS sample_idx, l_linenumber AS cpu, l_returnflag AS event, sum(l_quantity) AS value FROM lineitem GROUP BY ALL),
+c AS (SELECT run, sample_idx, cpu, sum(value) FILTER (WHERE event = 'A') AS a, sum(value) FILTER (WHERE event = 'R') AS r, sum(value) FILTER (WHERE event = 'N') AS n FROM e GROUP BY ALL),
+t AS (SELECT run, sample_idx, 'CPU' || cpu AS series, a, r, n FROM c UNION ALL SELECT run, sample_idx, 'Aggregate', sum(a), sum(r), sum(n) FROM c GROUP BY ALL)
+SELECT run, sample_idx, 'share' AS metric, series, round(100 * (a + r) / (a + r + 2 * n), 6) AS value FROM t WHERE a + r + n IS NOT NULL AND a + r + 2 * n <> 0""")
+def counter_formula(spark, d):
+    flag = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("run"), F.col("l_suppkey").alias("sample_idx"), F.col("l_linenumber").alias("cpu"), F.col("l_returnflag").alias("event")).agg(F.sum("l_quantity").alias("value"))
+    values = flag.withColumn("ts", F.col("sample_idx"))
+    return rounded(counters.metric(values, "share", "100 * (A + R) / (A + R + 2 * N)", ["A", "R", "N"])).drop("ts")
+
+
+@query("""WITH t AS (SELECT o_orderstatus AS run, o_custkey || '_' || 'c' AS series, max(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS u, max(o_totalprice) FILTER (WHERE o_orderpriority = '2-HIGH') AS k FROM orders GROUP BY ALL),
+b AS (SELECT run, series FROM t WHERE u IS NOT NULL OR k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY coalesce(u, 0) + coalesce(k, 0) DESC, series) <= 16)
+SELECT o_orderstatus AS run, o_custkey || '_' || 'c' AS series, count(*) AS n FROM orders WHERE (o_orderstatus, o_custkey || '_' || 'c') IN (SELECT (run, series) FROM b) GROUP BY ALL""")
+def process_ranking(spark, d):
+    metric = F.when(F.col("o_orderpriority") == "1-URGENT", "user_time").when(F.col("o_orderpriority") == "2-HIGH", "kernel_time").otherwise("threads")
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), F.concat("o_custkey", F.lit("_c")).alias("series"), metric.alias("metric"), F.col("o_totalprice").alias("value"))
+    return counters.busiest(rows).groupBy("run", "series").agg(F.count("*").alias("n"))
