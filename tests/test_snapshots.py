@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import counters
-from gaugeframe.sources import snapshots
+from gaugeframe.sources import kernel_config, snapshots
 
 
 def raw(spark, *payloads):
@@ -63,3 +63,37 @@ def test_legacy_counters(spark):
 def test_settings(spark):
     rows = spark.createDataFrame([("r", 0, {"a": "1", "b": "2"}), ("r", 1, {"a": "3"})], "run string, sample_idx long, entries map<string,string>")
     assert {r["key"]: r["value"] for r in snapshots.settings(rows).where(F.col("grp") == "").collect()} == {"a": "3", "b": "2"}
+
+
+def test_kernel_config(spark):
+    text = """#
+# Automatically generated file; DO NOT EDIT.
+# Linux Configuration
+#
+CONFIG_A=y
+
+#
+# General setup
+#
+CONFIG_B="x=1"
+# CONFIG_C is not set
+
+#
+# IRQ subsystem
+#
+CONFIG_D=y
+# end of IRQ subsystem
+
+#
+# Timers
+#
+CONFIG_E=m
+# end of General setup
+CONFIG_F=y
+"""
+    df = spark.createDataFrame([("r", text), ("s", None), ("t", "")], "run string, payload string")
+    got = {(r["run"], r["grp"], r["key"]): r["value"] for r in kernel_config.kernel_config(df).collect()}
+    assert got == {
+        ("r", "", "CONFIG_A"): "y", ("r", "General setup", "CONFIG_B"): '"x=1"', ("r", "General setup", "CONFIG_C"): "not set",
+        ("r", "General setup:IRQ subsystem", "CONFIG_D"): "y", ("r", "General setup:Timers", "CONFIG_E"): "m", ("r", "General setup", "CONFIG_F"): "y",
+    }
