@@ -208,3 +208,11 @@ def test_raking_together_or_by_shuffles(spark, monkeypatch):
         monkeypatch.setattr(mixing, "TOGETHER", together)
         got.append({(r["source"], r["lang"]): round(r["weight"], 9) for r in mixing.raked(cells).collect()})
     assert got[0] == got[1] and len(got[0]) == 10
+
+
+def test_mixer_codes_known_words_by_those_before(spark):
+    own = np.random.default_rng(11)
+    line = lambda: " ".join(f"{a} {own.choice(['m', x], p=[0.6, 0.4])}" for a, x in (("a", "n"), ("c", "o"))[:: own.choice([1, -1])])
+    rows = [(k, " ".join(line() for _ in range(8))) for k in range(400)] + [(1000, "a n"), (1001, "c n")]
+    got = {r["doc_id"]: r["score"] for r in mixing_model.scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).where("held_out").collect()}
+    assert got[1000] > got[1001] + 0.2  # n is the second follower of a, and never follows c
