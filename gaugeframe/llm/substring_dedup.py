@@ -56,9 +56,9 @@ class Windows:
 
     @property
     def twins(self) -> np.ndarray:
-        """Seeds that come again inside one window."""
+        """Seeds that come again inside one window or in its neighbour, which keeps the anchor's value when it takes the twin in."""
         x = self.seeds
-        return np.concatenate([np.zeros(0, np.int64), *(x[k:][x[k:] == x[:-k]].view(np.int64) for k in range(1, self.reach + 1) if len(x) > k)])
+        return np.concatenate([np.zeros(0, np.int64), *(x[k:][x[k:] == x[:-k]].view(np.int64) for k in range(1, self.reach + 2) if len(x) > k)])
 
 
 def least(x: np.ndarray, k: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def repeats(docs: DataFrame, length: int = 20, block_bytes: int = BLOCK_BYTES) -
         if not len(w.at):
             return pd.DataFrame({"block": [], "anchor": [], "n": []})
         change = np.flatnonzero(np.r_[True, (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1])])  # a run of windows with one anchor
-        # two equal seeds inside one window look like one run: they are said once more
+        # two equal seeds inside one window or two neighbours look like one run: they are said once more
         anchor, n = np.unique(np.concatenate([w.anchor[change], w.twins]), return_counts=True)
         return pd.DataFrame({"block": block["block"].iloc[0], "anchor": anchor, "n": n})
 

@@ -216,3 +216,23 @@ def test_mixer_codes_known_words_by_those_before(spark):
     rows = [(k, " ".join(line() for _ in range(8))) for k in range(400)] + [(1000, "a n"), (1001, "c n")]
     got = {r["doc_id"]: r["score"] for r in mixing_model.scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).where("held_out").collect()}
     assert got[1000] > got[1001] + 0.2  # n is the second follower of a, and never follows c
+
+
+@pytest.mark.parametrize("size", [300, 1 << 22])
+def test_substring_dedup_of_every_period(spark, size):
+    own = np.random.default_rng(3)
+    rows = []
+    for period in range(1, 41):
+        line = [f"p{period}w{k}" for k in range(period)]
+        own.shuffle(line)
+        rows.append((period, " ".join([f"before{period}", *line * max(3, 1 + 40 // period), f"after{period}"])))
+    got = {r["doc_id"]: r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, size).collect()}
+    for period, text in rows:
+        w, seen, gone = split(text), set(), set()
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if x in seen:
+                gone.update(range(k, k + 20))
+            seen.add(x)
+        assert got[period]["n_removed"] == len(gone) > 0, period
+        assert got[period]["kept_sha256"] == hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
