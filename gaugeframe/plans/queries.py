@@ -188,6 +188,17 @@ def profile_pattern(spark, d):
     return profile.matches(rows, ["^A", "^B"])
 
 
+@query(f"WITH {S} SELECT run, f1 || ';' || f2 || ';' || f3 AS stack, sum(n)::BIGINT AS count FROM s GROUP BY ALL")
+def profile_collapsed_whole(spark, d):
+    return profile.collapsed(samples(spark, d))
+
+
+@query(f"""WITH {S}, m AS (SELECT run, n, regexp_matches(f1, '^A') AS a1, regexp_matches(f2, '^A') AS a2, regexp_matches(f2, '^B') AS b2, regexp_matches(f3, '^B') AS b3 FROM s)
+SELECT run, coalesce(sum(n) FILTER (WHERE (a1 AND (b2 OR b3)) OR (a2 AND b3)), 0)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE (a1 OR a2) AND b3), 0)::BIGINT AS self FROM m GROUP BY run""")
+def profile_pattern_whole(spark, d):
+    return profile.matches(samples(spark, d), ["^A", "^B"])
+
+
 @query(f"""WITH {S}, q AS (SELECT *, CASE WHEN contains(node, ';') THEN left(node, length(node) - length(split_part(node, ';', -1)) - 1) ELSE '' END AS parent FROM g)
 SELECT run, node, total, self, coalesce(sum(total) OVER (PARTITION BY run, parent ORDER BY total DESC, split_part(node, ';', -1) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x FROM q""")
 def profile_flame(spark, d):

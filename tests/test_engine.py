@@ -124,3 +124,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert {"ts_rates", "profile_flame"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["profile_collapsed_whole", "profile_pattern_whole"])
+def test_profiles_of_whole_tables(spark, tmp_path, name):
+    import duckdb
+
+    from gaugeframe.plans import queries
+
+    put = lambda rows, columns, table: spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    put([(0, "AFRICA"), (1, "EUROPE")], "r_regionkey long, r_name string", "region")
+    put([(0, "BENIN", 0), (1, "CHAD", 0), (2, "AUSTRIA", 1), (3, "BELGIUM", 1)], "n_nationkey long, n_name string, n_regionkey long", "nation")
+    put([(k, k % 4, ["BUILDING", "MACHINERY"][k // 4 % 2]) for k in range(1200)], "c_custkey long, c_nationkey long, c_mktsegment string", "customer")
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.SQL[name]).fetchall())
+    if name == "profile_collapsed_whole":
+        assert sum(r[2] for r in got) == 1200
+    else:
+        assert any(total > own > 0 for _, total, own in got)  # run0 has matches in the middle frame
