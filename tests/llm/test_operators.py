@@ -236,3 +236,24 @@ def test_substring_dedup_of_every_period(spark, size):
             seen.add(x)
         assert got[period]["n_removed"] == len(gone) > 0, period
         assert got[period]["kept_sha256"] == hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
+
+
+@pytest.mark.parametrize("pair_bytes", [1, 1 << 20])
+def test_favourite_followers_are_of_all_pairs(spark, pair_bytes):
+    texts = [*["a b a b a b a c a c"] * 5, *["a d a d a d a c a c"] * 5, "x y x y x z"]  # c is nobody's favourite in any text
+    train = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = {r["h"]: r for r in mixing_model._followers(train, 3, pair_bytes).collect()}
+    count = {}
+    for t in texts:
+        w = [*split(t), b""]
+        for k in (1, 2):
+            for i, x in enumerate(w):
+                pair = (k, w[i - k] if i >= k else b"", x)
+                count[pair] = count.get(pair, 0) + 1
+    of = {w: (mixing_model.hashes([w]).view(np.int64)[0], mixing_model.name([w])[0]) for w in {p[2] for p in count}}
+    for w, (h, _) in of.items():
+        for k in (1, 2):
+            most = max((n for (d, x, _), n in count.items() if d == k and x == w), default=0)
+            names = {of[y][1] for (d, x, y), n in count.items() if d == k and x == w and n == most}
+            assert got[h][f"v{k}"] == most and (most == 0 or got[h][f"f{k}"] in names)
+    assert got[of[b"a"][0]]["f1"] == of[b"c"][1] and got[of[b"a"][0]]["v1"] == 20
