@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,20 +17,57 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, gets a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gaugeframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables written and not yet deleted: path by the id of the frame that reads it, and the session.
+_TABLES: dict[int, tuple[str, DataFrame]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = (path, out)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that ``materialize`` returned, once nothing reads it any more."""
+    path, _ = _TABLES.pop(id(df), ("", None))
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Deletes what is left when the driver ends."""
+    for _, df in list(_TABLES.values()):
+        try:
+            discard(df)
+        except Exception:  # noqa: BLE001, the session is gone: so is the way to the folder
+            _TABLES.clear()
+            return
+
+
+#: Rows up to which a table that was counted is broadcast.
+FEW = 200_000
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count finds at most FEW rows; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -109,8 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
-        before = seen
+        before, last = seen, now
         now, seen = kept(small.distinct())
+        discard(last)
         if seen == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -5,7 +5,8 @@ its name. In turns, each claims the next free slot of its order, so shards own n
 numbers of slots, and adding or losing a shard moves few others. The table has ``slots`` rows whatever the data, so it
 is broadcast, and placing a document is one lookup by its hashed key.
 
-The key is doc_id, so a hot source spreads over all shards; a null doc_id falls back to the text's hash. Repeated rows share a shard.
+Defined results: the key is doc_id, so a hot source spreads over all shards; a null doc_id falls back to the text's hash (a null text's too). Repeated rows share a
+shard. Empty and very long texts are placed like others, and an empty table stays empty. All columns stay but ``slot`` and ``shard``, which are replaced.
 """
 
 from __future__ import annotations

@@ -39,16 +39,16 @@ class _Parts(dict):
 
 
 class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of the latest words, at most 2 x ``most``."""
+    """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of at most ``most`` words and ``most`` parts of words, some
+    100 MB, as a worker outlives its task and stays beside those of later stages."""
 
-    def __init__(self, path: str = WORD_BPE, most: int = 600_000):
+    def __init__(self, path: str = WORD_BPE, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.normal = self.tokenizer.normalizer.normalize_str
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(PATTERN + "| ").findall
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.parts = _Parts(self.tokenizer.model.tokenize)
         self.most = most
         self.apart = self._together([b"Don't-\xc3\x89a9"]) == [self._whole(b"Don't-\xc3\x89a9")]
@@ -82,10 +82,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+            self.known.clear()
         if len(self.parts) > self.most:
             self.parts.clear()
-        known, older = self.known, self.older
+        known = self.known
         get, done, open_, new = known.get, [], [], set()
         for text in texts:
             split = text.encode("utf-8", "surrogatepass").split() if text else []
@@ -95,10 +95,8 @@ class Encoder:
                 gaps = [(k, split[k]) for k, x in enumerate(ids) if x is None]
                 open_.append((ids, gaps))
                 new.update(w for _, w in gaps)
-        again = new & older.keys() if older else set()
-        known.update((w, older[w]) for w in again)
         if new:
-            self._learn(list(new - again))
+            self._learn(list(new))
         for ids, gaps in open_:
             for k, w in gaps:
                 ids[k] = known[w]
