@@ -1,133 +1,70 @@
 """Quality rules by n-gram perplexity, with a few counts beside it.
 
-Character trigrams of all words of all documents are counted by Spark for each language, each task adding up its own first.
-From the counts a modified Kneser-Ney model is made: three discounts for each order, continuation
-counts below the top, probabilities and back-off weights in sorted arrays of hashed n-grams. A word's probability
-is seven tenths its language's and three tenths that of a model of all languages, so a foreign passage costs little.
-A document's perplexity is the words' whole cost for each letter or digit: symbols cost and do not count, so random
-strings and symbol litter lie high, monotonous texts low. A language's bands lie ``BELOW`` and ``ABOVE``
-interquartile ranges of the logarithm outside its quartiles; documents beyond them are rejected.
-
-Characters fall into 64 symbols, so a language has at most 2**18 trigrams; the ``LANGUAGES`` with the most documents have
-models of their own and all others share one: at most 8.7 million entries are ever broadcast.
-
-Defined results: null or empty text: no words, fails the base rules. Null language: the shared model and bands. Repeated rows: the same
-verdict. Other columns are ignored.
+Character trigrams (code points, digits as one) of all words of all documents are counted by Spark for each language, each task adding up
+its own first. From the counts DataFrame operations make a modified Kneser-Ney model: three discounts for each order, continuation
+counts below the top, interpolated probabilities and the weights left to lower orders. A task holds them as
+sorted arrays of hashed n-grams and looks words up by binary search. A word's probability is seven tenths its language's and three
+tenths that of a model of all languages, so a foreign passage costs little. A document's perplexity is the words' whole cost for each letter
+or digit: symbols cost and do not count, so random strings and symbol litter lie high, monotonous texts low. A language's bands lie
+``BELOW`` and ``ABOVE`` interquartile ranges of the logarithm outside its quartiles; documents beyond them are rejected.
+
+Every language has a model and bands of its own, however many there are, in any script. Models that take at most ``SHIP_BYTES`` are broadcast; beyond
+that, documents are dealt by language (in parts of about ``PART_BYTES``) to tasks that hold the models of one language. Both ways give the same rows.
+
+Defined results: null or empty text: no words, fails the base rules. Null language: a language of its own. Very long texts: whole, like any
+other. Repeated rows: counted and judged each, with the same verdict. Empty table: no rows. Columns other than doc_id, lang and text are ignored, whatever their names; ``passing`` returns them all.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import hashes, materialize, rolled
+from gaugeframe.llm.common import hashes, if_few, materialize, mixed, rolled
 
-LANGUAGES, OTHER, ALL = 32, "*", "**"
 OWN = 0.7
 BELOW, ABOVE = 6.0, 5.0
-SHIFT, GRAMS = 6, 1 << 18
-#: Symbols of single characters; letters a-z are 1-26, digits 27.
-MARKS = ".,'-|\":;!?=/_#"
+#: Bits of a code point in a packed n-gram; the uniform distribution below the lowest order is over all of them.
+WIDE = 21
+#: What a model of all languages is called; a language's own is its name behind OF.
+ALL, OF = "*", "="
+SHIP_BYTES, PART_BYTES = 128 << 20, 32 << 20
+#: Distinct trigrams that a task gathers before it sends them.
+GATHER = 2_000_000
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
-
-
-def symbol_table() -> np.ndarray:
-    """Symbol 0-63 of each code point below 2**16: 0 bounds words, 44-59 are Latin letters with marks, 60-63 the rest."""
-    cp = np.arange(1 << 16)
-    out = 60 + cp % 4
-    out[0xDF:0x180] = 44 + (cp[0xDF:0x180] - 0xDF) % 16
-    out[0x21:0x7F] = 43
-    out[0] = 0
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("0") : ord("9") + 1] = 27
-    for k, c in enumerate(MARKS):
-        out[ord(c)] = 28 + k
-    out[ord("(")] = out[ord(")")] = 42
-    return out.astype(np.uint32)
-
-
-_SYMBOLS = symbol_table()
+SCORES = f"doc_id long, lang string, text_hash long, {METRICS}, log_perplexity double"
+ENTRIES = "model string, size int, context boolean, code long, value double"
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, first code of each word) of the words' symbols and ends, each after its two predecessors."""
-    text = "\0\0" + "\0\0".join(w.decode("utf-8", "replace").lower().replace("\0", " ") for w in words) + "\0\0"
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(cp < 1 << 16, _SYMBOLS[np.minimum(cp, (1 << 16) - 1)], 60 + cp % 4)
-    ends = np.flatnonzero((cp[:-1] == 0) & (cp[1:] == 0))  # each gap's first 0; the very first bounds no word
-    code = (s[:-2] << 2 * SHIFT) | (s[1:-1] << SHIFT) | s[2:]  # of places 2, 3, ...
-    keep = np.ones(len(cp), bool)
+    """(codes, first code of each word) of the words' characters and ends (0), each after its two predecessors."""
+    text = "\0\0" + "\0\0".join(w.decode("utf-8", "replace").lower().replace("\0", "\x01") for w in words) + "\0\0"
+    s = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    s[(s > 48) & (s < 58)] = 48
+    ends = np.flatnonzero((s[:-1] == 0) & (s[1:] == 0))  # each gap's first 0; the very first bounds no word
+    code = (s[:-2] << 2 * WIDE) | (s[1:-1] << WIDE) | s[2:]  # of places 2, 3, ...
+    keep = np.ones(len(s), bool)
     keep[ends + 1] = False  # the second 0 of a gap is given
     keep[:2] = False
     first = np.cumsum(keep)[ends[:-1] + 1]
     return code[keep[2:]], first
 
 
-class KneserNey:
-    """A modified Kneser-Ney model of trigram counts: per order, sorted codes, probabilities, and back-off weights of contexts."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.orders = []
-        grams = [(codes.astype(np.int64), counts.astype(np.int64))]
-        for bits in (2 * SHIFT, SHIFT):
-            low, n = np.unique(grams[0][0] & ((1 << bits) - 1), return_counts=True)
-            grams.insert(0, (low, n))
-        lower = None
-        for order, (code, n) in enumerate(grams):
-            of = [max(1, int((n == k).sum())) for k in range(1, 5)]
-            y = of[0] / (of[0] + 2 * of[1])
-            cut = [0.0, *(min(k - 0.05, max(0.05, k - (k + 1) * y * of[k] / of[k - 1])) for k in (1, 2, 3))]
-            context, at = np.unique(code >> SHIFT, return_inverse=True)
-            total = np.bincount(at, n)
-            less = np.array(cut)[np.minimum(n, 3)]
-            gamma = np.bincount(at, less) / total
-            below = 1 / (1 << SHIFT) if lower is None else lower(code & ((1 << SHIFT * order) - 1))
-            p = (n - less) / total[at] + gamma[at] * below
-            self.orders.append((code, p, context, gamma))
-            lower = (lambda k: lambda c: self.probability(c, k))(order)
-
-    def probability(self, code: np.ndarray, order: int = 2) -> np.ndarray:
-        known, p, context, gamma = self.orders[order]
-        i = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        found = known[i] == code
-        out = p[i]
-        rest = np.flatnonzero(~found)
-        if len(rest):
-            c = code[rest]
-            j = np.minimum(np.searchsorted(context, c >> SHIFT), len(context) - 1)
-            weight = np.where(context[j] == c >> SHIFT, gamma[j], 1.0)
-            out[rest] = weight * (self.probability(c & ((1 << SHIFT * order) - 1), order - 1) if order else 1 / (1 << SHIFT))
-        return out
-
-def word_logs(own: KneserNey, all_: KneserNey, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability, letters and digits) of each word with its end."""
-    code, first = trigrams(words)
-    each = [np.add.reduceat(np.log(m.probability(code.astype(np.int64))), first) for m in (own, all_)]
-    last = code & ((1 << SHIFT) - 1)
-    letters = np.add.reduceat(((last >= 1) & (last <= 27) | (last >= 44)).astype(np.int64), first)
-    return np.logaddexp(each[0] + np.log(OWN), each[1] + np.log(1 - OWN)), letters
-
-
-def _rows(docs: DataFrame, names: list[str]) -> DataFrame:
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(lang.isin(names), lang).otherwise(OTHER).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def languages(docs: DataFrame) -> list[str]:
-    if "lang" not in docs.columns:
-        return []
-    top = docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    return [r["lang"] for r in top.collect()]
+def counted(rows: DataFrame) -> DataFrame:
+    """(model, code, n): trigrams of each language, and of all."""
 
-
-def train(docs: DataFrame, names: list[str]) -> dict[str, KneserNey]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
         for b in batches:
             for k in range(0, len(b), 2000):
                 for lang, texts in b.iloc[k : k + 2000].groupby("lang")["text"]:
@@ -137,16 +74,96 @@ def train(docs: DataFrame, names: list[str]) -> dict[str, KneserNey]:
                     if count:
                         code, first = trigrams(list(count))
                         n = np.repeat(np.fromiter(count.values(), np.int64), np.diff(np.r_[first, len(code)]))
-                        sums[lang] = sums.get(lang, 0) + np.bincount(code, n, GRAMS)
-        for lang, total in sums.items():
-            code = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "code": code, "n": total[code].astype(np.int64)})
+                        held[lang] = [_summed([*held.get(lang, []), (code, n)])]
+                if sum(len(p[0][0]) for p in held.values()) > GATHER:
+                    yield from sent(held)
+                    held = {}
+        yield from sent(held)
+
+    def sent(held: dict[str, list]) -> Iterator[pd.DataFrame]:
+        for lang, ((code, n),) in held.items():
+            yield pd.DataFrame({"model": OF + lang, "code": code, "n": n})
+
+    own = rows.select("lang", "text").mapInPandas(run, "model string, code long, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    return own.unionByName(own.groupBy("code").agg(F.sum("n").alias("n")).withColumn("model", F.lit(ALL)))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """ENTRIES of modified Kneser-Ney models of trigram counts (model, code, n): probabilities of n-grams of ``size`` characters, and of contexts
+    of n-grams of that size the weight left to the next lower order. A part of a model crosses the network for each order; nothing gathers a model."""
+    last = lambda k: F.col("code").bitwiseAND((1 << WIDE * k) - 1)
+    grams = {3: counts}
+    for size in (2, 1):
+        grams[size] = grams[size + 1].select("model", last(size).alias("code")).groupBy("model", "code").agg(F.count("*").alias("n"))
+    out, lower = [], None
+    for size in (1, 2, 3):
+        rows = grams[size].withColumn("context", F.shiftright("code", WIDE) if size > 1 else F.lit(0).cast("long"))
+        seen = [F.greatest(F.lit(1), F.count_if(F.col("n") == k)).cast("double").alias(f"n{k}") for k in range(1, 5)]
+        cuts = if_few(rows.groupBy("model").agg(*seen))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+        def cut(k: int, y: Column = y) -> Column:
+            return F.least(F.lit(k - 0.05), F.greatest(F.lit(0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))
+
+        rows = rows.join(cuts, "model").withColumn("less", F.when(F.col("n") == 1, cut(1)).when(F.col("n") == 2, cut(2)).otherwise(cut(3))).select("model", "code", "context", "n", "less")
+        rows = materialize(rows)
+        contexts = materialize(rows.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("rest")))
+        rows = rows.join(contexts, ["model", "context"])
+        if lower is None:
+            below = F.lit(1 / (1 << WIDE))
+        else:
+            rows = rows.withColumn("end", last(size - 1)).join(lower.select("model", F.col("code").alias("end"), F.col("value").alias("below")), ["model", "end"])
+            below = F.col("below")
+        lower = materialize(rows.select("model", "code", ((F.col("n") - F.col("less")) / F.col("total") + F.col("rest") * below).alias("value")))
+        out.append(lower.select("model", F.lit(size).alias("size"), F.lit(False).alias("context"), "code", "value"))
+        out.append(contexts.select("model", F.lit(size).alias("size"), F.lit(True).alias("context"), F.col("context").alias("code"), F.col("rest").alias("value")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4]).unionByName(out[5])
+
+
+def _hashed(code: np.ndarray) -> np.ndarray:
+    return mixed(code.astype(np.uint64))
+
+
+class Model:
+    """A model's entries as sorted arrays of hashed n-grams (the hash is one to one), one for each size, and of contexts."""
+
+    def __init__(self, entries: pd.DataFrame):
+        self.tables = {}
+        for at, part in entries.groupby(["size", "context"]):
+            h = _hashed(part["code"].to_numpy())
+            order = np.argsort(h)
+            self.tables[at] = (h[order], part["value"].to_numpy()[order])
+
+    def _find(self, size: int, context: bool, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, value = self.tables[size, context]
+        h = _hashed(code)
+        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return known[i] == h, value[i]
+
+    def probability(self, code: np.ndarray, size: int = 3) -> np.ndarray:
+        found, out = self._find(size, False, code)
+        rest = np.flatnonzero(~found)
+        if len(rest):
+            c = code[rest]
+            some, weight = self._find(size, True, c >> WIDE if size > 1 else c * 0)
+            below = self.probability(c & ((1 << WIDE * (size - 1)) - 1), size - 1) if size > 1 else 1 / (1 << WIDE)
+            out = out.copy()
+            out[rest] = np.where(some, weight, 1.0) * below
+        return out
+
+
+def models_of(entries: pd.DataFrame) -> dict[str, Model]:
+    return {name: Model(part) for name, part in entries.groupby("model")}
 
-    grams = _rows(docs, names).mapInPandas(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    found = grams.toPandas().sort_values(["lang", "code"])  # GRAMS rows for each of LANGUAGES + 1 at most
-    every = found.groupby("code", as_index=False)["n"].sum()
-    models = {lang: KneserNey(g["code"].to_numpy(), g["n"].to_numpy()) for lang, g in found.groupby("lang")}
-    return models | ({ALL: KneserNey(every["code"].to_numpy(), every["n"].to_numpy())} if len(every) else {})
+
+def word_logs(own: Model, all_: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability, letters and digits) of each word with its end."""
+    code, first = trigrams(words)
+    distinct, at = np.unique(code, return_inverse=True)
+    each = [np.add.reduceat(np.log(m.probability(distinct))[at], first) for m in (own, all_)]
+    last, which = np.unique(distinct & ((1 << WIDE) - 1), return_inverse=True)
+    letter = np.array([chr(c).isalnum() if c < 0x110000 else False for c in last.tolist()])
+    return np.logaddexp(each[0] + np.log(OWN), each[1] + np.log(1 - OWN)), np.add.reduceat(letter[which][at].astype(np.int64), first)
 
 
 def _repeated(h: np.ndarray, length: int = 8) -> int:
@@ -163,64 +180,77 @@ def _repeated(h: np.ndarray, length: int = 8) -> int:
     return int((np.cumsum(mask[:-1]) > 0).sum())
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang (of the model), text_hash, the METRICS and log_perplexity (null without words)."""
-    names = languages(docs)
-    models = docs.sparkSession.sparkContext.broadcast(train(docs, names))
-    lines = b"\n"
+def counts_of(text: str) -> tuple[int, int, int, int, int, bool]:
+    """METRICS of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    split = raw.split()
+    seen: set[bytes] = set()
+    twins = 0
+    for x in raw.split(b"\n"):
+        if x in seen:
+            twins += 1
+        elif x.strip():
+            seen.add(x)
+    chars = len(text) - (len(raw) - len(raw.translate(None, b" \t\n\v\f\r")))
+    again = _repeated(hashes(split)) if len(split) > 8 else 0
+    return len(split), chars, len(raw) - len(raw.translate(None, b"#*$%&|<>")), twins, again, len(split) < 20 or 100 * again > 30 * len(split)
+
+
+def scored(part: pd.DataFrame, models: dict[str, Model]) -> pd.DataFrame:
+    """SCORES of some rows (doc_id, lang, text_hash, text). Nothing stays in the worker but the models."""
+    cost = np.full(len(part), np.nan)
+    for lang, rows in part.reset_index(drop=True).groupby("lang"):
+        at: dict[bytes, int] = {}
+        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in rows["text"]]
+        ids = [np.fromiter((at.setdefault(w, len(at)) for w in x), np.int64, len(x)) for x in split]
+        if at:
+            logs, letters = word_logs(models[OF + lang], models[ALL], list(at))
+            cost[rows.index] = [-logs[i].sum() / max(1, letters[i].sum()) if len(i) else np.nan for i in ids]
+    out = pd.DataFrame([counts_of(t) for t in part["text"]], columns=[c.split()[0] for c in METRICS.split(", ")])
+    for k, c in enumerate(("doc_id", "lang", "text_hash")):
+        out.insert(k, c, part[c].array)
+    return out.assign(log_perplexity=pd.Series(cost).astype(object).where(~np.isnan(cost), None).astype("Float64"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs: dict[str, dict[bytes, tuple[float, int]]] = {}
-        for b in batches:
-            for k in range(0, len(b), 1000):
-                part, out = b.iloc[k : k + 1000], []
-                lowered = [t.encode("utf-8", "surrogatepass").lower().split() for t in part["text"]]
-                new: dict[str, set[bytes]] = {}
-                for lang, split in zip(part["lang"], lowered, strict=True):
-                    known = logs.setdefault(lang, {})
-                    new.setdefault(lang, set()).update(w for w in split if w not in known)
-                for lang, fresh in new.items():
-                    if len(logs[lang]) > 300_000:
-                        logs[lang] = {}
-                        fresh = {w for x, split in zip(part["lang"], lowered, strict=True) if x == lang for w in split}
-                    if fresh:
-                        each = list(fresh)
-                        p, n = word_logs(models.value[lang], models.value[ALL], each)
-                        logs[lang].update(zip(each, zip(p.tolist(), n.tolist(), strict=True), strict=True))
-                for lang, text, low in zip(part["lang"], part["text"], lowered, strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    split = raw.split()
-                    seen: set[bytes] = set()
-                    twins = 0
-                    for x in raw.split(lines):
-                        if x in seen:
-                            twins += 1
-                        elif x.strip():
-                            seen.add(x)
-                    chars = len(text) - (len(raw) - len(raw.translate(None, b" \t\n\v\f\r")))
-                    again = _repeated(hashes(split)) if len(split) > 8 else 0
-                    pairs = list(map(logs[lang].__getitem__, low))
-                    score = -sum(p for p, _ in pairs) / max(1, sum(n for _, n in pairs)) if pairs else None
-                    out.append((len(split), chars, len(raw) - len(raw.translate(None, b"#*$%&|<>")), twins, again, len(split) < 20 or 100 * again > 30 * len(split), score))
-                frame = pd.DataFrame(out, columns=[*(c.split()[0] for c in METRICS.split(", ")), "log_perplexity"])
-                frame["log_perplexity"] = frame["log_perplexity"].astype("float64")
-                frame.insert(0, "text_hash", part["text_hash"].to_numpy())
-                frame.insert(0, "lang", part["lang"].to_numpy())
-                frame.insert(0, "doc_id", part["doc_id"].array)
-                yield frame
-
-    rows = _rows(docs, names).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInPandas(run, f"doc_id long, lang string, text_hash long, {METRICS}, log_perplexity double")
-
-
-def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """doc_id, text_hash, the METRICS, perplexity, lower, upper (the language's bands) and kept."""
-    rows = materialize(measured(docs))
+
+def _in_parts(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    return lambda batches: (run(b.iloc[k : k + 500]) for b in batches for k in range(0, len(b), 500))
+
+
+def measured(docs: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:
+    """doc_id, lang, text_hash, the METRICS and log_perplexity (null without words)."""
+    rows = _rows(docs)
+    entries = kneser_ney(materialize(counted(rows)))
+    if 16 * entries.count() <= ship_bytes:
+        shipped = docs.sparkSession.sparkContext.broadcast(models_of(entries.toPandas()))
+        return rows.mapInPandas(_in_parts(lambda part: scored(part, shipped.value)), SCORES)
+
+    parts = rows.groupBy("lang").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / PART_BYTES).cast("int").alias("parts"))
+    parts = materialize(parts.select(F.col("lang").alias("of"), "parts"))
+    dealt = rows.join(if_few(parts), F.col("lang") == F.col("of")).drop("of").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("parts")).cast("int"))
+    places = parts.select("of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("place"))
+    own = entries.where(F.col("model") != ALL).join(places, F.col("model") == F.concat(F.lit(OF), F.col("of")))
+    held = own.unionByName(entries.where(F.col("model") == ALL).crossJoin(places))  # a copy for each task: one row of ``places`` is a task
+
+    def run(key: tuple, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([scored(part.iloc[k : k + 500], models_of(model)) for k in range(0, len(part), 500)]) if len(part) else pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
+
+    return dealt.groupBy("lang", "part").cogroup(held.groupBy("of", "place")).applyInPandas(run, SCORES)
+
+
+def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, ship_bytes: int = SHIP_BYTES) -> DataFrame:
+    """doc_id, text_hash, lang, the METRICS, perplexity, lower, upper (the language's bands) and kept."""
+    rows = materialize(measured(docs, ship_bytes))
     quartiles = rows.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"))
     low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     reach = F.greatest(high - low, F.lit(0.02))
     bands = quartiles.select(F.col("lang"), (low - below * reach).alias("lower"), (high + above * reach).alias("upper"))
-    out = rows.join(F.broadcast(bands), "lang", "left")  # LANGUAGES + 1 rows at most
+    out = rows.join(if_few(materialize(bands)), "lang", "left")  # a row for each language
     good = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     names = [c.split()[0] for c in METRICS.split(", ")]
     return out.select("doc_id", "text_hash", "lang", *names, F.exp("log_perplexity").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"), F.coalesce(good, F.lit(False)).alias("kept"))
@@ -228,6 +258,6 @@ def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataF
 
 def passing(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns."""
-    kept = judged(docs, below, above).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"]), "left_semi").drop("_text_hash")
+    kept = judged(docs, below, above).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (text_hash == kept["__hash"]), "left_semi")
