@@ -1,21 +1,23 @@
 """Near-duplicate detection by b-bit MinHash.
 
-1. Each text becomes its set of word shingles (64-bit hashes), 128 minima of it, 20 band keys of four
+1. Each text becomes its set of word shingles (64-bit hashes), 128 minima of it, band keys of four
    minima each, and a signature that keeps two low bits of every minimum: 256 bits in all.
 2. Equal sets collapse to one class, so copies by the thousand cost one row from here on.
 3. Classes that share a band key are candidates. Bit counts of their packed signatures give the share of
-   equal low bits; freed of chance agreement (a quarter) it estimates the similarity. Candidates
-   at 0.16 (over four standard errors) below the threshold or more form families; of their links
+   equal low bits; freed of chance agreement (a quarter) it estimates the similarity. Candidates whose estimate a pair
+   at the threshold falls below in one case of ``1 / MISS`` at most are left out, the others form families; of their links
    only a spanning forest leaves a task.
 4. Every pair inside a family is held against the full sets, and the linked ones form the components.
 
-Buckets and families above a block's size are cut into blocks; each pair of blocks is a row group of its own,
-so no task grows with a hot group and no pair is left out. A pair at similarity 0.85 shares no band with
-probability 4e-7.
+The number of bands follows from the threshold: a pair at it shares no band with probability ``MISS`` at most. Buckets
+and families above a block's size are cut into blocks; each pair of blocks is a row group of its own,
+so no task grows with a hot group and no pair is left out. Their sizes are counted before texts or signatures are attached.
 
 Defined results: null or empty text: empty set, linked with nothing, its own component. Fewer words than the shingle:
-the whole sequence is one shingle. Null doc_id: takes part in links, never names a component unless
-all its members have none. Repeated rows: each is returned, with the same component. Other columns are ignored.
+the whole sequence is one shingle. Very long texts: whole, all their shingles. Null doc_id: takes part in links, never names a component unless
+all its members have none; then the one with the least text_hash is kept. Repeated rows: each is returned, with the same component;
+``deduplicate`` keeps one row of each component, and all rows without words. Ties in the least doc_id: the least text_hash stays. Empty table: no rows.
+Columns other than doc_id and text are ignored, whatever their names; ``deduplicate`` returns them all.
 """
 
 from __future__ import annotations
@@ -28,15 +30,27 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gaugeframe.llm.common import components, forest, hashes, lowered, materialize, mixed, rolled
 
-MINIMA, BITS, BANDS, ROWS = 128, 2, 20, 4
-MARGIN = 0.16
+MINIMA, BITS, ROWS = 128, 2, 4
+MISS = 1e-6
 BUCKET_BLOCK, FAMILY_BLOCK = 1024, 384
 
 
+def bands_for(threshold: float) -> int:
+    """So many bands that a pair at the threshold shares none with probability MISS at most (all minima's, if they don't suffice)."""
+    return min(MINIMA // ROWS, max(1, math.ceil(math.log(MISS) / math.log1p(-(threshold**ROWS))))) if threshold < 1 else 1
+
+
+def least_estimate(threshold: float) -> float:
+    """The estimate below which a pair at the threshold falls with probability MISS at most, by the binomial distribution of equal low bits."""
+    p, below, k = threshold + (1 - threshold) * 0.5**BITS, 0.0, 0
+    while k < MINIMA and (below := below + math.comb(MINIMA, k) * p**k * (1 - p) ** (MINIMA - k)) <= MISS:
+        k += 1
+    return (k / MINIMA - 0.5**BITS) / (1 - 0.5**BITS)
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     h = hashes(lowered(text))
@@ -48,8 +62,8 @@ def _family_of_hashes() -> tuple[np.ndarray, np.ndarray]:
     return mixed(k * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), mixed(k + np.uint64(1 << 40))
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 4 words of packed low bits, n x BANDS keys) of non-empty sets."""
+def signatures(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n x 4 words of packed low bits, n x bands keys) of non-empty sets."""
     flat = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
     mul, add = _family_of_hashes()
@@ -61,9 +75,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         low[:, j] = np.minimum.reduceat(step, at) >> np.uint64(32)
     bits = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(sets), -1, 64 // BITS)
     packed = np.bitwise_or.reduce(bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
-    keys = np.full((len(sets), BANDS), 7, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    keys = np.full((len(sets), bands), 7, np.uint64) + np.arange(bands, dtype=np.uint64)
     for r in range(ROWS):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r : BANDS * ROWS : ROWS])
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r : bands * ROWS : ROWS])
     return packed, keys.view(np.int64)
 
 
@@ -76,19 +90,19 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int, bands: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, cid (class of equal sets, null for an empty one), sig, bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, width) for t in b["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
-            cid, sig, bands = [None] * len(b), [None] * len(b), [None] * len(b)
+            cid, sig, key = [None] * len(b), [None] * len(b), [None] * len(b)
             if full:
-                packed, keys = signatures([sets[i] for i in full])
+                packed, keys = signatures([sets[i] for i in full], bands)
                 for k, i in enumerate(full):
-                    cid[i], sig[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), packed[k].tobytes(), keys[k]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": [len(s) for s in sets], "cid": cid, "sig": sig, "bands": bands})
+                    cid[i], sig[i], key[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), packed[k].tobytes(), keys[k]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": [len(s) for s in sets], "cid": cid, "sig": sig, "bands": key})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, cid binary, sig binary, bands array<long>")
@@ -120,6 +134,8 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
 def families(classes: DataFrame, threshold: float) -> DataFrame:
     """(node, root): families of classes that are linked by estimated similarity inside band buckets."""
 
+    least = least_estimate(threshold)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in grouped(batches, ["key", "p", "q"]):
             key, p, q, own, n = (b[k].to_numpy() for k in ("key", "p", "q", "own", "n_shingles"))
@@ -134,13 +150,14 @@ def families(classes: DataFrame, threshold: float) -> DataFrame:
                 near = (p[x] == q[x]) | (own[x] != own[y])
                 near &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
                 x, y = x[near], y[near]
-                good = estimate(sig[x], sig[y]) >= threshold - MARGIN
+                good = estimate(sig[x], sig[y]) >= least
                 links.append(np.stack([node[x[good]], node[y[good]]], axis=1))
             if links:
                 found = forest(np.unique(np.concatenate(links), axis=0))
                 yield pd.DataFrame({"a": [bytes.fromhex(c) for c in cids[found[:, 0]]], "b": [bytes.fromhex(c) for c in cids[found[:, 1]]]})
 
-    shared = classes.select("cid", "sig", "n_shingles", F.explode("bands").alias("key")).withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
+    keys = classes.select("cid", "sig", "n_shingles", F.explode("bands").alias("key"))
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
     dealt = _blocks(shared, "key", BUCKET_BLOCK).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return components(dealt.mapInPandas(run, "a binary, b binary"))
 
@@ -181,39 +198,53 @@ def confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(found):
                     yield pd.DataFrame({"a": [cids[i] for i in found[:, 0]], "b": [cids[i] for i in found[:, 1]]})
 
-    members = members.withColumn("members", F.count("*").over(Window.partitionBy("root")))
-    dealt = _blocks(members, "root", FAMILY_BLOCK).repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-    return dealt.mapInPandas(run, "a binary, b binary")
+    return members.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, kept for every row of ``docs``.
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component (its name in bytes, null without words), keeper (doc_id and text_hash of
+    the row that stands for it), component_id and kept for every row of ``docs``.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets.
     """
-    prints = materialize(fingerprints(docs, width))
-    classes = prints.where("cid is not null").groupBy("cid").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")
-    )
+    prints = materialize(fingerprints(docs, width, bands_for(percent / 100)))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = prints.where("cid is not null").groupBy("cid").agg(F.min(row).alias("row"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes)
     family = families(classes, percent / 100)
-    wanted = family.join(classes.select(F.col("cid").alias("node"), F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "node")
+    wanted = family.join(family.groupBy("root").agg(F.count("*").alias("members")), "root").withColumnRenamed("node", "cid")
+    wanted = _blocks(wanted, "root", FAMILY_BLOCK).join(classes.select("cid", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     members = texts.join(wanted, texts["text_hash"].eqNullSafe(wanted["hash"]) & texts["doc_id"].eqNullSafe(wanted["id"]))
-    links = confirmed(members.select("root", F.col("node").alias("cid"), "text"), width, percent)
+    links = confirmed(members.select("root", "p", "q", "own", "cid", "text"), width, percent)
     comps = components(links).withColumnRenamed("node", "cid")
-    named = classes.select("cid", "low").join(comps, "cid")
-    lowest = named.groupBy("root").agg(F.min("low").alias("low"))
-    moved = named.drop("low").join(lowest, "root").select("cid", "low")
-    label = classes.select("cid", F.col("low").alias("own")).join(moved, "cid", "left").select("cid", F.coalesce("low", "own").alias("component_id"))
+    named = classes.select("cid", "row").join(comps, "cid")
+    moved = named.drop("row").join(named.groupBy("root").agg(F.min("row").alias("low")), "root")
+    label = classes.select("cid", F.col("row").alias("own")).join(moved, "cid", "left").select("cid", F.coalesce("low", "own").alias("keeper"), F.coalesce("root", "cid").alias("component"))
     out = prints.select("doc_id", "text_hash", "n_shingles", "cid").join(label, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id"))
+    kept = F.when(component.isNull() & F.col("cid").isNotNull(), F.col("text_hash").eqNullSafe(F.col("keeper.text_hash"))).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.col("keeper").dropFields("no_id").alias("keeper"), component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: one of each component."""
-    stays = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(stays, rows["doc_id"].cast("long").eqNullSafe(stays["_id"]) & rows["_text_hash"].eqNullSafe(stays["_hash"]))
-    return rows.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash", "_text_hash")
+    """The rows of ``docs`` (all columns) that stay: one of each component, and all without words."""
+    found = near_duplicates(docs, width, percent).where("component is not null")
+    stays = found.select(F.col("keeper.doc_id").alias("__id"), F.col("keeper.text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    worded = rows.join(stays, rows["doc_id"].cast("long").eqNullSafe(stays["__id"]) & rows["__text_hash"].eqNullSafe(stays["__hash"])).dropDuplicates(["__id", "__hash"])
+    wordless = docs.where(~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return worded.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(wordless)
+
+
+def oracle(width: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL for doc_id, n_shingles, component_id, kept: all pairs that share a shingle, and reachability. For tables of some thousand texts."""
+    capital, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capital}', '{small}'), '[^ 	-
+]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + {width - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS j FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= {percent} * (x.n + y.n - common)),
+    c AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a) m USING (doc_id)"""

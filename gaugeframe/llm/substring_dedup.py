@@ -12,7 +12,8 @@ three passes read the same exchange.
 
 The earlier place is the one with the smaller doc_id, or the earlier start in the same document. Defined results:
 null or empty text: no words. Null doc_id: comes before all others. Rows with the same doc_id: those in the lower block
-come first, in a block those with the smaller xxhash64 of their text; equal ones in the order of arrival. Other columns are ignored.
+come first, in a block those with the smaller xxhash64 of their text; equal ones in the order of arrival. Very long texts: whole, in one block. Empty table: no rows.
+Columns other than doc_id and text are ignored, whatever their names. Windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -131,3 +132,14 @@ def repeats(docs: DataFrame, length: int = 20, block_bytes: int = BLOCK_BYTES) -
     found = found.withColumns({"low": F.min(F.struct("doc_id", "place")).over(by_hash), "blocks": F.count("*").over(by_hash)}).where("blocks > 1 or place % 2 = 1")
     shared = found.select((F.shiftright("place", 40)).cast("int").alias("block"), "hash", (F.col("low.place") == F.col("place")).alias("mine"))
     return blocks.cogroup(shared.groupBy("block")).applyInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<begin:long,end:long>>")
+
+
+def oracle(length: int = 20) -> str:
+    """DuckDB SQL for doc_id, n_words, n_removed, kept_sha256, by all windows."""
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, j, md5(array_to_string(w[j:j + {length - 1}], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {length - 2})) AS j FROM w WHERE len(w) >= {length})),
+    again AS (SELECT doc_id, j FROM s QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, j) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(j, j + {length})) AS j FROM again),
+    each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM w),
+    kept AS (SELECT e.doc_id, count(g.j) AS n_removed, string_agg(CASE WHEN g.j IS NULL THEN x END, ' ' ORDER BY e.j) AS kept FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.j = e.j GROUP BY e.doc_id)
+    SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
