@@ -6,11 +6,13 @@ so that the largest is 1: nothing is taken twice. A document is sampled where a
 doc_id is below its cell's probability, so runs agree, and a hot source is thinned in place without moving.
 
 ``topic`` is what the text looks like, unless the documents have a column of that name. A target defaults to the margin's share
-to the power ``SMOOTHING``. Cells are aggregated before any shuffle. Up to ``TOGETHER`` cells, counted first, are raked in one
-partition without further shuffles; beyond that each margin is a shuffle of the cells.
+to the power ``SMOOTHING``. Cells are aggregated before any shuffle. Up to ``TOGETHER`` of them, counted first, are raked in one partition without further
+shuffles; beyond that a round adds the weights up by each margin and joins the sums back, so no task holds all cells of a hot value. The weights are the same
+either way. ``residuals`` tells how far the margins still are from their targets.
 
 Defined results: nulls in a margin are a value of their own; null or empty text: no tokens, and where a whole cell has none, probability 1. Null doc_id: hashed by
-its text. Repeated rows get the same decision.
+its text. Repeated rows get the same decision. Very long texts count whole. Empty table: no rows. ``mixed`` replaces columns named topic (unless there is one), n_tokens,
+probability and sampled; ``sampled`` returns the columns of ``docs`` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeframe.llm.common import materialize
+from gaugeframe.llm.common import discard, if_few, materialize
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS, SMOOTHING = 10, 0.9
+#: Cells up to which, after a count, one partition holds them all and raking needs no shuffle.
 TOGETHER = 100_000
 
 
@@ -35,50 +38,82 @@ def topic_of(text: Column) -> Column:
 
 def _prepared(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("_tokens", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+    out = docs.withColumn("__tokens", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text))))
-    out = out.withColumn("_u", F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48))
-    return out if "topic" in docs.columns else out.withColumn("topic", topic_of(text))
+    out = out.withColumn("__u", F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(1 << 48))
+    return out.withColumn("__topic", F.col("topic") if "topic" in docs.columns else topic_of(text))
+
+
+def _targets(cells: DataFrame, margin: str, given: dict[str, float] | None, total: float, smoothing: float) -> DataFrame:
+    """(_value, _target): the share that each value of a margin shall have."""
+    value = F.col(margin).alias("_value")
+    if given is not None:
+        known = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+        return cells.select(value).distinct().withColumn("_target", F.coalesce(known[F.col("_value")], F.lit(0.0)))
+    shares = cells.groupBy(value).agg(F.pow(F.sum("tokens") / total, F.lit(smoothing)).alias("_share"))
+    every = shares.agg(F.sum("_share")).scalar()
+    return shares.select("_value", (F.col("_share") / every).alias("_target"))
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> DataFrame:
     """Cells (margins, tokens > 0) with ``weight``; the weights add up to 1. ``targets``: shares by margin and value; values without one share nothing."""
-    if cells.count() <= TOGETHER:
-        cells = cells.coalesce(1)
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("tokens").cast("double")).scalar()
-    for m in MARGINS:
-        by = Window.partitionBy(m)
-        if targets and m in targets:
-            known = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
-            out = out.withColumn(f"_{m}", F.coalesce(known[F.col(m)], F.lit(0.0)))
-        else:
-            share = F.pow(F.sum("tokens").over(by) / total, F.lit(smoothing))
-            every = cells.groupBy(m).agg(F.pow(F.sum("tokens") / total, F.lit(smoothing)).alias("s")).agg(F.sum("s")).scalar()
-            out = out.withColumn(f"_{m}", share / every)
+    goals = {m: _targets(cells, m, (targets or {}).get(m), total, smoothing) for m in MARGINS}
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    if cells.count() <= TOGETHER:
+        for m in MARGINS:
+            out = out.join(F.broadcast(goals[m].withColumnsRenamed({"_value": f"_v_{m}", "_target": f"_t_{m}"})), F.col(m).eqNullSafe(F.col(f"_v_{m}")))
+        out = out.coalesce(1)
+        for m in MARGINS * rounds:
+            out = out.withColumn("weight", _aimed(F.col(f"_t_{m}"), F.sum("weight").over(Window.partitionBy(m))))
+        return out.select(*MARGINS, "tokens", "weight")
+    goals = {m: if_few(materialize(goal)) for m, goal in goals.items()}
     for _ in range(rounds):
+        before = out
         for m in MARGINS:
-            out = out.withColumn("weight", F.try_divide(F.col("weight") * F.col(f"_{m}"), F.sum("weight").over(Window.partitionBy(m))))
-            out = out.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return out.drop(*[f"_{m}" for m in MARGINS])
+            sums = out.groupBy(F.col(m).alias("_m")).agg(F.sum("weight").alias("_sum")).join(goals[m], F.col("_m").eqNullSafe(F.col("_value")))
+            out = out.join(sums, F.col(m).eqNullSafe(F.col("_m"))).withColumn("weight", _aimed(F.col("_target"), F.col("_sum"))).select(*MARGINS, "tokens", "weight")
+        out = materialize(out)
+        discard(before)
+    return out
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> DataFrame:
-    """``docs`` with topic, n_tokens, probability and sampled."""
+def _aimed(target: Column, reached: Column) -> Column:
+    return F.coalesce(F.try_divide(F.col("weight") * target, reached), F.lit(0.0))
+
+
+def residuals(weights: DataFrame, targets: dict[str, dict[str, float]] | None = None, smoothing: float = SMOOTHING) -> DataFrame:
+    """margin, value, target, share: what raking aimed at and what it reached, for every value of every margin."""
+    total = weights.agg(F.sum("tokens").cast("double")).scalar()
+    parts = []
+    for m in MARGINS:
+        goal = _targets(weights, m, (targets or {}).get(m), total, smoothing)
+        share = weights.groupBy(F.col(m).alias("value")).agg(F.sum("weight").alias("share"))
+        parts.append(share.join(goal, F.col("value").eqNullSafe(F.col("_value"))).select(F.lit(m).alias("margin"), F.col("value").cast("string").alias("value"), F.col("_target").alias("target"), "share"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _decided(docs: DataFrame, targets: dict[str, dict[str, float]] | None, rounds: int, smoothing: float) -> DataFrame:
+    """``docs`` with __topic, __tokens, __chance and __u, the number that decides."""
     rows = _prepared(docs)
-    cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("_tokens").alias("tokens")))
-    weights = materialize(raked(cells.where("tokens > 0"), targets, rounds, smoothing).withColumn("ratio", F.col("weight") / F.col("tokens")))
+    names = {m: "__topic" if m == "topic" else m for m in MARGINS}
+    cells = materialize(rows.groupBy(*[F.col(n).alias(m) for m, n in names.items()]).agg(F.sum("__tokens").alias("tokens")))
+    weights = materialize(raked(cells.where("tokens > 0"), targets, rounds, smoothing)).withColumn("ratio", F.col("weight") / F.col("tokens"))
     most = weights.agg(F.max("ratio")).scalar()
-    rates = weights.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], (F.col("ratio") / most).alias("_p"))
-    same = [rows[m].eqNullSafe(rates[f"_{m}"]) for m in MARGINS]
-    out = rows.drop("n_tokens", "probability", "sampled").join(rates, same[0] & same[1] & same[2], "left")
-    chance = F.coalesce("_p", F.lit(1.0))
-    return out.withColumns({"n_tokens": F.col("_tokens"), "probability": F.round(chance, 9), "sampled": F.col("_u") < chance}).drop("_tokens", "_u", "_p", *[f"_{m}" for m in MARGINS])
+    rates = if_few(weights.select(*[F.col(m).alias(f"__of_{m}") for m in MARGINS], (F.col("ratio") / most).alias("__p")))
+    same = [rows[n].eqNullSafe(rates[f"__of_{m}"]) for m, n in names.items()]
+    return rows.join(rates, same[0] & same[1] & same[2], "left").withColumn("__chance", F.coalesce("__p", F.lit(1.0)))
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> DataFrame:
+    """``docs`` with topic, n_tokens, probability and sampled."""
+    new = {"topic": F.col("__topic"), "n_tokens": F.col("__tokens"), "probability": F.round("__chance", 9), "sampled": F.col("__u") < F.col("__chance")}
+    return _decided(docs, targets, rounds, smoothing).withColumns(new).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*docs.columns, *new])])
 
 
-def sampled(docs: DataFrame, **how: object) -> DataFrame:
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> DataFrame:
     """The rows of ``docs`` that are sampled, with its columns."""
-    return mixed(docs, **how).where("sampled").select(*docs.columns)
+    return _decided(docs, targets, rounds, smoothing).where("__u < __chance").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(rounds: int = ROUNDS, smoothing: float = SMOOTHING, table: str = "documents", kept: str = "") -> str:
