@@ -6,11 +6,13 @@ text's length and whole hash, and a sketch: the ``KEEP`` least mixed hashes of a
 points. Likeness is 1 for equal texts, else the share of spans that two texts have in common (2 x common / all),
 estimated from the sketches.
 
-Documents are dealt into ranges of doc_id; the first row of each range also goes to the range before it, so every row
-meets its successor in its own task and the text crosses the network once.
+Documents are dealt into ranges of (doc_id, hash of the text); the first row of each range also goes to the range before it, so every row
+meets its successor in its own task and the text crosses the network once. Bounds are quantiles of doc_id; an id that takes several quantiles, and null, is
+split by the hash. A task holds two texts at a time, whatever the size of its range.
 
-Defined results: null or empty text: empty, likeness 1 to another empty text and 0 to any other. A text shorter than a span is one span.
-Null doc_id: before all others. Repeated ids: by the hash of the text; equal rows follow each other.
+Defined results: null or empty text: empty, likeness 1 to another empty text and 0 to any other. A text shorter than a span is one span. Very long texts: whole.
+Null doc_id: before all others. Repeated ids: by the hash of the text; equal rows follow each other. One row: its own successor. Empty table: no rows.
+Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gaugeframe.llm.common import mixed, text_bytes
+from gaugeframe.llm.common import materialize, mixed, text_bytes
 
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
-SPAN, KEEP = 16, 48
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+SPAN, KEEP = 16, 128
+#: Text in a range, and the most ranges: beyond 256 GB they grow, in time but not in memory.
+RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 16
 
 _POWERS: dict[int, list[np.ndarray]] = {}
 
@@ -153,21 +157,53 @@ def _row(doc_id: object, text: str, x: tuple, y: tuple) -> tuple:
     return doc_id, p.n, hashlib.sha256(whole).hexdigest(), str(f), str(ef), likeness(f, ef), likeness(f, g), common_extension(p, 0, e, 0)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+class Ranges:
+    """Numbers the ranges of (doc_id, text_hash), nulls first, in ascending order."""
+
+    def __init__(self, quantiles: list[float], nulls: int):
+        self.nulls = nulls
+        self.values, self.times = np.unique(np.array(quantiles, float), return_counts=True)
+        self.hot = np.r_[self.times > 1, False]
+        self.times = np.r_[self.times, 1]
+        width = np.where(self.hot, 1 + self.times, 1)
+        self.base = nulls + np.cumsum(width) - width
+
+    def number(self, doc_id: pd.Series, text_hash: pd.Series) -> pd.Series:
+        part = (text_hash.to_numpy(np.int64).astype(float) + 2.0**63) / 2.0**64  # where the hash lies, in [0, 1]
+        d = doc_id.to_numpy(float, na_value=np.nan)
+        i = np.searchsorted(self.values, d, "left")  # NaN: behind all
+        same = self.hot[i] & (np.r_[self.values, np.nan][i] == d)
+        out = self.base[i] + np.where(same, 1 + np.minimum(part * self.times[i], self.times[i] - 1).astype(np.int64), 0)
+        return pd.Series(np.where(np.isnan(d), np.minimum(part * self.nulls, self.nulls - 1).astype(np.int64), out))
+
+
+def ranges_of(rows: DataFrame, range_bytes: int) -> Ranges:
+    n = min(MOST_RANGES, 1 + text_bytes(rows) // range_bytes)
+    every, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    nulls = max(1, round(n * (every - known) / every)) if every > known else 0
+    rest = max(1, n - nulls)
+    return Ranges(rows.approxQuantile("doc_id", [k / rest for k in range(1, rest)], 0.1 / rest) if rest > 1 and known else [], nulls)
+
+
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_prefix (of text and edited text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    n = min(MOST_RANGES, 1 + text_bytes(docs) // RANGE_BYTES)
-    bounds = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []))
-    edges = F.split(F.lit(",".join(str(int(b)) for b in bounds)), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
-    rows = rows.withColumn("range", F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))), F.lit(0)))
-    heads = rows.groupBy("range").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).orderBy("range").collect()  # one for each range, MOST_RANGES at most
-    before = [(h["range"], heads[k - 1]["range"], h["head"]["doc_id"], h["head"]["text_hash"]) for k, h in enumerate(heads)]
-    table = docs.sparkSession.createDataFrame(before, "of int, before int, head_id long, head_hash long")
-    rows = rows.join(F.broadcast(table), F.col("range") == F.col("of"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))
-    places = F.when(is_head, F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("r"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy"))))
-    rows = rows.withColumn("place", F.explode(places)).select("place.r", "place.copy", "doc_id", "text_hash", "text")
-    parts = max(n, 1)
+    ranges = ranges_of(rows, range_bytes)
+
+    @F.pandas_udf("long")
+    def number(doc_id: pd.Series, text_hash: pd.Series) -> pd.Series:
+        return ranges.number(doc_id, text_hash)
+
+    keys = rows.select("doc_id", "text_hash").withColumn("range", number("doc_id", "text_hash"))
+    order = Window.orderBy("range")
+    heads = keys.groupBy("range").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))  # a row for each range, about MOST_RANGES at most
+    heads = materialize(heads.select("head", F.col("range").alias("of"), F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("before")))
+    rows = rows.withColumn("range", number("doc_id", "text_hash")).join(F.broadcast(heads), F.col("range") == F.col("of"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    place = lambda r, copy: F.struct(F.col(r).alias("r"), F.lit(copy).alias("copy"))
+    rows = rows.withColumn("place", F.explode(F.when(is_head, F.array(place("range", 0), place("before", 1))).otherwise(F.array(place("range", 0)))))
+    rows = rows.select("place.r", "place.copy", "doc_id", "text_hash", "text")
+    parts = max(1, len(ranges.base) + int(ranges.times[ranges.hot].sum()) + ranges.nulls)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -187,7 +223,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    return rows.repartition(parts, "r").sortWithinPartitions("r", "copy", "doc_id", "text_hash").mapInPandas(run, SCHEMA)
+    return rows.repartitionByRange(parts, "r").sortWithinPartitions("r", "copy", "doc_id", "text_hash").mapInPandas(run, SCHEMA)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
