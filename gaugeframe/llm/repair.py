@@ -1,20 +1,24 @@
 """Re-Pair compressed token files.
 
-Documents are dealt by ranges of doc_id and cut into shards of about ``SHARD`` ids. In each shard frequent
-pairs of neighbouring symbols are replaced by nonterminals, again and again, from the most frequent
-downwards; a shard's file part stores the rules, the length that each nonterminal expands to, and what is
-left of the sequence, so any range of ids can be decoded on its own (``decode_range``).
+Documents are dealt by ranges of doc_id and cut into shards of about ``SHARD`` ids. In each shard the most frequent
+pairs of neighbouring symbols are replaced by nonterminals, again and again, until no pair comes ``LEAST`` times. A round replaces all pairs that
+are at least a quarter as frequent as the first, the more frequent one where two overlap. A shard's file part stores the rules, the length that each
+nonterminal expands to, and what is left of the sequence, so any range of ids can be decoded on its own (``decode_range``).
+
+A rule takes three numbers and each use of it saves one, so a pair that comes less than ``LEAST`` times would lengthen the file.
 
 A shard is one row of a Parquet table (written by Spark, so a lost task leaves nothing behind, and any store will
-do) with ``blob`` in this layout, little-endian: ``MAGIC``; four 32-bit counts (documents, ids, rules, symbols); documents' ids (64 bit), a
-byte for each that is 1 where the id is null, documents' lengths (32 bit), rules (two 16-bit symbols each), expansion lengths (32 bit), symbols
-(16 bit). Symbols below ``FIRST`` are token ids, the others rules.
+do) with ``blob`` in this layout, little-endian: ``MAGIC``; six 32-bit counts (documents, ids, rules, symbols, the first nonterminal, bytes of a symbol); documents' ids (64 bit), a
+byte for each that is 1 where the id is null, documents' lengths (32 bit), rules (two symbols each), expansion lengths (32 bit), symbols.
+A symbol has 2, 3 or 4 bytes, as the largest asks for. Symbols below the first nonterminal are token ids, the others rules. Ids may be as large as 2**31.
 
-Defined results: null or empty text: the end id alone. Null doc_id: before all others. Repeated ids: ordered by the hash of their text.
+Defined results: null or empty text: the end id alone. Null doc_id: before all others. Repeated ids: ordered by the hash of their text; equal rows each have their place. Very long
+texts: whole, in one shard. Empty table: a file without rows. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,71 +30,113 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeframe.llm.common import text_bytes
 from gaugeframe.llm.tokens import WORD_BPE, encoder
 
-END, SHARD = 2, 1 << 18
-MAGIC = b"GFRP0001"
-#: The first nonterminal: the vocabulary has 49,408 ids. A symbol has 16 bits, so a shard has at most 16,128 rules.
-FIRST, LAST = 49408, 1 << 16
+END, SHARD, LEAST = 2, 1 << 18, 4
+#: A round takes pairs down to this part of the first one's count.
+SHARE = 4
+#: Text of a task that writes shards.
+PART_BYTES = 8 << 20
+MAGIC = b"GFRP0002"
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, blob binary"
 
 
-def replace_pairs(ids: np.ndarray, end: int = END, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): frequent pairs replaced until none comes ``least`` times or the rules run out; no rule crosses an end.
+def _frequent(a: np.ndarray, blocked: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, pairs' ranks): where the pairs at least a ``1 / SHARE`` as frequent as the most frequent one stand; rank 0 is the most frequent.
 
-    Each round counts all pairs (in 2**16 hashed cells) and replaces those at least a 32nd as frequent as the first.
+    Pairs are counted exactly, but only where hashed cells, whose counts bound theirs from above, leave a chance.
     """
-    a, rules = ids.astype(np.uint32), []
-    while len(a) > 1 and len(rules) < LAST - FIRST:
-        cell = ((a[:-1] * np.uint32(0x9E3779B1)) ^ (a[1:] * np.uint32(0x85EBCA77))) >> np.uint32(16)
-        cell[a[:-1] == end] = 0
-        count = np.bincount(cell, minlength=1 << 16)
-        count[0] = 0
-        top = int(count.max())
-        if top < least:
+    mix = a * np.uint32(0x9E3779B1)
+    cell = ((mix[:-1] ^ (mix[1:] >> np.uint32(7))) * np.uint32(0x85EBCA77) >> np.uint32(15)).astype(np.int64)
+    cell[blocked] = 1 << 17
+    bound = np.bincount(cell, minlength=(1 << 17) + 1)
+    bound[1 << 17] = 0
+    need = max(least, int(bound.max()) // SHARE)
+    while True:
+        at = np.flatnonzero((bound >= need)[cell])
+        key = a[at].astype(np.uint64) << np.uint64(32) | a[at + 1].astype(np.uint64)
+        order = np.sort(key)
+        head = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[head, len(order)])
+        top = int(count.max()) if len(count) else 0
+        if top >= need or need == least:
             break
-        pick = np.flatnonzero(count >= max(least, top // 32))
-        pick = pick[np.argsort(-count[pick], kind="stable")][: LAST - FIRST - len(rules)]
-        rule = np.zeros(1 << 16, np.uint32)
-        rule[pick] = np.arange(FIRST + len(rules), FIRST + len(rules) + len(pick))
-        at = np.flatnonzero(rule[cell])
-        name = rule[cell[at]] - FIRST - len(rules)
-        left, right = np.zeros(len(pick), np.uint32), np.zeros(len(pick), np.uint32)
-        left[name], right[name] = a[at], a[at + 1]  # a cell stands for one of its pairs
-        same = (left[name] == a[at]) & (right[name] == a[at + 1])
-        at, name = at[same], name[same]
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of pairs that overlap, every other one is replaced
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
-        at, name = at[place % 2 == 0], name[place % 2 == 0]
-        used = np.bincount(name, minlength=len(pick))
-        good = used >= 3
-        number = np.cumsum(good) - 1
-        if not good.any():
+        need = max(least, top)
+    pick = np.flatnonzero(count >= max(need, -(-top // SHARE)))
+    known = order[head[pick]]
+    rank = np.empty(len(pick), np.int64)
+    rank[np.argsort(-count[pick], kind="stable")] = np.arange(len(pick))
+    i = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+    hit = known[i] == key if len(known) else np.zeros(len(key), bool)
+    return at[hit], rank[i[hit]]
+
+
+def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbols, rules, first nonterminal): pairs replaced, the most frequent first, until none comes ``least`` times; no rule goes on behind an end."""
+    first = int(ids.max(initial=end)) + 1 if first is None else first
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError(f"ids must be below {first}")
+    a, rules, n = ids.astype(np.uint32), [], first
+    while len(a) > 1:
+        blocked = np.flatnonzero(a[:-1] == end)
+        twin = np.flatnonzero(a[:-1] == a[1:])  # of a run of equal symbols every other pair counts
+        if len(twin):
+            begin = np.flatnonzero(np.diff(twin, prepend=-2) != 1)
+            place = np.arange(len(twin)) - np.repeat(begin, np.diff(np.r_[begin, len(twin)]))
+            blocked = np.concatenate([blocked, twin[place % 2 == 1]])
+        at, rank = _frequent(a, blocked, least)
+        if not len(at):
             break
-        at, name = at[good[name]], name[good[name]]
-        a[at] = (FIRST + len(rules) + number[name]).astype(np.uint32)
+        last, after = np.diff(at, prepend=-2) == 1, np.diff(at, append=len(a) + 1) == 1
+        best = ~(last & (np.r_[0, rank[:-1]] < rank)) & ~(after & (np.r_[rank[1:], 0] < rank))
+        at, rank = at[best], rank[best]
+        good = np.bincount(rank) >= least
+        if not good.any():
+            break  # cannot be: the first keeps all its places
+        number = np.cumsum(good) - 1
+        at, rank = at[good[rank]], rank[good[rank]]
+        _, one = np.unique(rank, return_index=True)
+        rules.append(np.stack([a[at[one]], a[at[one] + 1]], axis=1))
+        a[at] = (n + number[rank]).astype(np.uint32)
         keep = np.ones(len(a), bool)
         keep[at + 1] = False
         a = a[keep]
-        rules += zip(left[good].tolist(), right[good].tolist(), strict=True)
-    return a.astype(np.uint16), np.array(rules, np.uint16).reshape(-1, 2)
+        n += int(good.sum())
+    return a, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
-def sizes(rules: np.ndarray) -> np.ndarray:
+def sizes(rules: np.ndarray, first: int) -> np.ndarray:
     """The number of ids that each rule expands to."""
-    n = [1] * FIRST
+    n: list[int] = []
     for x, y in rules.tolist():
-        n.append(n[x] + n[y])
-    return np.array(n[FIRST:], np.uint32)
+        n.append((n[x - first] if x >= first else 1) + (n[y - first] if y >= first else 1))
+    return np.array(n, np.uint32)
+
+
+def _narrow(symbols: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(symbols.reshape(-1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
 
 
-def to_blob(doc_ids: list[int | None], lengths: list[int], ids: bytes) -> bytes:
-    symbols, rules = replace_pairs(np.frombuffer(ids, "<u4"))
-    head = struct.pack("<4I", len(doc_ids), len(ids) // 4, len(rules), len(symbols))
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u4").reshape(-1)
+
+
+def to_blob(doc_ids: list[int | None], lengths: list[int], ids: bytes, first: int | None = None) -> bytes:
+    symbols, rules, first = replace_pairs(np.frombuffer(ids, "<u4"), first=first)
+    width = max(2, -(-int(first + len(rules)).bit_length() // 8))
+    head = struct.pack("<6I", len(doc_ids), len(ids) // 4, len(rules), len(symbols), first, width)
     null = np.array([d is None for d in doc_ids], np.uint8)
     number = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = [number, null, np.array(lengths, "<u4"), rules.astype("<u2"), sizes(rules).astype("<u4"), symbols.astype("<u2")]
-    return MAGIC + head + b"".join(x.tobytes() for x in parts)
+    parts = [number.tobytes(), null.tobytes(), np.array(lengths, "<u4").tobytes(), _narrow(rules, width), sizes(rules, first).astype("<u4").tobytes(), _narrow(symbols, width)]
+    return MAGIC + head + b"".join(parts)
+
+
+@functools.lru_cache(maxsize=2)
+def _terminals(first: int) -> list[bytes]:
+    return [k.to_bytes(4, "little") for k in range(first)]
 
 
 class Shard:
@@ -99,25 +145,40 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:8] != MAGIC:
             raise ValueError("not a shard of token ids")
-        docs, self.n, rules, symbols = struct.unpack_from("<4I", blob, 8)
-        self.at = 24
+        docs, self.n, rules, symbols, self.first, width = struct.unpack_from("<6I", blob, 8)
+        at = 32
 
-        def take(kind: str, n: int) -> np.ndarray:
-            out = np.frombuffer(blob, kind, n, self.at)
-            self.at += out.nbytes
-            return out
+        def take(size: int) -> bytes:
+            nonlocal at
+            at += size
+            return blob[at - size : at]
 
-        number, null = take("<i8", docs), take("u1", docs)
+        number, null = np.frombuffer(take(8 * docs), "<i8"), np.frombuffer(take(docs), "u1")
         self.doc_ids = [None if x else d for d, x in zip(number.tolist(), null.tolist(), strict=True)]
-        self.lengths = take("<u4", docs).astype(np.int64)
-        self.rules, self.expands = take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.symbols = take("<u2", symbols)
-        words = list(_TERMINALS)
-        for x, y in self.rules.tolist():
-            words.append(words[x] + words[y])
+        self.lengths = np.frombuffer(take(4 * docs), "<u4").astype(np.int64)
+        self.rules = _wide(take(2 * rules * width), width).reshape(-1, 2)
+        self.expands = np.frombuffer(take(4 * rules), "<u4")
+        self.symbols = _wide(take(symbols * width), width)
+        if self.first <= 1 << 17:
+            words = list(_terminals(self.first))
+            for x, y in self.rules.tolist():
+                words.append(words[x] + words[y])
+            self.used = None
+        else:  # terminals that occur, renumbered
+            self.used = np.unique(np.concatenate([x[x < self.first] for x in (self.symbols, self.rules.reshape(-1))]))
+            words = [int(k).to_bytes(4, "little") for k in self.used]
+            for x, y in zip(self._place(self.rules[:, 0]).tolist(), self._place(self.rules[:, 1]).tolist(), strict=True):
+                words.append(words[x] + words[y])
         self.words = np.frombuffer(b"".join(words), "<u4")  # what each symbol stands for, one after the other
-        self.width = np.r_[np.ones(FIRST, np.int64), self.expands.astype(np.int64)]
+        self.width = np.r_[np.ones(len(words) - rules, np.int64), self.expands.astype(np.int64)]
         self.where = np.cumsum(self.width) - self.width
+        self.symbols = self._place(self.symbols)
+
+    def _place(self, symbols: np.ndarray) -> np.ndarray:
+        """Where a symbol stands in ``words``."""
+        if self.used is None:
+            return symbols
+        return np.where(symbols < self.first, np.searchsorted(self.used, symbols), len(self.used) + symbols.astype(np.int64) - self.first)
 
     def _expand(self, symbols: np.ndarray) -> bytes:
         width = self.width[symbols]
@@ -137,19 +198,16 @@ class Shard:
         return raw[4 * skip : 4 * (skip + end - begin)]
 
 
-_TERMINALS = [k.to_bytes(4, "little") for k in range(FIRST)]
-
-
 def shards(docs: DataFrame, path: str = WORD_BPE, end: int = END, partitions: int | None = None) -> DataFrame:
     """The rows of a token table (SHARD_SCHEMA) in ascending order of doc_id: by ``part``, then ``shard``."""
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, shard, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
+        part, shard, encode, first = TaskContext.get().partitionId(), 0, encoder(path).encode, encoder(path).tokenizer.get_vocab_size()
         doc_ids, lengths, held, size = [], [], [], 0
 
         def row() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "shard": [shard], "n_docs": [len(doc_ids)], "n_tokens": [size], "blob": [to_blob(doc_ids, lengths, b"".join(held))]})
+            return pd.DataFrame({"part": [part], "shard": [shard], "n_docs": [len(doc_ids)], "n_tokens": [size], "blob": [to_blob(doc_ids, lengths, b"".join(held), max(first, end + 1))]})
 
         for b in batches:
             for k in range(0, len(b), 256):
@@ -165,7 +223,7 @@ def shards(docs: DataFrame, path: str = WORD_BPE, end: int = END, partitions: in
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or 1 + text_bytes(rows) // PART_BYTES
     return rows.repartitionByRange(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash").mapInPandas(run, SHARD_SCHEMA)
 
 
