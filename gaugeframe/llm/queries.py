@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle()}
+    return {"op4_substring_dedup": substring_dedup.oracle(), "op5_mixing": mixing.oracle(), "op7_near_dedup": near_dedup.oracle(), "op8_secrets": secrets.oracle()}
