@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,14 +18,47 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], order: str, value: s
     return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
 
 
-def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, length: str, width: int) -> DataFrame:
-    """Each point with the range of its group that starts last at or before it and holds it. Ranges are cut into cells
-    of ``width``, so points meet only ranges in their own cell; the narrower the cells, the more of them a range fills."""
-    cells = ranges.where(F.col(length) > 0).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(length) - 1) / width))))
-    rows = points.withColumn("_cell", F.floor(F.col(at) / width)).withColumn("_row", F.monotonically_increasing_id())
-    hit = rows.join(cells, [*by, "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length)))
-    last = Window.partitionBy("_row").orderBy(F.col(start).desc())
-    return hit.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_row", "_cell")
+def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, length: str, width: int | None = None) -> DataFrame:
+    """Each point with the range of its group that starts last at or before it and holds it. Ranges are cut into cells, so points meet only ranges in
+    their own cell. ``width`` of a cell is the mean length of ranges if not given; a range that fills more than MOST_CELLS is cut into cells of
+    a coarser grid, of which each is MOST_CELLS times as wide, and so on. Equal points are looked up once."""
+    some = ranges.where(F.col(length) > 0)
+    mean, longest = some.agg(F.avg(length), F.max(length)).first()
+    width = width or max(1, math.ceil(mean or 1))
+    levels = 0
+    while longest and longest > width * MOST_CELLS ** (levels + 1):
+        levels += 1
+    size = F.pow(F.lit(float(MOST_CELLS)), F.col("_level")) * width
+    level = sum(((F.col(length) > width * MOST_CELLS ** (k + 1)).cast("int") for k in range(levels)), F.lit(0))
+    cells = some.withColumn("_level", level).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(start) + F.col(length) - 1) / size))))
+    key = points.columns
+    rows = points.groupBy(*key).agg(F.count("*").alias("_n")).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_cell", F.floor(F.col(at) / size))
+    hit = rows.join(cells, [*by, "_level", "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length)))
+    more = [c for c in ranges.columns if c not in key]
+    last = hit.groupBy(*key, "_n").agg(F.max_by(F.struct(*more), F.col(start)).alias("_r"))
+    return last.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*key, "_r.*")
+
+
+#: Cells that a range fills at most, but for one.
+MOST_CELLS = 16
+
+
+def enclosing(frames: DataFrame, level: int = 15) -> DataFrame:
+    """Frames (run, depth, x, w, name) with ``parent``: the name of the first frame one level up (down, for those at the top) whose width holds theirs, or '-'."""
+    up = F.when(F.col("depth") >= level, F.col("depth") - level).otherwise(F.col("depth") + level)
+    rows = frames.withColumn("_up", up)
+    above = frames.select(F.col("run").alias("_run"), F.col("depth").alias("_d"), F.col("x").alias("_x"), F.col("w").alias("_w"), F.col("name").alias("_name"))
+    hit = rows.join(above, (F.col("run") == F.col("_run")) & (F.col("_up") == F.col("_d")) & (F.col("_x") <= F.col("x")) & (F.col("_x") + F.col("_w") >= F.col("x") + F.col("w")), "left")
+    found = hit.groupBy(*frames.columns).agg(F.min_by("_name", F.struct("_x", "_name")).alias("parent"))
+    return found.withColumn("parent", F.coalesce("parent", F.lit("-")))
+
+
+def symbolized(addresses: DataFrame, symbols: DataFrame, by: list[str]) -> DataFrame:
+    """``addresses`` (address) with the symbol that starts last at or before each, if it reaches so far; a symbol of size 0 reaches to the next one."""
+    until = F.lead("start").over(Window.partitionBy(*by).orderBy("start"))
+    ends = symbols.withColumn("end", F.when(F.col("size") > 0, F.col("start") + F.col("size")).otherwise(F.coalesce(until, F.lit(1 << 62))))
+    found = as_of(addresses, ends.select(*by, F.col("start").alias("address"), F.struct("name", "end").alias("symbol")), by, "address", "symbol", "_s")
+    return found.withColumn("symbol", F.when(F.col("address") < F.col("_s.end"), F.col("_s.name"))).drop("_s")
 
 
 def key_values_side_by_side(kv: DataFrame, runs: list[str]) -> DataFrame:
@@ -32,9 +67,10 @@ def key_values_side_by_side(kv: DataFrame, runs: list[str]) -> DataFrame:
 
 
 def differing_keys(kv: DataFrame, runs: DataFrame) -> DataFrame:
-    """Keys whose values are not the same in all runs; a missing value is empty."""
+    """Keys whose values are not the same in all runs; a missing value, a null and an empty text are one and the same."""
     n = runs.select(F.count_distinct("run")).scalar()
-    each = kv.groupBy("grp", "key").agg(F.count_distinct("value").alias("values"), F.count_distinct("run").alias("runs"))
+    some = F.nullif(F.coalesce("value", F.lit("")), F.lit(""))
+    each = kv.groupBy("grp", "key").agg(F.count_distinct(some).alias("values"), F.count_distinct(F.when(some.isNotNull(), F.col("run"))).alias("runs"))
     return each.where((F.col("values") + (F.col("runs") < n).cast("int")) > 1).select("grp", "key")
 
 

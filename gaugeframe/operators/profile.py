@@ -54,9 +54,97 @@ def flame(samples: DataFrame) -> DataFrame:
 
 
 def difference(frames_: DataFrame, base_run: str) -> DataFrame:
-    """Share of self samples of each function in every run against the base run, missing ones as 0."""
-    shares = frames_.withColumn("share", F.try_divide(F.col("self") * 100.0, F.sum("self").over(Window.partitionBy("run"))))
-    base = shares.where(F.col("run") == base_run).select("frame", F.col("share").alias("base_share"))
-    runs = shares.where(F.col("run") != base_run).select("run", "frame", "share")
-    out = runs.join(base, "frame", "full")
-    return out.select("run", "frame", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("base_share", F.lit(0.0)).alias("base_share"), (F.coalesce("share", F.lit(0.0)) - F.coalesce("base_share", F.lit(0.0))).alias("delta"))
+    """Share of self samples of each function in every run against the base run; a function that a run or the base lacks has share 0 there."""
+    whole = frames_.groupBy("run").agg(F.sum("self").alias("_all"))
+    shares = frames_.join(whole, "run").withColumn("share", F.coalesce(F.try_divide(F.col("self") * 100.0, F.col("_all")), F.lit(0.0)))
+    others = [r["run"] for r in whole.where(F.col("run") != base_run).select("run").collect()]  # a row for each run
+    base = shares.where(F.col("run") == base_run).select(F.explode(F.array(*map(F.lit, others)).cast("array<string>")).alias("run"), "frame", F.col("share").alias("base_share"))
+    out = shares.where(F.col("run") != base_run).select("run", "frame", "share").join(base, ["run", "frame"], "full").na.fill(0.0, ["share", "base_share"])
+    return out.withColumn("delta", F.col("share") - F.col("base_share"))
+
+
+def largest_differences(difference_: DataFrame, n: int) -> DataFrame:
+    return difference_.orderBy(F.abs("delta").desc(), "run", "frame").limit(n)
+
+
+#: Endings of frame names by kind of code, and the states of threads.
+ENDINGS = {"interpreted": "_[0]", "compiled": "_[j]", "inlined": "_[i]", "kernel": "_[k]", "c1": "_[1]", "native": "_[v]"}
+STATES = {"default": 0, "running": 1, "sleeping": 2, "waiting": 3}
+
+
+def frame_kind(frame: Column) -> Column:
+    """The kind of code that a frame's last four characters name, else native."""
+    return F.coalesce(*[F.when(F.right(frame, F.lit(4)) == e, F.lit(k)) for k, e in ENDINGS.items()], F.lit("native"))
+
+
+def plain_name(frame: Column) -> Column:
+    """A frame without the ending that names its kind."""
+    return F.when(F.right(frame, F.lit(4)).isin(*ENDINGS.values()), F.left(frame, F.length(frame) - 4)).otherwise(frame)
+
+
+def in_states(samples: DataFrame, states: tuple[int, ...] = ()) -> DataFrame:
+    """Samples in the given states of threads; none given stands for all but the default one."""
+    return samples.where(F.col("thread_state").isin(*(states or (1, 2, 3))))
+
+
+def total_samples(samples: DataFrame, states: tuple[int, ...] = ()) -> DataFrame:
+    """Samples of each run in the given states; runs without any have 0."""
+    runs = samples.select("run").distinct()
+    return runs.join(in_states(samples, states).groupBy("run").agg(F.sum("count").alias("samples")), "run", "left").na.fill(0, ["samples"])
+
+
+def block_of(ms: Column, start_ms: Column, width: int = 20) -> Column:
+    """The block of time that a moment falls into; blocks are aligned to their width."""
+    return F.floor(F.greatest(ms - (start_ms - F.pmod(start_ms, F.lit(width))), F.lit(0)) / width).cast("long")
+
+
+def block_range(begin_ms: int, end_ms: int, width: int = 20) -> tuple[int, int]:
+    """Blocks (from, to) that a half-open range of milliseconds since the start spans."""
+    return max(0, begin_ms) // width, max(0, end_ms) // width
+
+
+def heat(samples: DataFrame, blocks: int) -> DataFrame:
+    """Samples by run in cells of so many blocks, and as a share of the run's fullest cell."""
+    cells = samples.groupBy("run", F.floor(F.col("block") / blocks).alias("cell")).agg(F.sum("count").alias("samples"))
+    most = cells.groupBy("run").agg(F.max("samples").alias("_most"))
+    return cells.join(most, "run").select("run", "cell", "samples", F.try_divide("samples", "_most").alias("heat"))
+
+
+def top_functions(samples: DataFrame, n: int) -> DataFrame:
+    """The ``n`` functions of each run with the most self samples, with their shares of all samples in percent."""
+    every = samples.groupBy("run").agg(F.sum("count").alias("_all"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("self"), "frame"))
+    rows = frames(samples).withColumn("_k", rank).where(F.col("_k") <= n).join(every, "run")
+    return rows.select("run", "frame", "self", "total", (F.col("self") * 100.0 / F.col("_all")).alias("self_percent"), (F.col("total") * 100.0 / F.col("_all")).alias("total_percent"))
+
+
+def search(nodes_: DataFrame, pattern: str) -> DataFrame:
+    """Nodes of each run whose function matches, and their self samples."""
+    return nodes_.where(F.element_at("node", -1).rlike(pattern)).groupBy("run").agg(F.count("*").alias("nodes"), F.sum("self").alias("samples"))
+
+
+def flame_top(flame_: DataFrame, n: int, least_percent: float = 0.0, pattern: str | None = None) -> DataFrame:
+    """The largest ``n`` nodes over all runs by their share of the run's samples, with their depth and parent."""
+    every = flame_.where(F.size("node") == 1).groupBy("run").agg(F.sum("total").alias("_all"))
+    rows = flame_.join(every, "run").withColumns({"percent": F.col("total") * 100.0 / F.col("_all"), "name": F.element_at("node", -1), "depth": F.size("node") - 1})
+    rows = rows.withColumn("parent", F.coalesce(F.try_element_at("node", F.greatest(F.col("depth"), F.lit(1))), F.lit("-"))).where(F.col("percent") >= least_percent)
+    rows = rows.withColumn("parent", F.when(F.col("depth") == 0, "-").otherwise(F.col("parent")))
+    rows = rows if pattern is None else rows.where(F.col("name").rlike(pattern))
+    return rows.orderBy(F.desc("percent"), "run", F.concat_ws(";", "node")).limit(n).select("run", "name", F.col("total").alias("samples"), "percent", "depth", "parent")
+
+
+def against_base(nodes_: DataFrame, base_run: str) -> DataFrame:
+    """Nodes of the other runs against the base run's by path: change in samples and in percentage points of all, and that change over the greatest one of its run."""
+    all_ = nodes_.where(F.size("node") == 1).groupBy("run").agg(F.sum("total").alias("_all"))
+    rows = nodes_.join(all_, "run").select("run", "node", "total", (F.col("total") * 100.0 / F.col("_all")).alias("percent"))
+    base = rows.where(F.col("run") == base_run).select("node", F.col("total").alias("b_total"), F.col("percent").alias("b_percent"))
+    out = rows.where(F.col("run") != base_run).join(base, "node", "left").na.fill(0, ["b_total", "b_percent"])
+    out = out.select("run", "node", (F.col("total") - F.col("b_total")).alias("samples"), (F.col("percent") - F.col("b_percent")).alias("points"))
+    most = out.groupBy("run").agg(F.max(F.abs("points")).alias("_most"))
+    small = F.col("_most") < 2.220446049250313e-16
+    return out.join(most, "run").withColumn("normal", F.when(small, 0.0).otherwise(F.try_divide("points", "_most"))).drop("_most")
+
+
+def stack_text(samples: DataFrame) -> DataFrame:
+    """One line a sample: ``ms|pid|a;b;c``."""
+    return samples.select(F.concat_ws("|", F.col("ms").cast("string"), F.col("pid").cast("string"), F.concat_ws(";", "path")).alias("line"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeframe.functions.expr import compare, finding_score, ratio
+from gaugeframe.operators import profile
 
 FINDING = ("run", "key", "rule_name", "score", "description")
 
@@ -140,6 +141,117 @@ class PreemptionRule:
         return _finding(hit.withColumns({"key": F.lit("CONFIG_PREEMPT_LAZY"), "score": F.lit(0.0)}), self.name, "lazy preemption")
 
 
+@dataclass(frozen=True)
+class StackThreshold:
+    """The share of stacks that hold frames of the given patterns, of one or the sum of all, against a least percentage."""
+
+    name: str
+    patterns: tuple[tuple[str, ...], ...]
+    threshold: float
+    base_score: float
+    states: tuple[int, ...] = ()
+    add_up: bool = True
+    totals: bool = True
+
+    def findings(self, samples: DataFrame) -> DataFrame:
+        """samples(run, profiler, block, thread_state, path, count)."""
+        rows = profile.in_states(samples, self.states).withColumn("run", F.struct("run", "profiler"))
+        out = rows.groupBy("run").agg(F.sum("count").alias("all"))
+        for k, pattern in enumerate(self.patterns):
+            found = profile.matches(rows, list(pattern)).select("run", F.col("total" if self.totals else "self").alias(f"n{k}"))
+            out = out.join(found, "run")
+        counts = [F.col(f"n{k}") for k in range(len(self.patterns))]
+        hits = reduce(lambda a, b: a + b, counts) if self.add_up or len(counts) == 1 else F.greatest(*counts)
+        hit = out.withColumn("percent", F.coalesce(F.try_divide(hits * 100.0, F.col("all")), F.lit(0.0))).where(F.col("percent") >= self.threshold)
+        hit = hit.select("run.run", F.col("run.profiler").alias("key"), F.lit(float(self.base_score)).alias("score"))
+        return _finding(hit, self.name, f"{self.threshold} % of samples")
+
+
+@dataclass(frozen=True)
+class MetadataExpected:
+    """A field of each profiler's metadata against a regular expression; a missing one counts if it must exist."""
+
+    name: str
+    key: str
+    pattern: str
+    base_score: float
+    must_exist: bool = True
+
+    def findings(self, profilers: DataFrame, metadata: DataFrame) -> DataFrame:
+        """profilers(run, profiler), metadata(run, profiler, key, value)."""
+        own = metadata.where(F.col("key") == self.key).groupBy("run", "profiler").agg(F.min("value").alias("value"))
+        rows = profilers.select("run", "profiler").join(own, ["run", "profiler"], "left")
+        hit = rows.where(F.when(F.col("value").isNotNull(), ~F.col("value").rlike(self.pattern)).otherwise(self.must_exist))
+        return _finding(hit.withColumns({"key": F.col("profiler"), "score": F.lit(float(self.base_score))}), self.name, f"expected {self.pattern}")
+
+
+@dataclass(frozen=True)
+class MetadataComparison:
+    """A field of profilers' metadata against the base run's: by profiler, or, where both runs have it of one profiler alone, whatever their names."""
+
+    name: str
+    key: str
+    base_score: float
+    must_exist: bool = True
+
+    def findings(self, runs: DataFrame, metadata: DataFrame, base_run: str) -> DataFrame:
+        """runs(run), metadata(run, profiler, key, value)."""
+        own = metadata.where((F.col("key") == self.key) & F.col("value").isNotNull()).groupBy("run", "profiler").agg(F.min("value").alias("value"))
+        one = own.groupBy("run").agg(F.count("*").alias("n"), F.min("profiler").alias("only"), F.min("value").alias("value"))
+        others = runs.select("run").where(F.col("run") != base_run)
+        base = own.where(F.col("run") == base_run).select("profiler", F.col("value").alias("b"), F.lit(base_run).alias("base"))
+        sizes = others.join(one, "run", "left").withColumn("base", F.lit(base_run)).join(one.where(F.col("run") == base_run).select(F.col("run").alias("base"), F.col("n").alias("bn"), F.col("value").alias("bv")), "base")
+        alone = (F.col("n") == 1) & (F.col("bn") == 1)
+        single = sizes.where(alone & (F.col("value") != F.col("bv"))).select("run", F.col("only").alias("key"))
+        pairs = sizes.where(~F.coalesce(alone, F.lit(False))).select("run", "base").join(base, "base").join(own, ["run", "profiler"], "left")
+        many = pairs.where(F.when(F.col("value").isNotNull(), F.col("value") != F.col("b")).otherwise(self.must_exist)).select("run", F.col("profiler").alias("key"))
+        hit = single.unionByName(many)
+        if self.must_exist:
+            lacks = runs.where(F.col("run") == base_run).join(own, "run", "left_anti").select("run", F.lit(self.name).alias("key"))
+            hit = hit.unionByName(lacks)
+        return _finding(hit.withColumn("score", F.lit(float(self.base_score))), self.name, "differs from the base run")
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What rules look at, for one source: statistics(run, metric, …), points, key-values, samples, profilers' metadata; and the runs."""
+
+    runs: DataFrame
+    base_run: str
+    stats: DataFrame | None = None
+    points: DataFrame | None = None
+    kv: DataFrame | None = None
+    samples: DataFrame | None = None
+    metadata: DataFrame | None = None
+
+
+def run_rules(rules: list, facts: Facts) -> DataFrame | None:
+    """The findings of all rules whose facts are there; each rule is a filter or a join of its own, so rules and facts never meet pair by pair."""
+    takes = {
+        StatThreshold: ("stats",), RunComparison: ("stats", "base_run"), MetricComparison: ("stats",), PointThreshold: ("points",), KeyExpected: ("runs", "kv"), KeyComparison: ("runs", "kv", "base_run"),
+        PreemptionRule: ("kv",), StackThreshold: ("samples",), MetadataExpected: ("profilers", "metadata"), MetadataComparison: ("runs", "metadata", "base_run"),
+    }
+    found = []
+    for rule in rules:
+        given = [facts.samples.select("run", "profiler").distinct() if name == "profilers" and facts.samples is not None else getattr(facts, name, None) for name in takes[type(rule)]]
+        if all(x is not None for x in given):
+            found.append(rule.findings(*given))
+    return union(found) if found else None
+
+
+def chosen(findings: DataFrame, sources: tuple[str, ...] = (), kind: str | None = None, text: str = "") -> DataFrame:
+    """Findings of the given sources (all, if none), of a kind ('good': score above 0, 'poor': below, 'neutral': 0), that hold a text in any case."""
+    out = findings.where(F.col("data_name").isin(*sources)) if sources else findings
+    sign = {"good": F.col("score") > 0, "poor": F.col("score") < 0, "neutral": F.col("score") == 0}
+    out = out.where(sign[kind]) if kind else out
+    found = lambda c: F.contains(F.lower(c), F.lit(text.lower()))
+    return out.where(found("rule_name") | found("description") | found("key")) if text else out
+
+
+def worst_first(findings: DataFrame) -> DataFrame:
+    return findings.orderBy("score", *[c for c in FINDING if c != "score"])
+
+
 def union(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 

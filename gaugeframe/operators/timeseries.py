@@ -1,7 +1,8 @@
 """Time series: rates of counters, aggregate series, statistics, ranges, comparison of runs.
 
-All operators work on the long table points(run, metric, series, sample_idx, time_diff, value, is_aggregate); windows are partitioned by
-series, so a hot metric is split over its series, and aggregates add up in the map tasks before they shuffle.
+All operators work on the long table points(run, metric, series, sample_idx, time_diff, value, is_aggregate). Windows are partitioned by
+series, so the points of one series are sorted in one task; what concerns a whole metric (statistics, zeros, ranges) is added up in the map tasks instead,
+and no task holds a metric. Aggregates add up in the map tasks before they shuffle.
 """
 
 from __future__ import annotations
@@ -42,15 +43,37 @@ def with_aggregate(points: DataFrame, how: str = "average", name: str | None = N
     return points.withColumn("is_aggregate", F.lit(False)).unionByName(total)
 
 
+#: Relative rank error of the sketches that bracket percentiles, and the part of a group's rows on each side that is looked at again.
+ACCURACY = 10_000
+BRACKET = 2 / ACCURACY
+
+
 def statistics(values: DataFrame, by: list[str]) -> DataFrame:
-    """The eight statistics of ``value`` for each group: population deviation, nearest-rank percentiles.
+    """The eight statistics of ``value`` for each group: population deviation, nearest-rank percentiles (the value at floor(q x n), counted from 0).
 
-    Ranks come from a count and a row number, not from a list of a group's values.
+    A mergeable sketch brackets each percentile; a second pass counts the values below each bracket and ranks only those inside it (some thousandths of
+    a group), so percentiles are exact and no group is sorted or gathered.
     """
-    part = Window.partitionBy(*by)
-    ranked = values.withColumns({"_k": F.row_number().over(part.orderBy("value")) - 1, "_n": F.count("*").over(part)})
-    at = [F.max(F.when(F.col("_k") == F.floor(F.col("_n") * q), F.col("value"))).alias(p) for p, q in QUANTILES.items()]
-    return ranked.groupBy(*by).agg(F.avg("value").alias("avg"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), *at)
+    qs = list(QUANTILES.values())
+    edges = [e for q in qs for e in (max(0.0, q - BRACKET), min(1.0, q + BRACKET))]
+    first = values.groupBy(*by).agg(F.avg("value").alias("avg"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("_n"), F.percentile_approx("value", edges, ACCURACY).alias("_e"))
+    edge = lambda k: F.get("_e", F.lit(k))
+    known = first.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n", "_e")
+    same = [values[c].eqNullSafe(known[f"_by_{c}"]) for c in by]
+    rows = values.join(known, same if same else F.lit(True)).select(*by, "value", "_n", "_e")
+    inside = [(F.col("value") >= edge(2 * k)) & (F.col("value") <= edge(2 * k + 1)) for k in range(len(qs))]
+    below = rows.groupBy(*by).agg(*[F.count_if(F.col("value") < edge(2 * k)).alias(f"_b{k}") for k in range(len(qs))])
+    which = F.explode(F.filter(F.array(*[F.when(x, F.lit(k)) for k, x in enumerate(inside)]), lambda k: k.isNotNull())).alias("_q")
+    bracket = rows.select(*by, "value", "_n", which).groupBy(*by, "_q", "value").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    bracket = bracket.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_q").orderBy("value")))
+    of = below.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f"_b{k}" for k in range(len(qs))])
+    same = [bracket[c].eqNullSafe(of[f"_by_{c}"]) for c in by]
+    bracket = bracket.join(of, same if same else F.lit(True))
+    at = [F.min(F.when((F.col("_q") == k) & (F.col("_upto") + F.col(f"_b{k}") > F.floor(F.col("_n") * q)), F.col("value"))).alias(p) for k, (p, q) in enumerate(QUANTILES.items())]
+    ranks = bracket.groupBy(*by).agg(*at).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    out = first.drop("_n", "_e")
+    same = [out[c].eqNullSafe(ranks[f"_by_{c}"]) for c in by]
+    return out.join(ranks, same if same else F.lit(True), "left").select(*by, *STATS)
 
 
 def largest_series(points: DataFrame) -> DataFrame:
@@ -65,11 +88,17 @@ def value_range(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(low.cast("long").alias("range_lo"), high.cast("long").alias("range_hi"))
 
 
-def squeeze_zeros(points: DataFrame) -> DataFrame:
-    """Where a metric is 0 throughout, only the first and the last point of each series stay."""
-    by, metric = Window.partitionBy(*SERIES), Window.partitionBy("run", "metric")
-    out = points.withColumns({"_zero": (F.min("value").over(metric) == 0) & (F.max("value").over(metric) == 0), "_lo": F.min("sample_idx").over(by), "_hi": F.max("sample_idx").over(by)})
-    return out.where("not _zero or sample_idx in (_lo, _hi)").drop("_zero", "_lo", "_hi")
+def squeeze_zeros(points: DataFrame, stats_series: str | None = None) -> DataFrame:
+    """Where a metric is 0 throughout, only the first and the last point of each series stay. With ``stats_series``, that series alone decides, and
+    what stays is set to 0."""
+    own = points if stats_series is None else points.where(F.col("series") == stats_series)
+    zero = own.groupBy("run", "metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).where("_lo = 0 and _hi = 0").select("run", "metric")
+    rest = points.join(zero, ["run", "metric"], "left_anti")
+    dull = points.join(zero, ["run", "metric"], "left_semi")
+    ends = dull.groupBy(*SERIES).agg(F.min("sample_idx").alias("_lo"), F.max("sample_idx").alias("_hi"))
+    dull = dull.join(ends, SERIES).where("sample_idx in (_lo, _hi)").drop("_lo", "_hi")
+    dull = dull if stats_series is None else dull.withColumn("value", F.lit(0.0))
+    return rest.unionByName(dull.select(*rest.columns))
 
 
 def between(points: DataFrame, begin: int | None, end: int | None, duration: Column | None = None) -> DataFrame:
@@ -89,12 +118,37 @@ def long_stats(stats: DataFrame, by: list[str]) -> DataFrame:
 
 
 def deltas(stats: DataFrame, base_run: str) -> DataFrame:
-    """Each run's statistics against the base run's: raw and relative difference; ``rel`` is in percent, two decimals."""
+    """Each run's statistics against the base run's: raw and relative difference; ``percent`` is of the signed base, two decimals, 100 from a base of 0.
+    Statistics that did not move are left out."""
     tall = long_stats(stats, ["run", "metric"])
     base = tall.where(F.col("run") == base_run).select("metric", "stat", F.col("value").alias("base"))
     out = tall.where(F.col("run") != base_run).join(base, ["metric", "stat"])
-    percent = F.when((F.abs("base") < 1e-10) & (F.abs("value") < 1e-10), 0.0).when(F.abs("base") < 1e-10, 100.0).otherwise(F.try_divide(F.col("value") - F.col("base"), F.abs("base")) * 100)
-    return out.select("run", "metric", "stat", "value", "base", (F.col("value") - F.col("base")).alias("diff"), ratio(F.col("value"), F.col("base")).alias("ratio"), round2(percent).alias("percent"))
+    percent = F.when(F.abs("base") > 1e-10, F.try_divide(F.col("value") - F.col("base"), F.col("base")) * 100).when(F.abs("value") > 1e-10, 100.0).otherwise(0.0)
+    out = out.withColumn("_percent", percent).where("_percent <> 0")
+    return out.select("run", "metric", "stat", "value", "base", (F.col("value") - F.col("base")).alias("diff"), ratio(F.col("value"), F.col("base")).alias("ratio"), round2(F.col("_percent")).alias("percent"))
+
+
+def page_of_deltas(deltas_: DataFrame, offset: int = 0, limit: int = 50, least_percent: float = 0.0) -> DataFrame:
+    """A page of ``deltas``, the largest relative ones first."""
+    rows = deltas_.where(F.abs("percent") >= least_percent)
+    return rows.orderBy(F.abs("percent").desc(), "run", "metric", "stat").offset(offset).limit(limit)
+
+
+def scored_deltas(stats: DataFrame, base_run: str, descriptions: DataFrame) -> DataFrame:
+    """Each run's statistics against the base run's, relative where the base is above 0, else raw, with ``good``: 1 where the change goes in the metric's ``desired``
+    direction ('higher' or 'lower' in descriptions(metric, desired)), -1 where it goes against it, 0 where it is neither, for deviations and without a description."""
+    tall = long_stats(stats, ["run", "metric"])
+    base = tall.where(F.col("run") == base_run).select("metric", "stat", F.col("value").alias("base"))
+    delta = F.when(F.col("base") > 0, F.try_divide(F.col("value") - F.col("base"), F.col("base"))).otherwise(F.col("value") - F.col("base"))
+    rows = tall.where(F.col("run") != base_run).join(base, ["metric", "stat"]).withColumn("delta", delta).join(descriptions, "metric", "left")
+    sign = F.when(F.col("desired") == "higher", F.signum("delta")).when(F.col("desired") == "lower", -F.signum("delta")).otherwise(0.0)
+    return rows.withColumn("good", F.when(F.col("stat") == "std", 0.0).otherwise(sign).cast("int")).select("run", "metric", "stat", "value", "base", "delta", "good")
+
+
+def by_delta(scored: DataFrame) -> DataFrame:
+    """The largest changes upwards first; a change from a base of 0 counts as boundless."""
+    bound = F.when(F.col("base") == 0, F.when(F.col("delta") > 0, float("inf")).otherwise(float("-inf"))).otherwise(F.col("delta"))
+    return scored.orderBy(bound.desc(), F.desc("delta"), "run", "metric", "stat")
 
 
 def downsample(points: DataFrame, buckets: int = 50) -> DataFrame:
@@ -107,7 +161,7 @@ def downsample(points: DataFrame, buckets: int = 50) -> DataFrame:
 
 
 def trend(points: DataFrame) -> DataFrame:
-    """The mean of the first and the last tenth of each series (one point at least); within 2 % it is stable."""
+    """The mean of the first and the last tenth of each series (one point at least); within 2 % it is stable, as it is from a start of 0."""
     part = Window.partitionBy(*SERIES)
     out = points.withColumns({"_k": F.row_number().over(part.orderBy("sample_idx")), "_n": F.count("*").over(part)}).withColumn("_t", F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
     out = out.groupBy(*SERIES).agg(F.avg(F.when(F.col("_k") <= F.col("_t"), F.col("value"))).alias("first"), F.avg(F.when(F.col("_k") > F.col("_n") - F.col("_t"), F.col("value"))).alias("last"))
@@ -131,3 +185,192 @@ def delta_runs(points: DataFrame) -> DataFrame:
     out = points.withColumn("delta", round2(F.col("value") - F.lag("value").over(order))).where("delta is not null")
     out = out.withColumn("_new", F.coalesce((F.col("delta") != F.lag("delta").over(order)).cast("int"), F.lit(1))).withColumn("run_no", F.sum("_new").over(order))
     return out.groupBy(*SERIES, "run_no").agg(F.first("delta").alias("delta"), F.count("*").alias("n"))
+
+
+def drops(points: DataFrame, most: int = 5) -> DataFrame:
+    """Runs of points below mean - 2 deviations (0 at least) that end before the series does, where the deviation is above 0.001: begin, end and trough.
+    Of each series the first ``most`` together with its spikes, which count before."""
+    part = Window.partitionBy(*SERIES)
+    order = part.orderBy("sample_idx")
+    std = F.stddev_pop("value").over(part)
+    bound = F.greatest(F.avg("value").over(part) - 2 * std, F.lit(0.0))
+    out = points.withColumns({"_low": ((F.col("value") < bound) & (std > 0.001)).cast("int"), "_last": F.max("sample_idx").over(part)})
+    out = out.withColumn("_island", F.sum(1 - F.col("_low")).over(order)).where("_low = 1")
+    runs = out.groupBy(*SERIES, "_island").agg(F.min("time_diff").alias("begin"), F.max("time_diff").alias("end"), F.min("value").alias("trough"), F.max("sample_idx").alias("_e"), F.max("_last").alias("_last")).where("_e < _last")
+    used = spikes(points).groupBy(*SERIES).agg(F.count("*").alias("_spikes"))
+    runs = runs.join(used, SERIES, "left").withColumn("_k", F.row_number().over(part.orderBy("_island")) + F.coalesce("_spikes", F.lit(0)))
+    return runs.where(F.col("_k") <= most).select(*SERIES, "begin", "end", "trough")
+
+
+def last_of_each_second(points: DataFrame) -> DataFrame:
+    """Of snapshots (``ms``) that follow within half a second, the last."""
+    nxt = F.lead("ms").over(Window.partitionBy(*SERIES).orderBy("ms", "sample_idx"))
+    return points.withColumn("_n", nxt).where("_n is null or floor((_n - ms + 500) / 1000) <> 0").drop("_n")
+
+
+def since_start(points: DataFrame, start_ms: Column) -> DataFrame:
+    """Seconds since ``start_ms``; before the first record at or after it, time stands still at 0."""
+    begun = F.max((F.col("ms") >= start_ms).cast("int")).over(Window.partitionBy(*SERIES).orderBy("ms", "sample_idx").rowsBetween(Window.unboundedPreceding, 0))
+    return points.withColumn("time_diff", F.when(begun == 1, F.greatest(F.lit(0), F.floor((F.col("ms") - start_ms + 500) / 1000))).otherwise(0).cast("long"))
+
+
+def statistics_of_aggregate(points: DataFrame) -> DataFrame:
+    """Statistics of each metric's aggregate series; of the first series by name where a metric has none."""
+    series = points.groupBy("run", "metric").agg(F.min(F.struct((~F.col("is_aggregate")).alias("plain"), "series")).alias("_s"))
+    own = points.join(series.select("run", "metric", F.col("_s.series").alias("series")), ["run", "metric", "series"], "left_semi")
+    return statistics(own, ["run", "metric"])
+
+
+def without_single_aggregates(points: DataFrame) -> DataFrame:
+    """Metrics of two series lose the aggregate: it says what the other says."""
+    n = points.groupBy("run", "metric").agg(F.count_distinct("series").alias("_n")).where("_n = 2").select("run", "metric", F.lit(True).alias("_two"))
+    return points.join(n, ["run", "metric"], "left").where("not (is_aggregate and coalesce(_two, false))").drop("_two")
+
+
+def common_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """The least and greatest bounds over all runs."""
+    return ranges.groupBy(*by).agg(F.min("range_lo").alias("range_lo"), F.max("range_hi").alias("range_hi"))
+
+
+def quotient(points: DataFrame, above: str, below: str, name: str) -> DataFrame:
+    """A metric from two others, by series and snapshot: ``above`` over ``below``, 0 where that is 0 or missing, as long as one of them is there."""
+    pick = lambda m: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0))
+    rows = points.where(F.col("metric").isin(above, below)).groupBy("run", "series", "sample_idx").agg(F.min("time_diff").alias("time_diff"), pick(above).alias("_a"), pick(below).alias("_b"))
+    value = F.when(F.col("_b") > 0, F.col("_a") / F.nullif("_b", F.lit(0.0))).otherwise(0.0)
+    return rows.select("run", F.lit(name).alias("metric"), "series", "sample_idx", "time_diff", value.alias("value"))
+
+
+def remainder(points: DataFrame, whole: str, part: str, name: str) -> DataFrame:
+    """A metric from two others: ``whole`` less ``part``, where a snapshot has both."""
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    rows = points.where(F.col("metric").isin(whole, part)).groupBy("run", "series", "sample_idx").agg(F.min("time_diff").alias("time_diff"), (pick(whole) - pick(part)).alias("value"))
+    return rows.where("value is not null").select("run", F.lit(name).alias("metric"), "series", "sample_idx", "time_diff", "value")
+
+
+def with_processes(own: DataFrame, processes: DataFrame, pids: DataFrame, total: str = "total") -> DataFrame:
+    """``own`` with the series ``pid_name`` of the processes whose pid is in pids(run, pid), and ``total`` added up anew over all series at each second."""
+    pid = F.split_part("series", F.lit("_"), F.lit(1)).try_cast("long")
+    more = processes.withColumn("pid", pid).join(pids.select("run", "pid"), ["run", "pid"], "left_semi").drop("pid")
+    rows = own.where(F.col("series") != total).unionByName(more.select(*own.columns))
+    sums = rows.groupBy("run", "metric", "time_diff").agg(F.sum("value").alias("value"), F.min("sample_idx").alias("sample_idx")).withColumn("series", F.lit(total))
+    return rows.unionByName(sums.select(*[F.col(c) if c in sums.columns else F.lit(True).alias(c) for c in own.columns]))
+
+
+def positional_average(points: DataFrame) -> DataFrame:
+    """Of each metric the average of the i-th points of all its series, as many as the first series by name has, at that one's times."""
+    at = points.withColumn("k", F.row_number().over(Window.partitionBy(*SERIES).orderBy("sample_idx")) - 1)
+    first = at.groupBy("run", "metric").agg(F.min("series").alias("series"))
+    times = at.join(first, SERIES, "left_semi").select("run", "metric", "k", "time_diff")
+    return at.groupBy("run", "metric", "k").agg(F.avg("value").alias("value")).join(times, ["run", "metric", "k"])
+
+
+def matching(points: DataFrame, pattern: str) -> DataFrame:
+    """Points of the metrics in whose name the regular expression is found."""
+    return points.where(F.col("metric").rlike(pattern))
+
+
+def visible(points: DataFrame, cpus: tuple[int, ...] = (), aggregate: bool = True) -> DataFrame:
+    """Series of the chosen CPUs, the series Aggregate if asked for, and all that are neither."""
+    cpu = F.regexp_extract("series", r"^CPU(\d+)$", 1)
+    return points.where(F.when(F.col("series") == "Aggregate", F.lit(aggregate)).when(cpu != "", cpu.isin(*map(str, cpus))).otherwise(True))
+
+
+def moving_metrics(stats: DataFrame) -> DataFrame:
+    """Metrics with a least or greatest value other than 0 in any run."""
+    return stats.groupBy("metric").agg(F.bool_or((F.col("min") != 0) | (F.col("max") != 0)).alias("_any")).where("_any").select("metric")
+
+
+def durations(runs: DataFrame) -> DataFrame:
+    """Seconds from start to end of each run; null where either is missing or they are one."""
+    return runs.select("run", F.nullif(F.floor((F.col("end_ms") - F.col("start_ms")) / 1000), F.lit(0)).alias("duration"))
+
+
+def wall_clock(runs: DataFrame, bound: int) -> DataFrame:
+    """A bound in seconds as a moment of each run: from its start, or back from its end if negative."""
+    return runs.select("run", F.greatest(F.lit(0), F.col("start_ms" if bound >= 0 else "end_ms") + bound * 1000).alias("ms"))
+
+
+def parse_range(text: str) -> tuple[str, int | None, int | None]:
+    """(run, from, to) of RUN=FROM:TO, either bound optional."""
+    run, equals, span = text.rpartition("=")
+    begin, colon, end = span.partition(":")
+    if not (run and equals and colon):
+        raise ValueError(f"not RUN=FROM:TO: {text}")
+    return run, int(begin) if begin else None, int(end) if end else None
+
+
+def check_ranges(ranges: list[tuple[str, int | None, int | None]], runs: list[str]) -> dict[str, tuple[int | None, int | None]]:
+    """Ranges by run; an unknown run, a second range of a run, and bounds of one sign in the wrong order are errors."""
+    out: dict[str, tuple[int | None, int | None]] = {}
+    for run, begin, end in ranges:
+        if run not in runs:
+            raise ValueError(f"unknown run: {run}")
+        if run in out:
+            raise ValueError(f"two ranges for {run}")
+        if begin is not None and end is not None and (begin < 0) == (end < 0) and begin > end:
+            raise ValueError(f"{begin} comes after {end}")
+        out[run] = (begin, end)
+    return out
+
+
+def ordered_metrics(stats: DataFrame, preferred: tuple[str, ...] = (), by_average: bool = False) -> DataFrame:
+    """run, metric and place: the preferred metrics in their order, the others by falling average or by name."""
+    listed = F.array_position(F.array(*[F.lit(m) for m in preferred]) if preferred else F.array().cast("array<string>"), F.col("metric"))
+    order = [F.when(listed == 0, len(preferred) + 1).otherwise(listed), *([F.desc("avg")] if by_average else []), "metric"]
+    return stats.select("run", "metric", (F.row_number().over(Window.partitionBy("run").orderBy(*order)) - 1).alias("place"))
+
+
+def merged_order(orders: list[list[str]]) -> list[str]:
+    """One order of names that agrees with all given ones (of several, the least name goes first); where they contradict each other, the names as
+    they first come. Names only: as many as there are metrics."""
+    import heapq
+
+    after: dict[str, set[str]] = {x: set() for names in orders for x in names}
+    for names in orders:
+        for x, y in zip(names, names[1:], strict=False):
+            after[x].add(y)
+    waits = dict.fromkeys(after, 0)
+    for names in after.values():
+        for x in names:
+            waits[x] += 1
+    ready, out = [x for x, n in waits.items() if not n], []
+    heapq.heapify(ready)
+    while ready:
+        out.append(heapq.heappop(ready))
+        for x in after[out[-1]]:
+            waits[x] -= 1
+            if not waits[x]:
+                heapq.heappush(ready, x)
+    return out if len(out) == len(after) else list(after)
+
+
+def first_seen_order(metrics: DataFrame) -> DataFrame:
+    """metric and place over all runs: names in the order of (run's number, place in the run), each once."""
+    first = metrics.groupBy("metric").agg(F.min(F.struct("run_no", "place")).alias("_f"))
+    return first.select("metric", (F.row_number().over(Window.orderBy("_f", "metric")) - 1).alias("place"))  # a row for each metric
+
+
+def combined(points: DataFrame, metric: str, most: int = 200) -> DataFrame:
+    """A metric's series of all runs side by side, named run:series; of more than ``most`` the first by name."""
+    rows = points.where(F.col("metric") == metric).withColumn("series", F.concat_ws(":", "run", "series"))
+    kept = rows.select("series").distinct().orderBy("series").limit(most)
+    return rows.join(F.broadcast(kept), "series", "left_semi").select("series", "time_diff", "value")
+
+
+def cpu_count(points: DataFrame) -> DataFrame:
+    """CPUs of each run: series named CPU and a number in the first metric by name that has one."""
+    rows = points.where(F.lower("series").rlike(r"^cpu\d+$")).groupBy("run", "metric").agg(F.count_distinct("series").alias("cpus"))
+    return rows.groupBy("run").agg(F.min_by("cpus", "metric").alias("cpus"))
+
+
+def metric_counts(points: DataFrame, by: str = "data_name") -> DataFrame:
+    return points.groupBy(by).agg(F.count_distinct("metric").alias("metrics"))
+
+
+def run_length_text(points: DataFrame) -> DataFrame:
+    """The deltas of each series as text: three or more equal ones as ``dxN``, others one by one, joined by commas."""
+    runs = delta_runs(points)
+    number = F.regexp_replace(F.format_string("%.2f", "delta"), r"\.?0+$", "")
+    part = F.when(F.col("n") >= 3, F.concat(number, F.lit("x"), "n")).otherwise(F.array_join(F.array_repeat(number, F.col("n").cast("int")), ","))
+    rows = runs.select(*SERIES, "run_no", part.alias("part"))
+    return rows.groupBy(*SERIES).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "part"))), lambda x: x["part"]), ",").alias("text"))

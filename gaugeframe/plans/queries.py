@@ -81,7 +81,8 @@ def ts_statistics(spark, d):
 j AS (SELECT o.run, o.metric, o.stat, o.value, b.value AS base FROM u o JOIN u b ON o.metric = b.metric AND o.stat = b.stat WHERE o.run <> 'run0' AND b.run = 'run0')
 SELECT run, metric, stat, round(value, 6) AS value, round(base, 6) AS base, round(value - base, 6) AS diff,
 round(CASE WHEN value = base THEN 0 WHEN base = 0 THEN 1 ELSE (value - base) / base END, 6) AS ratio,
-round(CASE WHEN abs(base) < 1e-10 AND abs(value) < 1e-10 THEN 0 WHEN abs(base) < 1e-10 THEN 100 ELSE round((value - base) / abs(base) * 100 * 100) / 100 END, 6) AS percent FROM j""")
+round(round((CASE WHEN abs(base) > 1e-10 THEN (value - base) / base * 100 WHEN abs(value) > 1e-10 THEN 100 ELSE 0 END) * 100) / 100, 6) AS percent FROM j
+WHERE CASE WHEN abs(base) > 1e-10 THEN (value - base) / base * 100 WHEN abs(value) > 1e-10 THEN 100 ELSE 0 END <> 0""")
 def ts_run_deltas(spark, d):
     return rounded(ts.deltas(stats(spark, d), "run0"))
 
@@ -235,7 +236,7 @@ def top_spenders(spark, d):
 
 
 @query("""WITH kv AS (SELECT 'customer' AS run, CAST(c_nationkey AS VARCHAR) AS grp, c_mktsegment AS key, CAST(count(*) AS VARCHAR) AS value FROM customer GROUP BY ALL UNION ALL SELECT 'supplier', CAST(s_nationkey AS VARCHAR), 'BUILDING', CAST(count(*) AS VARCHAR) FROM supplier GROUP BY ALL)
-SELECT grp, key FROM kv GROUP BY grp, key HAVING count(DISTINCT value) + CASE WHEN count(DISTINCT run) < 2 THEN 1 ELSE 0 END > 1""")
+SELECT grp, key FROM (SELECT grp, key, run, nullif(coalesce(value, ''), '') AS value FROM kv) GROUP BY grp, key HAVING count(DISTINCT value) + CASE WHEN count(DISTINCT CASE WHEN value IS NOT NULL THEN run END) < 2 THEN 1 ELSE 0 END > 1""")
 def kv_differing_keys(spark, d):
     c = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").count().select(F.lit("customer").alias("run"), F.col("c_nationkey").cast("string").alias("grp"), F.col("c_mktsegment").alias("key"), F.col("count").cast("string").alias("value"))
     s = table(spark, d, "supplier").groupBy("s_nationkey").count().select(F.lit("supplier").alias("run"), F.col("s_nationkey").cast("string").alias("grp"), F.lit("BUILDING").alias("key"), F.col("count").cast("string").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.sources.text import OUT, lines
+from gaugeframe.sources.text import OUT, lines, trimmed
 
 #: Places of a process's figures behind its name, the migrate types of page blocks, and the columns of a slab line.
 PROCESS_FIELDS = {"user_time": 11, "kernel_time": 12, "threads": 17, "virtual_bytes": 20, "resident_pages": 21}
@@ -19,7 +19,7 @@ KEYS = ("run", "sample_idx", "ts")
 
 
 def _split(raw: DataFrame) -> DataFrame:
-    return lines(raw).withColumn("p", F.split(F.trim("line"), r"\s+"))
+    return lines(raw).withColumn("p", F.split(trimmed(F.col("line")), r"\s+"))
 
 
 def _at(k: int) -> Column:
@@ -34,15 +34,15 @@ def _from(k: int) -> Column:
 def interrupts(raw: DataFrame) -> DataFrame:
     """A line for each interrupt under a line of CPUs; a metric for each, a series for each CPU, one series for MIS and ERR.
 
-    A numbered interrupt is named after its description, any other by its name and description.
+    A numbered interrupt is named after its description in brackets, empty ones if it has none, any other by its name and description.
     """
     rows = _split(raw)
-    cpus = F.size(F.split(F.trim(F.split("payload", "\n")[0]), r"\s+"))
-    rows = rows.join(raw.select("run", "sample_idx", cpus.alias("cpus")), ["run", "sample_idx"]).where("line_no > 0 and trim(line) <> ''")
+    cpus = F.size(F.split(trimmed(F.split("payload", "\n")[0]), r"\s+"))
+    rows = rows.join(raw.select("run", "sample_idx", cpus.alias("cpus")), ["run", "sample_idx"]).where((F.col("line_no") > 0) & (trimmed(F.col("line")) != ""))
     rows = rows.withColumns({"name": F.regexp_replace(_at(0), ":+$", ""), "info": F.array_join(F.slice("p", F.col("cpus") + 2, F.greatest(F.size("p"), F.lit(1))), " ")})
     scalar = F.upper("name").isin(*SCALARS)
     described = F.when(F.col("info") != "", F.concat(F.lit("("), "info", F.lit(")")))
-    metric = F.when(F.col("name").rlike(r"^\d+$"), F.coalesce(described, "name")).otherwise(F.concat_ws(" ", "name", described))
+    metric = F.when(F.col("name").rlike(r"^\d+$"), F.coalesce(described, F.lit("()"))).otherwise(F.concat_ws(" ", "name", described))
     counts = F.filter(F.transform(F.slice("p", 2, F.col("cpus")), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
     rows = rows.select(*KEYS, metric.alias("metric"), scalar.alias("scalar"), F.posexplode(F.when(scalar, F.slice(counts, 1, 1)).otherwise(counts)).alias("k", "value"))
     return rows.withColumn("series", F.when(F.col("scalar"), F.col("metric")).otherwise(F.concat(F.lit("CPU"), "k"))).select(*OUT)
@@ -51,7 +51,7 @@ def interrupts(raw: DataFrame) -> DataFrame:
 def processes(raw: DataFrame, page_size: int = 0) -> DataFrame:
     """Lines ``pid (name) state …`` with 22 figures or more; series ``pid_name``. With a page size, resident_bytes too."""
     parts = [F.regexp_extract("line", r"^(\d+) \(([^)]*)\) (.*)$", k) for k in (1, 2, 3)]
-    rows = lines(raw).withColumns({"series": F.concat_ws("_", *parts[:2]), "p": F.split(F.trim(parts[2]), r"\s+")}).where(F.size("p") >= 22)
+    rows = lines(raw).withColumns({"series": F.concat_ws("_", *parts[:2]), "p": F.split(trimmed(parts[2]), r"\s+")}).where(F.size("p") >= 22)
     figures = {m: _at(k).try_cast("double") for m, k in PROCESS_FIELDS.items()}
     if page_size:
         figures["resident_bytes"] = figures["resident_pages"] * page_size

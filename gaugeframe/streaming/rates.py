@@ -16,14 +16,16 @@ def stream_rates(counters: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         before = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("time_diff", kind="stable")  # one series in one trigger, all its batches in order
         out = []
-        for b in batches:
-            for t, v in b.sort_values("time_diff")[["time_diff", "value"]].itertuples(index=False):
-                if before is None:
-                    out.append((*key, t, 0.0))
-                elif v >= before[1] and t > before[0]:
-                    out.append((*key, t, (v - before[1]) / (t - before[0])))
-                before = (int(t), float(v))
+        for t, v in rows[["time_diff", "value"]].itertuples(index=False):
+            if before is not None and t < before[0]:
+                continue  # later than its successors: the state never goes back in time
+            if before is None:
+                out.append((*key, t, 0.0))
+            elif v >= before[1] and t > before[0]:
+                out.append((*key, t, (v - before[1]) / (t - before[0])))
+            before = (int(t), float(v))
         if before is not None:
             state.update(before)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
