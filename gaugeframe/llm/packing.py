@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.tokens import WORD_BPE, encoder
+from gaugeframe.llm.tokens import WORD_BPE, encoder, in_batches
 
 END = 2
 
@@ -43,8 +43,8 @@ def pack(docs: DataFrame, path: str = WORD_BPE, window: int = 4096, end: int = E
         sequence = TaskContext.get().partitionId() << 33
         encode = encoder(path).encode
         for b in batches:
-            for at in range(0, len(b), 512):
-                part, rows = b.iloc[at : at + 512], []
+            for at in in_batches(b["text"].tolist()):
+                part, rows = b.iloc[at], []
                 for doc_id, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
                     ids += tail
                     start, n = 0, len(ids) // 4

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeframe.llm.common import text_bytes
-from gaugeframe.llm.tokens import WORD_BPE, encoder
+from gaugeframe.llm.tokens import WORD_BPE, encoder, in_batches
 
 END, SHARD, LEAST = 2, 1 << 18, 4
 #: A round takes pairs down to this part of the first one's count.
@@ -210,8 +210,9 @@ def shards(docs: DataFrame, path: str = WORD_BPE, end: int = END, partitions: in
             return pd.DataFrame({"part": [part], "shard": [shard], "n_docs": [len(doc_ids)], "n_tokens": [size], "blob": [to_blob(doc_ids, lengths, b"".join(held), max(first, end + 1))]})
 
         for b in batches:
-            for k in range(0, len(b), 256):
-                for doc_id, ids in zip(b["doc_id"].iloc[k : k + 256], encode(b["text"].iloc[k : k + 256].tolist()), strict=True):
+            texts = b["text"].tolist()
+            for part_ in in_batches(texts):
+                for doc_id, ids in zip(b["doc_id"].iloc[part_], encode(texts[part_]), strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     held += [ids, tail]
                     lengths.append(len(ids) // 4 + 1)

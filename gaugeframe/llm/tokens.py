@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import public_tokenizers
 import regex
@@ -29,15 +30,32 @@ def byte_letters() -> dict[int, str]:
 class _Parts(dict):
     """Ids of pattern matches, made when first asked for."""
 
-    def __init__(self, model):
+    def __init__(self, model, vocabulary: int):
         self.model, self.letters = model, byte_letters()
+        self.raw = [k.to_bytes(4, "little") for k in range(vocabulary)]
 
     def __missing__(self, part: str) -> bytes:
-        raw = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
-        out = self[part] = array("I", [t.id for t in self.model(raw)]).tobytes()
+        tokens = self.model(part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode())))
+        out = self[part] = b"".join([self.raw[t.id] for t in tokens])
         return out
 
 
+#: Bytes of text that are encoded at once.
+AT_ONCE = 4 << 20
+
+
+def in_batches(texts: list[str | None], most: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of about so many characters, or of one longer text."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= most:
+            yield slice(begin, k + 1)
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of at most ``most`` words and ``most`` parts of words, some
     100 MB, as a worker outlives its task and stays beside those of later stages."""
@@ -47,9 +65,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.normal = self.tokenizer.normalizer.normalize_str
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(PATTERN + "| ").findall
+        self.pieces = regex.compile(PATTERN).findall
         self.known: dict[bytes, bytes] = {}
-        self.parts = _Parts(self.tokenizer.model.tokenize)
+        self.parts = _Parts(self.tokenizer.model.tokenize, self.tokenizer.get_vocab_size())
         self.most = most
         self.apart = self._together([b"Don't-\xc3\x89a9"]) == [self._whole(b"Don't-\xc3\x89a9")]
 
@@ -57,24 +75,29 @@ class Encoder:
         return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def _together(self, words: list[bytes]) -> list[bytes] | None:
-        """Ids of words that hold no white space after normalizing; else None."""
+        """Ids of words that hold no white space after normalizing; else None. Letters alone, and letters before a full stop or comma, are parts as they
+        stand; the pattern cuts the others."""
         text = b" ".join(words).decode("utf-8", "replace")
-        out, ids, parts = [], [], self.parts
-        for x in self.pieces(text.lower() if text.isascii() else self.normal(text)):
-            if x == " ":
-                out.append(b"".join(ids))
-                ids = []
+        split = (text.lower() if text.isascii() else self.normal(text)).split(" ")
+        if len(split) != len(words):
+            return None
+        out, parts, pieces = [], self.parts, self.pieces
+        for x in split:
+            if x.isalpha():
+                out.append(parts[x])
+            elif x[-1:] in (".", ",") and x[:-1].isalpha():
+                out.append(parts[x[:-1]] + parts[x[-1]])
             else:
-                ids.append(parts[x])
-        out.append(b"".join(ids))
-        return out if len(out) == len(words) else None
+                out.append(b"".join([parts[y] for y in pieces(x)]))
+        return out
 
     def _learn(self, new: list[bytes]) -> None:
         special = {w for w in new if b"<|" in w and any(s in w for s in self.special)} if self.apart else set(new)
         for w in special:
             self.known[w] = self._whole(w)
-        for ascii_ in (True, False):
-            words = [w for w in new if w.isascii() == ascii_ and w not in special]
+        if special:
+            new = [w for w in new if w not in special]
+        for words in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
             for k in range(0, len(words), 256):
                 part = words[k : k + 256]
                 ids = self._together(part)
@@ -85,22 +108,12 @@ class Encoder:
             self.known.clear()
         if len(self.parts) > self.most:
             self.parts.clear()
-        known = self.known
-        get, done, open_, new = known.get, [], [], set()
-        for text in texts:
-            split = text.encode("utf-8", "surrogatepass").split() if text else []
-            ids = list(map(get, split))
-            done.append(ids)
-            if None in ids:
-                gaps = [(k, split[k]) for k, x in enumerate(ids) if x is None]
-                open_.append((ids, gaps))
-                new.update(w for _, w in gaps)
+        splits = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
+        new = set().union(*splits) - self.known.keys()
         if new:
             self._learn(list(new))
-        for ids, gaps in open_:
-            for k, w in gaps:
-                ids[k] = known[w]
-        return [b"".join(ids) for ids in done]
+        get = self.known.__getitem__
+        return [b"".join(map(get, split)) for split in splits]
 
 
 _ENCODERS: dict[str, Encoder] = {}
