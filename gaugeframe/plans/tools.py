@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import expr
-from gaugeframe.operators import hotspots, joins, keyvalues, profile, rules
+from gaugeframe.operators import answers, hotspots, joins, keyvalues, profile, rules
 from gaugeframe.operators import timeseries as ts
 from gaugeframe.plans.queries import SCORE, P, S, points, query, rounded, samples, stats, table
 from gaugeframe.sinks import report
-from gaugeframe.sources import jvm, runs
+from gaugeframe.sources import binary, jvm, kernel_config, runs, snapshots, text
 
 W = "PARTITION BY run, metric, series"
 
@@ -542,3 +542,72 @@ def names_of_all_runs(spark, d):
     f = nation_frames(spark, d)
     one, two = f.where("run = 'run0'").select("run", "frame"), f.where("run <> 'run0'").select("run", "frame")
     return one.union(two).distinct().groupBy("frame").agg(F.count_distinct("run").alias("runs"))
+
+
+@query(f"""WITH {Y}, {ISLANDS.format(source="y")}, k AS (SELECT *, row_number() OVER ({W} ORDER BY sample_idx) AS k, count(*) OVER ({W}) AS n FROM y), t AS (SELECT *, greatest(1, n // 10) AS t FROM k),
+tr AS (SELECT run, metric, series, avg(value) FILTER (WHERE k <= t) AS first, avg(value) FILTER (WHERE k > n - t) AS last FROM t GROUP BY ALL), lo AS (SELECT run, metric, series, li FROM i WHERE low = 1 GROUP BY run, metric, series, li HAVING max(sample_idx) < max(last)),
+dn AS (SELECT run, metric, series, count(*) AS d FROM (SELECT l.run, l.metric, l.series FROM lo l LEFT JOIN up USING (run, metric, series) QUALIFY row_number() OVER (PARTITION BY l.run, l.metric, l.series ORDER BY li) + coalesce(up.n, 0) <= 5) GROUP BY ALL)
+SELECT s.run, s.metric, s.series, {STAT_COLUMNS}, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN (last - first) / abs(first) > 0.02 THEN 'up' WHEN (last - first) / abs(first) < -0.02 THEN 'down' ELSE 'stable' END AS trend, coalesce(up.n, 0) AS spikes, coalesce(dn.d, 0) AS drops
+FROM {ranked_stats('y', 'run, metric, series')} s JOIN tr USING (run, metric, series) LEFT JOIN up USING (run, metric, series) LEFT JOIN dn USING (run, metric, series)""")
+def answer_summary(spark, d):
+    return rounded(answers.values(daily(spark, d), "revenue", "summary"))
+
+
+@query(f"WITH {P} SELECT 'events' AS data_name, metric, count(DISTINCT run) AS runs, count(DISTINCT series) AS series FROM p GROUP BY metric")
+def answer_metrics(spark, d):
+    return answers.metrics(points(spark, d).withColumn("data_name", F.lit("events")))
+
+
+@query(f"""WITH {Y}, c AS (SELECT * FROM y WHERE run = 'run1' AND series IN ('1-URGENT', '2-HIGH') AND time_diff BETWEEN 600 AND 60000), k AS (SELECT *, row_number() OVER ({W} ORDER BY sample_idx) - 1 AS k, count(*) OVER ({W}) AS n FROM c),
+b AS (SELECT *, CAST(((k + 1) * least(n, 50) - 1) // n AS INTEGER) AS bucket FROM k) SELECT run, metric, series, bucket, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, count(*) AS n FROM b GROUP BY ALL""")
+def answer_values(spark, d):
+    return rounded(answers.values(daily(spark, d), "revenue", "downsampled", "run1", ("1-URGENT", "2-HIGH"), 600, 60000))
+
+
+@query(f"WITH {KV}, t AS (SELECT * FROM kv WHERE run IN ('NATION_1', 'NATION_4')), x AS (SELECT grp, key FROM t GROUP BY grp, key HAVING count(DISTINCT value) + CASE WHEN count(DISTINCT run) < 2 THEN 1 ELSE 0 END > 1) SELECT lower(grp) AS grp, lower(key) AS key, min(value) FILTER (WHERE run = 'NATION_1') AS \"NATION_1\", min(value) FILTER (WHERE run = 'NATION_4') AS \"NATION_4\" FROM t WHERE (grp, key) IN (SELECT (grp, key) FROM x) GROUP BY ALL")
+def answer_key_values(spark, d):
+    _, kv = nation_kv(spark, d)
+    return answers.key_values(kv, ["NATION_1", "NATION_4"], differing=True)
+
+
+@query("""SELECT 'run' || n_regionkey AS run, 'Timers' AS grp, 'CONFIG_' || n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'y' ELSE 'not set' END AS value FROM nation UNION ALL SELECT 'run' || r_regionkey, '', 'CONFIG_TOP', r_name FROM region""")
+def source_kernel_config(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("CONFIG_"), "n_name", F.lit("=y"))).otherwise(F.concat(F.lit("# CONFIG_"), "n_name", F.lit(" is not set")))
+    rows = n.groupBy("n_regionkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(F.lit("CONFIG_TOP="), "r_name", F.lit("\n#\n# Timers\n#\n"), "lines", F.lit("\n# end of Timers\n"))
+    return kernel_config.kernel_config(rows.select(F.concat(F.lit("run"), "r_regionkey").alias("run"), text.alias("payload")))
+
+
+@query("SELECT 'r' || o_custkey % 5 AS run, '' AS grp, o_orderpriority AS key, arg_max(o_orderstatus || o_orderkey, o_orderkey) AS value FROM orders GROUP BY ALL")
+def source_settings(spark, d):
+    o = table(spark, d, "orders")
+    raw = o.select(F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("run"), F.col("o_orderkey").alias("sample_idx"), F.create_map("o_orderpriority", F.concat("o_orderstatus", "o_orderkey")).alias("entries"))
+    return snapshots.settings(raw)
+
+
+@query("SELECT n_name AS run, 'CONFIG_PREEMPT_LAZY' AS key, 'PREEMPT_LAZY Detected' AS rule_name, 0.0::DOUBLE AS score, 'lazy preemption' AS description FROM nation WHERE n_nationkey % 10 >= 7 AND n_regionkey % 2 = 0")
+def rule_preemption(spark, d):
+    n = table(spark, d, "nation")
+    row = lambda key, value: n.select(F.col("n_name").alias("run"), F.lit("").alias("grp"), F.lit(key).alias("key"), value.alias("value"))
+    kv = row("Kernel Version", F.concat(F.col("n_nationkey") % 10, F.lit(".1.0"))).unionByName(row("CONFIG_PREEMPT_LAZY", F.when(F.col("n_regionkey") % 2 == 0, "y").otherwise("n")))
+    return rules.PreemptionRule().findings(kv)
+
+
+MEMORY = ["slabinfo_b", "buddyinfo_order_10", "pageblocks_type_Movable", "buddyinfo_order_2", "pagetype_order_3_type_Movable", "pagetype_order_11_type_Isolate", "pagetype_order_2_type_Movable", "x"]
+
+
+@query(f"SELECT unnest({MEMORY}) AS metric, unnest([7, 2, 6, 1, 5, 3, 4, 8]) AS place")
+def order_of_memory_metrics(spark, d):
+    from pyspark.sql.window import Window
+
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, MEMORY))).alias("metric"))
+    return rows.select("metric", F.row_number().over(Window.orderBy(text.memory_order(F.col("metric")))).alias("place"))
+
+
+@query("""SELECT c_nationkey::VARCHAR AS run, 'p' || c_nationkey % 3 AS profiler, c_mktsegment AS profile_type, c_custkey AS block, (c_custkey % 4)::INT AS thread_state, c_mktsegment || ';' || c_name AS path, 2::BIGINT AS count FROM customer""")
+def read_stored_profiles(spark, d):
+    entry = F.struct(F.col("c_custkey").alias("block"), (F.col("c_custkey") % 4).cast("int").alias("thread_state"), F.array("c_mktsegment", "c_name").alias("path"), F.lit(2).alias("count"))
+    rows = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(entry).alias("s")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "s"))).alias("profiles"))
+    texts = rows.select(F.col("c_nationkey").cast("string").alias("run"), F.concat(F.lit("p"), F.col("c_nationkey") % 3).alias("profiler"), F.to_json(F.struct(F.lit(5).alias("start_time_ms"), "profiles")).alias("payload"))
+    return binary.stored_samples(texts).withColumn("path", F.concat_ws(";", "path"))
