@@ -42,34 +42,50 @@ MAGIC = b"GFRP0002"
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, blob binary"
 
 
-def _frequent(a: np.ndarray, blocked: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+CELLS = 1 << 17
+
+
+def _cells(a: np.ndarray, at: np.ndarray | slice, end: int) -> np.ndarray:
+    """Hashed cells of the pairs at some places; CELLS behind an end, where no pair begins."""
+    left = a[:-1][at]
+    cell = ((left * np.uint32(0x9E3779B1) ^ (a[1:][at] * np.uint32(0x9E3779B1) >> np.uint32(7))) * np.uint32(0x85EBCA77) >> np.uint32(15)).astype(np.int64)
+    cell[left == end] = CELLS
+    return cell
+
+
+def _frequent(a: np.ndarray, cell: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, pairs' ranks): where the pairs at least a ``1 / SHARE`` as frequent as the most frequent one stand; rank 0 is the most frequent.
 
-    Pairs are counted exactly, but only where hashed cells, whose counts bound theirs from above, leave a chance.
+    Pairs are counted exactly, but only where hashed cells, whose counts bound theirs from above, leave a chance. Of two such pairs in one cell
+    the less frequent one waits for another round. Places in ``off`` do not count.
     """
-    mix = a * np.uint32(0x9E3779B1)
-    cell = ((mix[:-1] ^ (mix[1:] >> np.uint32(7))) * np.uint32(0x85EBCA77) >> np.uint32(15)).astype(np.int64)
-    cell[blocked] = 1 << 17
-    bound = np.bincount(cell, minlength=(1 << 17) + 1)
-    bound[1 << 17] = 0
+    bound = np.bincount(cell, minlength=CELLS + 1)
+    np.subtract.at(bound, cell[off], 1)
+    bound[CELLS] = 0
     need = max(least, int(bound.max()) // SHARE)
     while True:
-        at = np.flatnonzero((bound >= need)[cell])
-        key = a[at].astype(np.uint64) << np.uint64(32) | a[at + 1].astype(np.uint64)
-        order = np.sort(key)
-        head = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[head, len(order)])
+        some = (bound >= need)[cell]
+        some[off] = False
+        at = np.flatnonzero(some)
+        key = np.sort(a[at].astype(np.uint64) << np.uint64(32) | a[at + 1].astype(np.uint64))
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[head, len(key)])
         top = int(count.max()) if len(count) else 0
         if top >= need or need == least:
             break
         need = max(least, top)
     pick = np.flatnonzero(count >= max(need, -(-top // SHARE)))
-    known = order[head[pick]]
-    rank = np.empty(len(pick), np.int64)
-    rank[np.argsort(-count[pick], kind="stable")] = np.arange(len(pick))
-    i = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-    hit = known[i] == key if len(known) else np.zeros(len(key), bool)
-    return at[hit], rank[i[hit]]
+    pick = pick[np.argsort(-count[pick], kind="stable")]
+    pair = key[head[pick]]
+    left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+    rank_of = np.full(CELLS + 1, -1)
+    of = _cells(np.stack([left, right], axis=1).reshape(-1), slice(None, None, 2), -1)
+    rank_of[of[::-1]] = np.arange(len(pick))[::-1]
+    rank = rank_of[cell[at]]
+    hit = rank >= 0
+    at, rank = at[hit], rank[hit]
+    hit = (a[at] == left[rank]) & (a[at + 1] == right[rank])
+    return at[hit], rank[hit]
 
 
 def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -78,30 +94,29 @@ def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: in
     if len(ids) and int(ids.max()) >= first:
         raise ValueError(f"ids must be below {first}")
     a, rules, n = ids.astype(np.uint32), [], first
+    cell = _cells(a, slice(None), end)
     while len(a) > 1:
-        blocked = np.flatnonzero(a[:-1] == end)
         twin = np.flatnonzero(a[:-1] == a[1:])  # of a run of equal symbols every other pair counts
-        if len(twin):
-            begin = np.flatnonzero(np.diff(twin, prepend=-2) != 1)
-            place = np.arange(len(twin)) - np.repeat(begin, np.diff(np.r_[begin, len(twin)]))
-            blocked = np.concatenate([blocked, twin[place % 2 == 1]])
-        at, rank = _frequent(a, blocked, least)
+        begin = np.flatnonzero(np.diff(twin, prepend=-2) != 1)
+        off = twin[(np.arange(len(twin)) - np.repeat(begin, np.diff(np.r_[begin, len(twin)]))) % 2 == 1]
+        at, rank = _frequent(a, cell, off, least)
         if not len(at):
             break
         last, after = np.diff(at, prepend=-2) == 1, np.diff(at, append=len(a) + 1) == 1
         best = ~(last & (np.r_[0, rank[:-1]] < rank)) & ~(after & (np.r_[rank[1:], 0] < rank))
         at, rank = at[best], rank[best]
         good = np.bincount(rank) >= least
-        if not good.any():
-            break  # cannot be: the first keeps all its places
         number = np.cumsum(good) - 1
-        at, rank = at[good[rank]], rank[good[rank]]
+        at, rank = at[good[rank]], rank[good[rank]]  # never empty: the first keeps all its places
         _, one = np.unique(rank, return_index=True)
         rules.append(np.stack([a[at[one]], a[at[one] + 1]], axis=1))
         a[at] = (n + number[rank]).astype(np.uint32)
         keep = np.ones(len(a), bool)
         keep[at + 1] = False
-        a = a[keep]
+        a, cell = a[keep], cell[keep[: len(cell)]][: int(keep.sum()) - 1]
+        now = at - np.arange(len(at))  # where the new symbols are
+        near = np.concatenate([now[now < len(cell)], now[now > 0] - 1])
+        cell[near] = _cells(a, near, end)
         n += int(good.sum())
     return a, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
