@@ -53,18 +53,15 @@ def _cells(a: np.ndarray, at: np.ndarray | slice, end: int) -> np.ndarray:
     return cell
 
 
-def _frequent(a: np.ndarray, cell: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(a: np.ndarray, cell: np.ndarray, bound: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, pairs' ranks): where the pairs at least a ``1 / SHARE`` as frequent as the most frequent one stand; rank 0 is the most frequent.
 
-    Pairs are counted exactly, but only where hashed cells, whose counts bound theirs from above, leave a chance. Of two such pairs in one cell
-    the less frequent one waits for another round. Places in ``off`` do not count.
+    Pairs are counted exactly, but only where hashed cells, whose counts (``bound``, without ``off``) bound theirs from above, leave a chance. Of two
+    such pairs in one cell the less frequent one waits for another round. Places in ``off`` do not count.
     """
-    bound = np.bincount(cell, minlength=CELLS + 1)
-    np.subtract.at(bound, cell[off], 1)
-    bound[CELLS] = 0
     need = max(least, int(bound.max()) // SHARE)
     while True:
-        some = (bound >= need)[cell]
+        some = (bound >= need).take(cell, mode="clip")
         some[off] = False
         at = np.flatnonzero(some)
         key = np.sort(a[at].astype(np.uint64) << np.uint64(32) | a[at + 1].astype(np.uint64))
@@ -78,14 +75,14 @@ def _frequent(a: np.ndarray, cell: np.ndarray, off: np.ndarray, least: int) -> t
     pick = pick[np.argsort(-count[pick], kind="stable")]
     pair = key[head[pick]]
     left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-    rank_of = np.full(CELLS + 1, -1)
+    rank_of = np.full(CELLS + 1, -1, np.int32)
     of = _cells(np.stack([left, right], axis=1).reshape(-1), slice(None, None, 2), -1)
     rank_of[of[::-1]] = np.arange(len(pick))[::-1]
-    rank = rank_of[cell[at]]
-    hit = rank >= 0
-    at, rank = at[hit], rank[hit]
-    hit = (a[at] == left[rank]) & (a[at + 1] == right[rank])
-    return at[hit], rank[hit]
+    rank = rank_of.take(cell.take(at, mode="clip"), mode="clip")
+    hit = np.flatnonzero(rank >= 0)
+    at, rank = at.take(hit), rank.take(hit).astype(np.int64)
+    hit = np.flatnonzero((a.take(at) == left.take(rank)) & (a.take(at + 1) == right.take(rank)))
+    return at.take(hit), rank.take(hit)
 
 
 def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -95,11 +92,16 @@ def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: in
         raise ValueError(f"ids must be below {first}")
     a, rules, n = ids.astype(np.uint32), [], first
     cell = _cells(a, slice(None), end)
+    bound = np.bincount(cell, minlength=CELLS + 1)
+    spare, spare_cell = np.empty_like(a), np.empty_like(cell)  # what stays is copied from one to the other
     while len(a) > 1:
         twin = np.flatnonzero(a[:-1] == a[1:])  # of a run of equal symbols every other pair counts
         begin = np.flatnonzero(np.diff(twin, prepend=-2) != 1)
         off = twin[(np.arange(len(twin)) - np.repeat(begin, np.diff(np.r_[begin, len(twin)]))) % 2 == 1]
-        at, rank = _frequent(a, cell, off, least)
+        np.subtract.at(bound, cell[off], 1)
+        bound[CELLS] = 0
+        at, rank = _frequent(a, cell, bound, off, least)
+        np.add.at(bound, cell[off], 1)
         if not len(at):
             break
         last, after = np.diff(at, prepend=-2) == 1, np.diff(at, append=len(a) + 1) == 1
@@ -108,15 +110,22 @@ def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: in
         good = np.bincount(rank) >= least
         number = np.cumsum(good) - 1
         at, rank = at[good[rank]], rank[good[rank]]  # never empty: the first keeps all its places
-        _, one = np.unique(rank, return_index=True)
-        rules.append(np.stack([a[at[one]], a[at[one] + 1]], axis=1))
+        one = np.zeros(len(number), np.int64)
+        one[rank[::-1]] = at[::-1]  # the first place of each pair
+        one = one[good]
+        rules.append(np.stack([a[one], a[one + 1]], axis=1))
+        apart = (np.diff(at, prepend=-3) != 2) & (at > 0)  # no other pair ends just before
+        np.subtract.at(bound, cell[np.concatenate([at, at[at < len(cell) - 1] + 1, at[apart] - 1])], 1)
         a[at] = (n + number[rank]).astype(np.uint32)
         keep = np.ones(len(a), bool)
         keep[at + 1] = False
-        a, cell = a[keep], cell[keep[: len(cell)]][: int(keep.sum()) - 1]
+        stay = np.flatnonzero(keep)
+        a, spare = a.take(stay, out=spare[: len(stay)], mode="clip"), a
+        cell, spare_cell = cell.take(stay[:-1], out=spare_cell[: len(stay) - 1], mode="clip"), cell
         now = at - np.arange(len(at))  # where the new symbols are
-        near = np.concatenate([now[now < len(cell)], now[now > 0] - 1])
+        near = np.concatenate([now[now < len(cell)], now[apart] - 1])
         cell[near] = _cells(a, near, end)
+        np.add.at(bound, cell[near], 1)
         n += int(good.sum())
     return a, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
