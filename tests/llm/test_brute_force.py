@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gaugeframe.llm import fingerprints, mixing, near_dedup, packing, quality, queries, repair, secrets, sharding, substring_dedup
+from gaugeframe.llm import fingerprints, mixing, mixing_model, near_dedup, packing, quality, queries, repair, secrets, sharding, substring_dedup
 from gaugeframe.llm.tokens import WORD_BPE
 from tests.llm import brute
 
@@ -276,3 +276,19 @@ def test_windows_of_any_block(spark, docs, rows):
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     for size in (500, 1 << 22):
         assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in substring_dedup.repeats(once, 20, size).collect()) == want
+
+
+def test_slot_counts():
+    """Sums of half bytes, coded, are the counts of each bit's slot."""
+    texts = [[b"the", b"cat", "été".encode(), b""], [b""], [b"the", b"the", b"x" * 300, b""]]
+    table = np.zeros(mixing_model.SLOTS, np.uint32)
+    mixing_model._counted(table, texts)
+    flat, context, _ = mixing_model.bits_of(texts)
+    want = np.zeros((mixing_model.SLOTS, 2), np.int64)
+    for bit, at_slot in enumerate(mixing_model.slots(flat, context)):
+        for s in at_slot:
+            np.add.at(want, (s, (flat >> (7 - bit)) & 1), 1)
+    n = mixing_model.CHUNK
+    got = np.concatenate([mixing_model._coded_pairs(table[:n], True), mixing_model._coded_pairs(table[n:], False)])
+    code = mixing_model.to_code(want)
+    assert np.array_equal(got, code[:, 0].astype(np.uint16) << 8 | code[:, 1])
