@@ -130,6 +130,17 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
         power = power[: len(power) - width // 2] * np.uint64(pow(BASE, width // 2, 1 << 64)) + power[width // 2 :]
 
 
+#: For DuckDB: crc, a row with the 256 remainders of CRC-32, in a WITH RECURSIVE.
+CRC_TABLE = """crc_step AS (SELECT i::BIGINT AS b, i::BIGINT AS x, 0 AS k FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN x & 1 = 1 THEN xor(3988292384::BIGINT, x >> 1) ELSE x >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+    crc AS MATERIALIZED (SELECT list(x ORDER BY b) AS t FROM crc_step WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, where its one row ``crc`` is joined."""
+    each = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda j: ('0x' || substr(hex(encode({text})), 2 * j - 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({each}, lambda c, y: xor(c >> 8, crc.t[(xor(c, y) & 255) + 1]), 4294967295::BIGINT))"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node of its component.
 

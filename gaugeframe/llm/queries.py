@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import fingerprints, mixing, mixing_model, near_dedup, packing, quality, repair, secrets, sharding, substring_dedup
+from gaugeframe.llm import fingerprints, mixing, mixing_model, near_dedup, packing, quality, repair, resampling, runs, secrets, sharding, simhash, substring_dedup
 from gaugeframe.llm.common import documents, shared_dir
 
 
@@ -58,9 +58,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).select("doc_id", *names, "kept", "perplexity", "lower", "upper")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), width=4, reach=4)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(documents(spark, sf_dir), with_tails=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.oracle(), "op5_mixing": mixing.oracle(), "op7_near_dedup": near_dedup.oracle(), "op8_secrets": secrets.oracle()}
+    return {"op4_substring_dedup": substring_dedup.oracle(), "op5_mixing": mixing.oracle(), "op7_near_dedup": near_dedup.oracle(), "op8_secrets": secrets.oracle(), "op12_resampling": resampling.oracle(), "op13_periodic_runs": runs.oracle()}
