@@ -36,6 +36,8 @@ from gaugeframe.llm.near_dedup import grouped
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once, variants that a slice may hold, leading bits that a full slice is divided by.
 PIECE, SLICE, STEP = 1 << 16, 1 << 21, 4
+#: How many times the mean slice's variants a slice may hold, at least: few slices are divided again.
+ROOM = 4
 #: Tasks for the slices: beyond that many, a task takes more slices, one after the other.
 MOST_TASKS = 20_000
 #: Of all rows, the share from which on a fingerprint counts as hot; so there are at most 1 / HOT hot ones.
@@ -85,7 +87,7 @@ def dealt(rows: DataFrame, depth: int, step: int, radius: int) -> DataFrame:
 
 def slices(classes: DataFrame, radius: int, size: int) -> list[tuple[int, DataFrame]]:
     """(leading bits, rows prefix, left, fp): every variant of the fingerprints ``fp`` lies in exactly one slice, at most ``size`` in each unless its bits are used up."""
-    depth = min(40, max(0, (classes.count() * ball(BITS, radius) // size).bit_length()))
+    depth = min(40, (classes.count() * ball(BITS, radius) * ROOM // size).bit_length())
     rows = dealt(classes.select(F.lit(0).cast("long").alias("prefix"), F.lit(radius).alias("left"), "fp"), 0, depth, radius)
     out = []
     while True:
