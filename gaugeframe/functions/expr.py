@@ -20,6 +20,12 @@ def trunc2(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * 100) / 100
 
 
+def tenths_text(x: Column) -> Column:
+    """A number with one decimal, rounded by its exact binary value (half to even)."""
+    whole = F.floor(x)
+    return F.format_string("%.1f", whole + F.bround((x - whole) * 10, 0) / 10)
+
+
 def round2(x: Column) -> Column:
     return F.round(x * 100) / 100
 

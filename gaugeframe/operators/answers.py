@@ -16,15 +16,6 @@ def metrics(points: DataFrame) -> DataFrame:
     return points.groupBy("data_name", "metric").agg(F.count_distinct("run").alias("runs"), F.count_distinct("series").alias("series"))
 
 
-def summary(points: DataFrame) -> DataFrame:
-    """A row for each series: statistics, trend, and how many spikes and drops it has."""
-    by = list(ts.SERIES)
-    out = ts.statistics(points, by).join(ts.trend(points).select(*by, "first", "last", "trend"), by)
-    for f, name in ((ts.spikes, "spikes"), (ts.drops, "drops")):
-        out = out.join(f(points).groupBy(*by).agg(F.count("*").alias(name)), by, "left")
-    return out.na.fill(0, ["spikes", "drops"])
-
-
 def values(points: DataFrame, metric: str, shape: str = "raw", run: str | None = None, series: tuple[str, ...] = (), begin: int | None = None, end: int | None = None) -> DataFrame:
     """A metric's values: raw points, deltas as text, at most 50 buckets, the average of its series, or a summary. Series that do not exist are an error."""
     rows = points.where((F.col("metric") == metric) & (F.lit(True) if run is None else F.col("run") == run))
@@ -33,7 +24,7 @@ def values(points: DataFrame, metric: str, shape: str = "raw", run: str | None =
         if rows.isEmpty():
             raise ValueError(f"no such series: {', '.join(series)}")
     rows = ts.between(rows, begin, end) if begin is not None or end is not None else rows
-    return {"raw": lambda x: x, "compact": ts.run_length_text, "downsampled": ts.downsample, "average": ts.positional_average, "summary": summary}[shape](rows)
+    return {"raw": lambda x: x, "compact": ts.run_length_text, "downsampled": ts.downsample, "average": ts.positional_average, "summary": ts.summary}[shape](rows)
 
 
 def changes(stats: DataFrame, base_run: str, stat: str | None = None, least_percent: float = 0.0, offset: int = 0, limit: int = 50) -> DataFrame:

@@ -1,19 +1,21 @@
 """Time series: rates of counters, aggregate series, statistics, ranges, comparison of runs.
 
-All operators work on the long table points(run, metric, series, sample_idx, time_diff, value, is_aggregate). Windows are partitioned by
-series, so the points of one series are sorted in one task; what concerns a whole metric (statistics, zeros, ranges) is added up in the map tasks instead,
+All operators work on the long table points(run, metric, series, sample_idx, time_diff, value, is_aggregate). What goes along a series (rates, differences, trend,
+spikes, positions) is scanned in blocks (blocks.Scan), so no task holds a series; what concerns a whole metric (statistics, zeros, ranges) is added up in the map tasks,
 and no task holds a metric. Aggregates add up in the map tasks before they shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeframe.functions.expr import ratio, round2
+from gaugeframe.functions.expr import ratio, round2, tenths_text
+from gaugeframe.operators.blocks import SERIES, WIDTH, Scan
 
-SERIES = ["run", "metric", "series"]
 STATS = ("avg", "std", "min", "max", "p50", "p90", "p99", "p99_9")
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p99_9": 0.999}
 
@@ -21,17 +23,15 @@ QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p99_9": 0.999}
 def rates(points: DataFrame, keep_first: bool = False) -> DataFrame:
     """Counters as rates a second. A decrease or a stalled clock drops the point, and the next one is taken against
     the dropped value; the first point is 0, or its own value with ``keep_first``."""
-    by = Window.partitionBy(*SERIES).orderBy("sample_idx")
-    out = points.withColumns({"_v": F.lag("value").over(by), "_t": F.lag("time_diff").over(by)})
+    out = Scan(points).neighbours(_v=("value", -1), _t=("time_diff", -1)).done()
     first = F.col("value") if keep_first else F.lit(0.0)
     rate = F.when(F.col("_v").isNull(), first).otherwise(F.try_divide(F.col("value") - F.col("_v"), F.col("time_diff") - F.col("_t")))
-    return out.where("_v is null or (value >= _v and time_diff > _t)").withColumn("value", rate).drop("_v", "_t")
+    return out.where("_v is null or (value >= _v and time_diff > _t)").withColumn("value", rate).select(*points.columns)
 
 
 def decreases(points: DataFrame) -> DataFrame:
     """How often each counter fell."""
-    by = Window.partitionBy(*SERIES).orderBy("sample_idx")
-    return points.withColumn("_v", F.lag("value").over(by)).groupBy(*SERIES).agg(F.count_if(F.col("_v") > F.col("value")).alias("decreases"))
+    return Scan(points).neighbours(_v=("value", -1)).rows.groupBy(*SERIES).agg(F.count_if(F.col("_v") > F.col("value")).alias("decreases"))
 
 
 def with_aggregate(points: DataFrame, how: str = "average", name: str | None = None) -> DataFrame:
@@ -43,37 +43,55 @@ def with_aggregate(points: DataFrame, how: str = "average", name: str | None = N
     return points.withColumn("is_aggregate", F.lit(False)).unionByName(total)
 
 
-#: Relative rank error of the sketches that bracket percentiles, and the part of a group's rows on each side that is looked at again.
-ACCURACY = 10_000
-BRACKET = 2 / ACCURACY
+#: Parts of a doubling of values that count as one cell.
+CELLS = 4096
 
 
-def statistics(values: DataFrame, by: list[str]) -> DataFrame:
-    """The eight statistics of ``value`` for each group: population deviation, nearest-rank percentiles (the value at floor(q x n), counted from 0).
+def _cell(value: Column) -> Column:
+    """A number of cells that never falls as the value rises: of the sign and the logarithm, 0 for 0, NaN last."""
+    size = F.floor((F.log2(F.abs(value)) + 1100) * CELLS)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value == 0, F.lit(0).cast("long")).otherwise(F.when(value > 0, size).otherwise(-size))
+
+
+def digest(values: DataFrame, by: list[str]) -> DataFrame:
+    """How often each ``value`` occurs in each group: ``by``, cell, value, n. Statistics come from it exactly; stored by run, a new run's is added without reading the others again."""
+    return values.groupBy(*by, _cell(F.col("value")).alias("cell"), "value").agg(F.count("value").alias("n"))
+
+
+def merged(digests: list[DataFrame], by: list[str]) -> DataFrame:
+    """One digest of several, of other runs or of parts of the same groups."""
+    every = reduce(DataFrame.unionByName, digests)
+    return every.groupBy(*by, "cell", "value").agg(F.sum("n").alias("n"))
+
 
-    A mergeable sketch brackets each percentile; a second pass counts the values below each bracket and ranks only those inside it (some thousandths of
-    a group), so percentiles are exact and no group is sorted or gathered.
+def statistics_of(digest_: DataFrame, by: list[str]) -> DataFrame:
+    """The eight statistics of each group of a digest: population deviation, nearest-rank percentiles (the value at floor(q x n), counted from 0).
+
+    Values are counted up inside their cell; a row for each cell gives the counts before it, the mean and the spread. So a task sorts the values of a cell or the cells of
+    a group, never a group, and percentiles are exact.
     """
-    qs = list(QUANTILES.values())
-    edges = [e for q in qs for e in (max(0.0, q - BRACKET), min(1.0, q + BRACKET))]
-    first = values.groupBy(*by).agg(F.avg("value").alias("avg"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("_n"), F.percentile_approx("value", edges, ACCURACY).alias("_e"))
-    edge = lambda k: F.get("_e", F.lit(k))
-    known = first.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n", "_e")
-    same = [values[c].eqNullSafe(known[f"_by_{c}"]) for c in by]
-    rows = values.join(known, same if same else F.lit(True)).select(*by, "value", "_n", "_e")
-    inside = [(F.col("value") >= edge(2 * k)) & (F.col("value") <= edge(2 * k + 1)) for k in range(len(qs))]
-    below = rows.groupBy(*by).agg(*[F.count_if(F.col("value") < edge(2 * k)).alias(f"_b{k}") for k in range(len(qs))])
-    which = F.explode(F.filter(F.array(*[F.when(x, F.lit(k)) for k, x in enumerate(inside)]), lambda k: k.isNotNull())).alias("_q")
-    bracket = rows.select(*by, "value", "_n", which).groupBy(*by, "_q", "value").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    bracket = bracket.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_q").orderBy("value")))
-    of = below.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f"_b{k}" for k in range(len(qs))])
-    same = [bracket[c].eqNullSafe(of[f"_by_{c}"]) for c in by]
-    bracket = bracket.join(of, same if same else F.lit(True))
-    at = [F.min(F.when((F.col("_q") == k) & (F.col("_upto") + F.col(f"_b{k}") > F.floor(F.col("_n") * q)), F.col("value"))).alias(p) for k, (p, q) in enumerate(QUANTILES.items())]
-    ranks = bracket.groupBy(*by).agg(*at).withColumnsRenamed({c: f"_by_{c}" for c in by})
-    out = first.drop("_n", "_e")
-    same = [out[c].eqNullSafe(ranks[f"_by_{c}"]) for c in by]
-    return out.join(ranks, same if same else F.lit(True), "left").select(*by, *STATS)
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("one"))
+    cells, rising = Window.partitionBy("_g", "cell"), Window.unboundedPreceding
+    rows = digest_.select(group.alias("_g"), "cell", "value", "n")
+    rows = rows.withColumns({"upto": F.sum("n").over(cells.orderBy("value").rowsBetween(rising, 0)), "low": F.min("value").over(cells)})
+    off = (F.col("value") - F.col("low")) * F.col("n")  # little, so squares lose no digits
+    of_cell = rows.groupBy("_g", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("value").alias("high"), F.sum(off).alias("_s"), F.sum(off * (F.col("value") - F.col("low"))).alias("_q"))
+    whole = Window.partitionBy("_g")
+    of_cell = of_cell.withColumns({"all": F.sum("n").over(whole), "before": F.coalesce(F.sum("n").over(whole.orderBy("cell").rowsBetween(rising, -1)), F.lit(0)), "mean": F.col("low") + F.try_divide("_s", "n")})
+    of_cell = of_cell.withColumn("avg", F.try_divide(F.sum(F.col("mean") * F.col("n")).over(whole), F.col("all")))
+    away = F.col("mean") - F.col("avg")
+    spread = F.greatest(F.col("_q") - F.try_divide(F.col("_s") * F.col("_s"), "n"), F.lit(0.0)) + F.col("n") * away * away
+    std = F.sqrt(F.try_divide(F.sum(spread), F.max("all")))
+    out = of_cell.groupBy("_g").agg(F.max("avg").alias("avg"), std.alias("std"), F.min("low").alias("min"), F.max("high").alias("max"))
+    rank = {p: F.floor(F.col("all") * q) - F.col("before") for p, q in QUANTILES.items()}
+    wanted = of_cell.where(F.col("n") > 0).select("_g", "cell", *[F.when((r >= 0) & (r < F.col("n")), r).alias(f"_{p}") for p, r in rank.items()]).where(" or ".join(f"_{p} is not null" for p in QUANTILES))
+    found = rows.join(wanted, ["_g", "cell"]).groupBy("_g").agg(*[F.min(F.when(F.col("upto") > F.col(f"_{p}"), F.col("value"))).alias(p) for p in QUANTILES])
+    return out.join(found, "_g", "left").select(*[F.col("_g")[c].alias(c) for c in by], *STATS)
+
+
+def statistics(values: DataFrame, by: list[str]) -> DataFrame:
+    """The eight statistics of ``value`` for each group, by way of a digest."""
+    return statistics_of(digest(values, by), by)
 
 
 def largest_series(points: DataFrame) -> DataFrame:
@@ -103,14 +121,12 @@ def squeeze_zeros(points: DataFrame, stats_series: str | None = None) -> DataFra
 
 def between(points: DataFrame, begin: int | None, end: int | None, duration: Column | None = None) -> DataFrame:
     """Points in an inclusive range of seconds; negative bounds count back from the duration, else from the series' last time."""
-    anchor = duration if duration is not None else F.max("time_diff").over(Window.partitionBy(*SERIES))
-    bound = lambda x: F.greatest(F.lit(0), anchor + x) if x < 0 else F.lit(x)
-    out = points.withColumn("_a", anchor)
-    if begin is not None:
-        out = out.withColumn("_b", bound(begin)).where("time_diff >= _b").drop("_b")
-    if end is not None:
-        out = out.withColumn("_b", bound(end)).where("time_diff <= _b").drop("_b")
-    return out.drop("_a")
+    back = any(x is not None and x < 0 for x in (begin, end))
+    out = Scan(points).greatest(_a="time_diff").done() if back and duration is None else points.withColumn("_a", duration if back else F.lit(0))
+    bound = lambda x: F.greatest(F.lit(0), F.col("_a") + x) if x < 0 else F.lit(x)
+    out = out if begin is None else out.where(F.col("time_diff") >= bound(begin))
+    out = out if end is None else out.where(F.col("time_diff") <= bound(end))
+    return out.select(*points.columns)
 
 
 def long_stats(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -153,65 +169,98 @@ def by_delta(scored: DataFrame) -> DataFrame:
 
 def downsample(points: DataFrame, buckets: int = 50) -> DataFrame:
     """At most ``buckets`` equal runs of points for each series, with average, least and greatest value."""
-    part = Window.partitionBy(*SERIES)
-    out = points.withColumns({"_k": F.row_number().over(part.orderBy("sample_idx")) - 1, "_n": F.count("*").over(part)})
+    out = Scan(points).placed().rows
     b = F.least(F.col("_n"), F.lit(buckets))
-    bucket = F.floor(((F.col("_k") + 1) * b - 1) / F.col("_n")).cast("int")  # the last b with floor(b n / B) <= k
+    bucket = F.floor((F.col("_k") * b - 1) / F.col("_n")).cast("int")  # the last b with floor(b n / B) < k
     return out.withColumn("bucket", bucket).groupBy(*SERIES, "bucket").agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
 
 
 def trend(points: DataFrame) -> DataFrame:
-    """The mean of the first and the last tenth of each series (one point at least); within 2 % it is stable, as it is from a start of 0."""
-    part = Window.partitionBy(*SERIES)
-    out = points.withColumns({"_k": F.row_number().over(part.orderBy("sample_idx")), "_n": F.count("*").over(part)}).withColumn("_t", F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))
-    out = out.groupBy(*SERIES).agg(F.avg(F.when(F.col("_k") <= F.col("_t"), F.col("value"))).alias("first"), F.avg(F.when(F.col("_k") > F.col("_n") - F.col("_t"), F.col("value"))).alias("last"))
-    change = F.try_divide(F.col("last") - F.col("first"), F.abs("first"))
-    return out.withColumn("trend", F.when(change > 0.02, "up").when(change < -0.02, "down").otherwise("stable"))
+    """The mean of the first and the last tenth of each series (one point at least) and the change in percent of the signed first mean: under 2 either way it
+    is stable, as it is from a first mean of 0.001 or less in size."""
+    return _trend(Scan(points).placed().rows)
+
+
+def _trend(placed: DataFrame) -> DataFrame:
+    tenth = F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
+    mean = lambda some: F.avg(F.when(some, F.col("value")))
+    out = placed.groupBy(*SERIES).agg(mean(F.col("_k") <= tenth).alias("first"), mean(F.col("_k") > F.col("_n") - tenth).alias("last"))
+    percent = F.when(F.abs("first") > 0.001, (F.col("last") - F.col("first")) / F.nullif("first", F.lit(0.0)) * 100).otherwise(0.0)
+    return out.withColumn("percent", percent).withColumn("trend", F.when(F.abs("percent") < 2, "stable").when(F.col("percent") > 0, "rising").otherwise("falling"))
+
+
+def _excursions(placed: DataFrame) -> Scan:
+    """Points of Scan.placed("value") above mean + 2 deviations (_spike) and below mean - 2 deviations, 0 at least (_drop, where the deviation is above 0.001)."""
+    out = Scan(placed)
+    spike = F.col("value") > F.col("_avg") + 2 * F.col("_std")
+    drop = (F.col("value") < F.greatest(F.col("_avg") - 2 * F.col("_std"), F.lit(0.0))) & (F.col("_std") > 0.001)
+    out.rows = out.rows.withColumns({"_spike": spike.cast("int"), "_drop": drop.cast("int")})
+    return out
+
+
+def _closed(placed: DataFrame) -> DataFrame:
+    """kind, number (from 1), begin, end, peak of the runs of such points that another point closes; ``end`` is that point's time."""
+    kinds = ("spike", "drop")
+    scan = _excursions(placed).neighbours(**{f"_was_{k}": (f"_{k}", -1) for k in kinds})
+    was = {k: F.coalesce(f"_was_{k}", F.lit(0)) for k in kinds}
+    scan.running(**{f"_no_{k}": ((F.col(f"_{k}") == 1) & (was[k] == 0)).cast("int") for k in kinds})
+    part = lambda k: F.when((F.col(f"_{k}") == 1) | (was[k] == 1), F.struct(F.lit(k).alias("kind"), F.col(f"_no_{k}").alias("number"), (F.col(f"_{k}") == 1).alias("inside")))
+    rows = scan.rows.select(*SERIES, "time_diff", "value", F.explode(F.filter(F.array(*map(part, kinds)), lambda x: x.isNotNull())).alias("x")).select(*SERIES, "time_diff", "value", "x.*")
+    own = lambda c: F.when(F.col("inside"), F.col(c))
+    peak = F.when(F.col("kind") == "spike", F.max(own("value"))).otherwise(F.min(own("value")))
+    runs = rows.groupBy(*SERIES, "kind", "number").agg(F.min(own("time_diff")).alias("begin"), F.max(F.when(~F.col("inside"), F.col("time_diff"))).alias("end"), peak.alias("peak"))
+    return runs.where("end is not null")
 
 
 def spikes(points: DataFrame) -> DataFrame:
-    """Runs of points above mean + 2 deviations that end before the series does: begin, end and peak."""
-    part = Window.partitionBy(*SERIES)
-    order = part.orderBy("sample_idx")
-    out = points.withColumn("_high", (F.col("value") > F.avg("value").over(part) + 2 * F.stddev_pop("value").over(part)).cast("int"))
-    out = out.withColumn("_island", F.sum(1 - F.col("_high")).over(order)).withColumn("_last", F.max("sample_idx").over(part))
-    runs = out.where("_high = 1").groupBy(*SERIES, "_island").agg(F.min("time_diff").alias("begin"), F.max("time_diff").alias("end"), F.max("value").alias("peak"), F.max("sample_idx").alias("_e"), F.max("_last").alias("_last"))
-    return runs.where("_e < _last").drop("_island", "_e", "_last")
+    """Runs of points above mean + 2 deviations that a lower point closes: begin, that point's time, and peak."""
+    return _closed(Scan(points).placed("value").rows).where("kind = 'spike'").select(*SERIES, "begin", "end", "peak")
+
+
+def drops(points: DataFrame) -> DataFrame:
+    """Runs of points below mean - 2 deviations (0 at least) that a higher point closes, where the deviation is above 0.001: begin, that point's time, and trough."""
+    return _closed(Scan(points).placed("value").rows).where("kind = 'drop'").select(*SERIES, "begin", "end", F.col("peak").alias("trough"))
+
+
+def anomalies(points: DataFrame, most: int = 5) -> DataFrame:
+    """Of each series the first ``most`` spikes, then drops, in the order of time: place (from 1), kind, begin, end, peak (trough of a drop)."""
+    return _anomalies(Scan(points).placed("value").rows, most)
+
+
+def _anomalies(placed: DataFrame, most: int) -> DataFrame:
+    few = _closed(placed).where(F.col("number") <= most)  # so many of each kind at most
+    order = Window.partitionBy(*SERIES).orderBy(F.desc("kind"), "number")
+    return few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(*SERIES, "place", "kind", "begin", "end", "peak")
+
+
+def summary(points: DataFrame, most: int = 5) -> DataFrame:
+    """A row for each series: statistics, first and last tenth, trend, numbers of its spikes and drops among the first ``most`` anomalies, and these as text."""
+    placed = Scan(points).placed("value").rows
+    said = F.concat(F.col("kind"), F.format_string(" t=%ds-%ds (", "begin", "end"), F.when(F.col("kind") == "spike", "peak ").otherwise("trough "), tenths_text(F.col("peak")), F.lit(")"))
+    count = lambda k: F.count_if(F.col("kind") == k).alias(f"{k}s")
+    found = _anomalies(placed, most).withColumn("said", said).groupBy(*SERIES).agg(count("spike"), count("drop"), F.array_sort(F.collect_list(F.struct("place", "said"))).alias("said"))
+    found = found.withColumn("anomalies", F.array_join(F.transform("said", lambda x: x["said"]), "; ")).drop("said")
+    return statistics(points, SERIES).join(_trend(placed), SERIES).join(found, SERIES, "left").na.fill(0, ["spikes", "drops"]).na.fill("", ["anomalies"])
 
 
 def delta_runs(points: DataFrame) -> DataFrame:
     """Differences of neighbours, two decimals, run-length encoded: position of the run, difference, length."""
-    order = Window.partitionBy(*SERIES).orderBy("sample_idx")
-    out = points.withColumn("delta", round2(F.col("value") - F.lag("value").over(order))).where("delta is not null")
-    out = out.withColumn("_new", F.coalesce((F.col("delta") != F.lag("delta").over(order)).cast("int"), F.lit(1))).withColumn("run_no", F.sum("_new").over(order))
-    return out.groupBy(*SERIES, "run_no").agg(F.first("delta").alias("delta"), F.count("*").alias("n"))
-
-
-def drops(points: DataFrame, most: int = 5) -> DataFrame:
-    """Runs of points below mean - 2 deviations (0 at least) that end before the series does, where the deviation is above 0.001: begin, end and trough.
-    Of each series the first ``most`` together with its spikes, which count before."""
-    part = Window.partitionBy(*SERIES)
-    order = part.orderBy("sample_idx")
-    std = F.stddev_pop("value").over(part)
-    bound = F.greatest(F.avg("value").over(part) - 2 * std, F.lit(0.0))
-    out = points.withColumns({"_low": ((F.col("value") < bound) & (std > 0.001)).cast("int"), "_last": F.max("sample_idx").over(part)})
-    out = out.withColumn("_island", F.sum(1 - F.col("_low")).over(order)).where("_low = 1")
-    runs = out.groupBy(*SERIES, "_island").agg(F.min("time_diff").alias("begin"), F.max("time_diff").alias("end"), F.min("value").alias("trough"), F.max("sample_idx").alias("_e"), F.max("_last").alias("_last")).where("_e < _last")
-    used = spikes(points).groupBy(*SERIES).agg(F.count("*").alias("_spikes"))
-    runs = runs.join(used, SERIES, "left").withColumn("_k", F.row_number().over(part.orderBy("_island")) + F.coalesce("_spikes", F.lit(0)))
-    return runs.where(F.col("_k") <= most).select(*SERIES, "begin", "end", "trough")
+    scan = Scan(points).neighbours(_v=("value", -1))
+    scan.rows = scan.rows.withColumn("delta", round2(F.col("value") - F.col("_v"))).where("delta is not null")
+    scan.neighbours(_d=("delta", -1)).running(run_no=F.coalesce((F.col("delta") != F.col("_d")).cast("int"), F.lit(1)))
+    return scan.rows.groupBy(*SERIES, "run_no").agg(F.first("delta").alias("delta"), F.count("*").alias("n"))
 
 
 def last_of_each_second(points: DataFrame) -> DataFrame:
     """Of snapshots (``ms``) that follow within half a second, the last."""
-    nxt = F.lead("ms").over(Window.partitionBy(*SERIES).orderBy("ms", "sample_idx"))
-    return points.withColumn("_n", nxt).where("_n is null or floor((_n - ms + 500) / 1000) <> 0").drop("_n")
+    rows = Scan(points, "ms", ("sample_idx",), width=1000 * WIDTH).neighbours(_n=("ms", 1)).done()
+    return rows.where("_n is null or floor((_n - ms + 500) / 1000) <> 0").select(*points.columns)
 
 
 def since_start(points: DataFrame, start_ms: Column) -> DataFrame:
     """Seconds since ``start_ms``; before the first record at or after it, time stands still at 0."""
-    begun = F.max((F.col("ms") >= start_ms).cast("int")).over(Window.partitionBy(*SERIES).orderBy("ms", "sample_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return points.withColumn("time_diff", F.when(begun == 1, F.greatest(F.lit(0), F.floor((F.col("ms") - start_ms + 500) / 1000))).otherwise(0).cast("long"))
+    begun = F.col("ms") >= start_ms
+    return points.withColumn("time_diff", F.when(begun, F.floor((F.col("ms") - start_ms + 500) / 1000)).otherwise(0).cast("long"))
 
 
 def statistics_of_aggregate(points: DataFrame) -> DataFrame:
@@ -258,7 +307,7 @@ def with_processes(own: DataFrame, processes: DataFrame, pids: DataFrame, total:
 
 def positional_average(points: DataFrame) -> DataFrame:
     """Of each metric the average of the i-th points of all its series, as many as the first series by name has, at that one's times."""
-    at = points.withColumn("k", F.row_number().over(Window.partitionBy(*SERIES).orderBy("sample_idx")) - 1)
+    at = Scan(points).placed().rows.withColumn("k", F.col("_k") - 1)
     first = at.groupBy("run", "metric").agg(F.min("series").alias("series"))
     times = at.join(first, SERIES, "left_semi").select("run", "metric", "k", "time_diff")
     return at.groupBy("run", "metric", "k").agg(F.avg("value").alias("value")).join(times, ["run", "metric", "k"])

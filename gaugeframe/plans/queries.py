@@ -115,19 +115,40 @@ def ts_downsample(spark, d):
 
 
 @query(f"""WITH {P}, k AS (SELECT *, row_number() OVER (PARTITION BY run, metric, series ORDER BY sample_idx) AS k, count(*) OVER (PARTITION BY run, metric, series) AS n FROM p), t AS (SELECT *, greatest(1, n // 10) AS t FROM k),
-f AS (SELECT run, metric, series, avg(value) FILTER (WHERE k <= t) AS first, avg(value) FILTER (WHERE k > n - t) AS last FROM t GROUP BY ALL)
-SELECT run, metric, series, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN (last - first) / abs(first) > 0.02 THEN 'up' WHEN (last - first) / abs(first) < -0.02 THEN 'down' ELSE 'stable' END AS trend FROM f""")
+f AS (SELECT run, metric, series, avg(value) FILTER (WHERE k <= t) AS first, avg(value) FILTER (WHERE k > n - t) AS last FROM t GROUP BY ALL), c AS (SELECT *, CASE WHEN abs(first) > 0.001 THEN (last - first) / first * 100 ELSE 0 END AS c FROM f)
+SELECT run, metric, series, round(first, 6) AS first, round(last, 6) AS last, round(c, 6) AS percent, CASE WHEN abs(c) < 2 THEN 'stable' WHEN c > 0 THEN 'rising' ELSE 'falling' END AS trend FROM c""")
 def ts_trend(spark, d):
     return rounded(ts.trend(points(spark, d)))
 
 
-@query(f"""WITH {P}, f AS (SELECT *, CASE WHEN value > avg(value) OVER w + 2 * stddev_pop(value) OVER w THEN 1 ELSE 0 END AS high, max(sample_idx) OVER w AS last FROM p WINDOW w AS (PARTITION BY run, metric, series)),
-i AS (SELECT *, sum(1 - high) OVER (PARTITION BY run, metric, series ORDER BY sample_idx) AS island FROM f)
-SELECT run, metric, series, min(time_diff) AS begin, max(time_diff) AS "end", round(max(value), 6) AS peak FROM i WHERE high = 1 GROUP BY run, metric, series, island HAVING max(sample_idx) < max(last)""")
+#: Runs of high and low points of ``{source}`` by the rules of the summary: a run begins at its first point and ends at the time of the point that closes it; one that is still open at the end doesn't count.
+EXCURSIONS = """ex AS (SELECT *, avg(value) OVER w AS av, stddev_pop(value) OVER w AS sd FROM {source} WINDOW w AS (PARTITION BY run, metric, series)),
+ey AS (SELECT *, 'spike' AS kind, value > av + 2 * sd AS inside FROM ex UNION ALL SELECT *, 'drop', value < greatest(av - 2 * sd, 0) AND sd > 0.001 FROM ex),
+ez AS (SELECT *, coalesce(lag(inside) OVER w, false) AS was FROM ey WINDOW w AS (PARTITION BY run, metric, series, kind ORDER BY sample_idx)),
+en AS (SELECT *, sum((inside AND NOT was)::INT) OVER (PARTITION BY run, metric, series, kind ORDER BY sample_idx) AS number FROM ez),
+er AS (SELECT run, metric, series, kind, number::BIGINT AS number, min(time_diff) FILTER (WHERE inside) AS "begin", max(time_diff) FILTER (WHERE NOT inside) AS "end", CASE kind WHEN 'spike' THEN max(value) FILTER (WHERE inside) ELSE min(value) FILTER (WHERE inside) END AS peak
+  FROM en WHERE inside OR was GROUP BY run, metric, series, kind, number HAVING count(*) FILTER (WHERE NOT inside) > 0),
+ea AS (SELECT *, row_number() OVER (PARTITION BY run, metric, series ORDER BY kind DESC, number) AS place FROM er QUALIFY place <= 5)"""
+
+
+@query(f"""WITH {P}, {EXCURSIONS.format(source="p")} SELECT run, metric, series, "begin", "end", round(peak, 6) AS peak FROM er WHERE kind = 'spike'""")
 def ts_spikes(spark, d):
     return rounded(ts.spikes(points(spark, d)))
 
 
+@query(f"""WITH {P}, a AS (SELECT run, metric, 'all' AS series, sample_idx, time_diff, value FROM p), {EXCURSIONS.format(source="a")} SELECT run, metric, series, place, kind, "begin", "end", round(peak, 6) AS peak FROM ea""")
+def ts_anomalies(spark, d):
+    return rounded(ts.anomalies(points(spark, d).withColumn("series", F.lit("all"))).withColumn("place", F.col("place").cast("long")))
+
+
+@query(f"WITH {P} SELECT run, metric, round(avg, 6) AS avg, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99, round(p99_9, 6) AS p99_9 FROM st")
+def ts_statistics_merged(spark, d):
+    """Statistics of all runs from one digest for each run."""
+    rows, by = ts.rates(points(spark, d)), ["run", "metric"]
+    parts = [ts.digest(rows.where(F.col("run") == r), by) for r in ("run0", "run1")]
+    return rounded(ts.statistics_of(ts.merged(parts, by), by))
+
+
 @query(f"""WITH {P}, q AS (SELECT * REPLACE (CAST(floor(value / 20) AS DOUBLE) AS value) FROM p), x AS (SELECT *, round((value - lag(value) OVER w) * 100) / 100 AS delta FROM q WINDOW w AS (PARTITION BY run, metric, series ORDER BY sample_idx)),
 y AS (SELECT *, CASE WHEN delta = lag(delta) OVER w THEN 0 ELSE 1 END AS new FROM x WHERE delta IS NOT NULL WINDOW w AS (PARTITION BY run, metric, series ORDER BY sample_idx)),
 z AS (SELECT *, sum(new) OVER (PARTITION BY run, metric, series ORDER BY sample_idx) AS run_no FROM y) SELECT run, metric, series, run_no::BIGINT AS run_no, round(min(delta), 6) AS delta, count(*) AS n FROM z GROUP BY ALL""")

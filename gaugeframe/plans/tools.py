@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeframe.functions import expr
 from gaugeframe.operators import answers, hotspots, joins, keyvalues, profile, rules
 from gaugeframe.operators import timeseries as ts
-from gaugeframe.plans.queries import SCORE, P, S, points, query, rounded, samples, stats, table
+from gaugeframe.plans.queries import EXCURSIONS, SCORE, P, S, points, query, rounded, samples, stats, table
 from gaugeframe.sinks import report
 from gaugeframe.sources import binary, jvm, kernel_config, runs, snapshots, text
 
@@ -26,15 +26,7 @@ def daily(spark, d) -> DataFrame:
 
 Y = """y AS (SELECT 'run' || (o_custkey % 2) AS run, 'revenue' AS metric, o_orderpriority AS series, date_diff('day', (SELECT min(o_orderdate)::DATE FROM orders), o_orderdate::DATE) AS sample_idx,
 date_diff('day', (SELECT min(o_orderdate)::DATE FROM orders), o_orderdate::DATE) * 60 AS time_diff, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL)"""
-ISLANDS = f"""f AS (SELECT *, avg(value) OVER w AS av, stddev_pop(value) OVER w AS sd, max(sample_idx) OVER w AS last FROM {{source}} WINDOW w AS ({W})),
-g AS (SELECT *, CASE WHEN value > av + 2 * sd THEN 1 ELSE 0 END AS high, CASE WHEN value < greatest(av - 2 * sd, 0) AND sd > 0.001 THEN 1 ELSE 0 END AS low FROM f),
-i AS (SELECT *, sum(1 - high) OVER w AS hi, sum(1 - low) OVER w AS li FROM g WINDOW w AS ({W} ORDER BY sample_idx)),
-up AS (SELECT run, metric, series, count(*) AS n FROM (SELECT run, metric, series, hi FROM i WHERE high = 1 GROUP BY run, metric, series, hi HAVING max(sample_idx) < max(last)) GROUP BY ALL)"""
-
-
-@query(f"""WITH {Y}, z AS (SELECT * REPLACE (1e7 - value AS value) FROM y), {ISLANDS.format(source="z")},
-down AS (SELECT run, metric, series, li, min(time_diff) AS begin, max(time_diff) AS "end", min(value) AS trough FROM i WHERE low = 1 GROUP BY run, metric, series, li HAVING max(sample_idx) < max(last))
-SELECT d.run, d.metric, d.series, begin, "end", round(trough, 6) AS trough FROM down d LEFT JOIN up USING (run, metric, series) QUALIFY row_number() OVER (PARTITION BY d.run, d.metric, d.series ORDER BY li) + coalesce(up.n, 0) <= 5""")
+@query(f"""WITH {Y}, z AS (SELECT * REPLACE (1e7 - value AS value) FROM y), {EXCURSIONS.format(source="z")} SELECT run, metric, series, "begin", "end", round(peak, 6) AS trough FROM er WHERE kind = 'drop'""")
 def ts_drops(spark, d):
     return rounded(ts.drops(daily(spark, d).withColumn("value", 1e7 - F.col("value"))))
 
@@ -544,11 +536,12 @@ def names_of_all_runs(spark, d):
     return one.union(two).distinct().groupBy("frame").agg(F.count_distinct("run").alias("runs"))
 
 
-@query(f"""WITH {Y}, {ISLANDS.format(source="y")}, k AS (SELECT *, row_number() OVER ({W} ORDER BY sample_idx) AS k, count(*) OVER ({W}) AS n FROM y), t AS (SELECT *, greatest(1, n // 10) AS t FROM k),
-tr AS (SELECT run, metric, series, avg(value) FILTER (WHERE k <= t) AS first, avg(value) FILTER (WHERE k > n - t) AS last FROM t GROUP BY ALL), lo AS (SELECT run, metric, series, li FROM i WHERE low = 1 GROUP BY run, metric, series, li HAVING max(sample_idx) < max(last)),
-dn AS (SELECT run, metric, series, count(*) AS d FROM (SELECT l.run, l.metric, l.series FROM lo l LEFT JOIN up USING (run, metric, series) QUALIFY row_number() OVER (PARTITION BY l.run, l.metric, l.series ORDER BY li) + coalesce(up.n, 0) <= 5) GROUP BY ALL)
-SELECT s.run, s.metric, s.series, {STAT_COLUMNS}, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN (last - first) / abs(first) > 0.02 THEN 'up' WHEN (last - first) / abs(first) < -0.02 THEN 'down' ELSE 'stable' END AS trend, coalesce(up.n, 0) AS spikes, coalesce(dn.d, 0) AS drops
-FROM {ranked_stats('y', 'run, metric, series')} s JOIN tr USING (run, metric, series) LEFT JOIN up USING (run, metric, series) LEFT JOIN dn USING (run, metric, series)""")
+@query(f"""WITH {Y}, {EXCURSIONS.format(source="y")}, k AS (SELECT *, row_number() OVER ({W} ORDER BY sample_idx) AS k, count(*) OVER ({W}) AS n FROM y), t AS (SELECT *, greatest(1, n // 10) AS t FROM k),
+tr AS (SELECT run, metric, series, avg(value) FILTER (WHERE k <= t) AS first, avg(value) FILTER (WHERE k > n - t) AS last FROM t GROUP BY ALL), tc AS (SELECT *, CASE WHEN abs(first) > 0.001 THEN (last - first) / first * 100 ELSE 0 END AS c FROM tr),
+an AS (SELECT run, metric, series, count(*) FILTER (WHERE kind = 'spike') AS spikes, count(*) FILTER (WHERE kind = 'drop') AS drops,
+  string_agg(format('{{}} t={{}}s-{{}}s ({{}} {{:.1f}})', kind, "begin", "end", CASE kind WHEN 'spike' THEN 'peak' ELSE 'trough' END, peak), '; ' ORDER BY place) AS anomalies FROM ea GROUP BY ALL)
+SELECT s.run, s.metric, s.series, {STAT_COLUMNS}, round(first, 6) AS first, round(last, 6) AS last, round(c, 6) AS percent, CASE WHEN abs(c) < 2 THEN 'stable' WHEN c > 0 THEN 'rising' ELSE 'falling' END AS trend,
+coalesce(an.spikes, 0) AS spikes, coalesce(an.drops, 0) AS drops, coalesce(an.anomalies, '') AS anomalies FROM {ranked_stats('y', 'run, metric, series')} s JOIN tc USING (run, metric, series) LEFT JOIN an USING (run, metric, series)""")
 def answer_summary(spark, d):
     return rounded(answers.values(daily(spark, d), "revenue", "summary"))
 
