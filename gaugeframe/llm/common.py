@@ -167,20 +167,31 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def forest(pairs: np.ndarray) -> np.ndarray:
-    """A spanning forest of the links ``pairs`` (n x 2 small integers): the same components by fewer links."""
+def _joined(pairs: np.ndarray) -> tuple[list[int], dict[int, int]]:
+    """Which of the links join two components, and a step towards the least member for every other one."""
     parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = up = parent.get(up, up)
-            x = up
-        return x
-
     kept = []
     for k, (a, b) in enumerate(pairs.tolist()):
-        x, y = top(a), top(b)
+        x, y = _top(parent, a), _top(parent, b)
         if x != y:
             parent[max(x, y)] = min(x, y)
             kept.append(k)
-    return pairs[kept]
+    return kept, parent
+
+
+def _top(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = up = parent.get(up, up)
+        x = up
+    return x
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """A spanning forest of the links ``pairs`` (n x 2 small integers): the same components by fewer links."""
+    return pairs[_joined(pairs)[0]]
+
+
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """(member, least member) for every other member of the components of the links: equal components give equal rows, whatever their links."""
+    _, parent = _joined(pairs)
+    return np.array([(x, _top(parent, x)) for x in list(parent)], np.int64).reshape(-1, 2)

@@ -10,7 +10,7 @@ a fingerprint sends itself to the slices that hold any of its variants (1 + B +
 bits follows from the number of fingerprints; a slice that still holds more than ``SLICE`` variants is divided by its next bits, until it fits
 or its bits are used up. A slice of one value holds at most as many fingerprints as it has variants itself, so no task grows with a hot
 group. Equal fingerprints are one row before that, and the fingerprints around one variant are chained, not paired: all of them differ in at most
-``reach`` bits from each other.
+``reach`` bits from each other. A slice says each component by its least fingerprint.
 
 Defined results: null, empty or wordless text: fingerprint zero, linked like any other. Fewer words than the shingle: the whole sequence is one shingle. Very
 long texts: whole, in pieces of ``PIECE`` shingles. Null doc_id: takes part in links, names a component (null) only if no member has an id. Repeated rows:
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import components, forest, if_few, lowered, materialize
+from gaugeframe.llm.common import components, if_few, lowered, materialize, stars
 from gaugeframe.llm.near_dedup import grouped
 
 BITS, SEED = 64, 42
@@ -122,22 +122,24 @@ def links(fp: np.ndarray, left: np.ndarray, bits: int) -> np.ndarray:
     found = np.concatenate(found)
     found = found[np.lexsort((found[:, 1], found[:, 0]))]
     chain = found[1:, 0] == found[:-1, 0]
-    return forest(np.unique(np.stack([found[:-1, 1][chain], found[1:, 1][chain]], axis=1), axis=0))
+    return np.unique(np.stack([found[:-1, 1][chain], found[1:, 1][chain]], axis=1), axis=0)
 
 
 def linked(rows: DataFrame, depth: int, reach: int, tasks: int) -> DataFrame:
-    """(a, b): a spanning forest of the fingerprints that share a variant, in every slice of ``depth`` leading bits."""
+    """(a, b): in every slice of ``depth`` leading bits, each fingerprint that shares a variant with another, and the least one of its component there. So the many slices that
+    a dense group has in common say the same pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in grouped(batches, ["prefix"]):
             for _, g in frame.groupby("prefix", sort=False):
+                g = g.sort_values("fp")
                 fp = g["fp"].to_numpy()
                 pair = links(fp.view(np.uint64), g["left"].to_numpy(), BITS - depth)
-                a, b = fp[pair[:, 0]], fp[pair[:, 1]]
-                near = np.bitwise_count((a ^ b).view(np.uint64)) <= reach
-                yield pd.DataFrame({"a": a[near], "b": b[near]})
+                near = np.bitwise_count((fp[pair[:, 0]] ^ fp[pair[:, 1]]).view(np.uint64)) <= reach
+                star = stars(pair[near])
+                yield pd.DataFrame({"a": fp[star[:, 0]], "b": fp[star[:, 1]]})
 
-    return rows.repartition(tasks, "prefix").sortWithinPartitions("prefix").mapInPandas(run, "a long, b long")
+    return rows.repartition(tasks, "prefix").sortWithinPartitions("prefix").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4, size: int = SLICE) -> DataFrame:

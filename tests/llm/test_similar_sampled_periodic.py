@@ -95,7 +95,6 @@ def test_simhash_balls(spark, size):
     cut = simhash.slices(table, 2, size)
     assert sum(r.count() for _, r in cut) >= len(every) and (size > 20000 or len(cut) > 1)
     pairs = [(r["a"], r["b"]) for depth, rows in cut for r in simhash.linked(rows, depth, 4, 4).collect()]
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in pairs)
     at, group = {p: k for k, p in enumerate(signed)}, list(range(len(every)))
     for a, b in pairs:
         x, y = group[at[a]], group[at[b]]
@@ -104,6 +103,19 @@ def test_simhash_balls(spark, size):
     assert len(set(zip(group, want, strict=True))) == len(set(group)) == len(set(want))
 
 
+def test_links_are_near():
+    """Pairs that share a variant differ in at most 4 bits, and no pair that differs so little is left unconnected."""
+    gen = np.random.default_rng(8)
+    fp = np.unique(np.array([(1 << 63) ^ sum(1 << int(b) for b in gen.choice(20, 5, replace=False)) for _ in range(60)], np.uint64))
+    pair = simhash.links(fp, np.full(len(fp), 2), 64)
+    assert (np.bitwise_count(fp[pair[:, 0]] ^ fp[pair[:, 1]]) <= 4).all()
+    group = list(range(len(fp)))
+    for x, y in simhash.stars(pair).tolist():
+        assert y < x
+        group = [group[y] if g == group[x] else g for g in group]
+    assert len(set(group)) == len(set(classes([int(f) for f in fp], 4)))
+
+
 def feature_runs(text, longest):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
     return len(w), [" ".join(w[k : k + n]) for n in range(1, longest + 1) for k in range(len(w) - n + 1)]
