@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def prefixes(path: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, 1, n))
+def stacks(samples: DataFrame, backward: bool = False) -> DataFrame:
+    """run, stack (its hash), path, count: each stack with frames once."""
+    path = F.reverse("path") if backward else F.col("path")
+    return samples.where(F.size("path") > 0).groupBy("run", path.alias("path")).agg(F.sum("count").alias("count")).withColumn("stack", F.xxhash64("path"))
 
 
 def in_range(samples: DataFrame, begin: int, end: int) -> DataFrame:
@@ -17,12 +19,10 @@ def in_range(samples: DataFrame, begin: int, end: int) -> DataFrame:
 
 
 def nodes(samples: DataFrame, backward: bool = False) -> DataFrame:
-    """Self and total count of every node of the call tree (of callers, if backward)."""
-    rows = samples.groupBy("run", "path").agg(F.sum("count").alias("count"))
-    path = F.reverse("path") if backward else F.col("path")
-    rows = rows.where(F.size("path") > 0).select("run", "count", path.alias("path")).withColumn("node", F.explode(prefixes(F.col("path"))))
-    leaf = F.when(F.size("node") == F.size("path"), F.col("count")).otherwise(0)
-    return rows.groupBy("run", "node").agg(F.sum("count").alias("total"), F.sum(leaf).alias("self"))
+    """Self and total count of every node of the call tree (of callers, if backward), with its path."""
+    from gaugeframe.operators import calltree
+
+    return calltree.with_paths(calltree.tree(samples, backward), samples, backward).select("run", "node", "total", "self")
 
 
 def frames(samples: DataFrame) -> DataFrame:
@@ -36,14 +36,22 @@ def collapsed(samples: DataFrame) -> DataFrame:
     return samples.groupBy("run", F.concat_ws(";", "path").alias("stack")).agg(F.sum("count").alias("count"))
 
 
-def matches(samples: DataFrame, patterns: list[str]) -> DataFrame:
-    """Counts of stacks that hold frames matching the patterns in this order: ``total``, and ``self`` where the last matches the leaf."""
+def anchored(patterns: list[str], frame_type: str | None = None) -> list[str]:
+    """Regular expressions of whole frames: each pattern with the ending of any kind of code or none; the last with that of ``frame_type``, if one is given."""
+    any_ = r"(_\[(0|j|i|k|1|v)\])?"
+    own = any_ if frame_type is None else ENDINGS.get(frame_type, "").replace("[", r"\[").replace("]", r"\]")
+    return [f"^{p}{any_}$" for p in patterns[:-1]] + [f"^{patterns[-1]}{own}$"]
+
+
+def matches(samples: DataFrame, patterns: list[str], frame_type: str | None = None, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Counts of stacks that hold whole frames by the patterns in this order: ``total``, and ``self`` where the last one is the leaf. Each distinct stack is matched once."""
     step = lambda pats, path: F.aggregate(path, F.lit(0), lambda k, f: k + F.coalesce(*[F.when((k == i) & f.rlike(p), 1) for i, p in enumerate(pats)], F.lit(0)))
-    n = len(patterns)
-    whole = step(patterns, F.col("path")) == n
-    head = F.lit(True) if n == 1 else step(patterns[:-1], F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))) == n - 1
-    last = F.element_at("path", -1).rlike(patterns[-1]) & head
-    return samples.groupBy("run").agg(F.sum(F.when(whole, F.col("count")).otherwise(0)).alias("total"), F.sum(F.when(last, F.col("count")).otherwise(0)).alias("self"))
+    wanted, n = anchored(patterns, frame_type), len(patterns)
+    rows = samples.groupBy(*by, "path").agg(F.sum("count").alias("count"))
+    whole = step(wanted, F.col("path")) == n
+    head = F.lit(True) if n == 1 else step(wanted[:-1], F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))) == n - 1
+    last = F.try_element_at("path", F.lit(-1)).rlike(wanted[-1]) & head
+    return rows.groupBy(*by).agg(F.sum(F.when(whole, F.col("count")).otherwise(0)).alias("total"), F.sum(F.when(last, F.col("count")).otherwise(0)).alias("self"))
 
 
 def flame(samples: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def largest_differences(difference_: DataFrame, n: int) -> DataFrame:
 
 
 #: Endings of frame names by kind of code, and the states of threads.
-ENDINGS = {"interpreted": "_[0]", "compiled": "_[j]", "inlined": "_[i]", "kernel": "_[k]", "c1": "_[1]", "native": "_[v]"}
+ENDINGS = {"interpreted": "_[0]", "compiled": "_[j]", "inlined": "_[i]", "kernel": "_[k]", "c1": "_[1]", "vdso": "_[v]"}
 STATES = {"default": 0, "running": 1, "sleeping": 2, "waiting": 3}
 
 
@@ -133,6 +141,22 @@ def flame_top(flame_: DataFrame, n: int, least_percent: float = 0.0, pattern: st
     return rows.orderBy(F.desc("percent"), "run", F.concat_ws(";", "node")).limit(n).select("run", "name", F.col("total").alias("samples"), "percent", "depth", "parent")
 
 
+#: Fixed value: percentage points under which a function counts as unchanged.
+UNCHANGED = 0.01
+
+
+def function_deltas(samples: DataFrame, base_run: str) -> DataFrame:
+    """Functions of the other runs against the base run's: share of all samples with the function on the stack in percent, ``delta`` to the base (0 there if it lacks the
+    function), and ``normal``, the delta over the greatest one of the run; deltas under UNCHANGED in size count as none."""
+    every = samples.groupBy("run").agg(F.sum("count").alias("_all"))
+    shares = frames(samples).join(every, "run").select("run", "frame", "total", (F.col("total") * 100.0 / F.col("_all")).alias("percent"))
+    base = shares.where(F.col("run") == base_run).select("frame", F.col("percent").alias("base_percent"))
+    out = shares.where(F.col("run") != base_run).join(base, "frame", "left").na.fill(0.0, ["base_percent"]).withColumn("delta", F.col("percent") - F.col("base_percent"))
+    moved = F.when(F.abs("delta") >= UNCHANGED, F.col("delta")).otherwise(0.0)
+    most = out.groupBy("run").agg(F.max(F.abs(moved)).alias("_most"))
+    return out.join(most, "run").withColumn("normal", F.coalesce(F.try_divide(moved, "_most"), F.lit(0.0))).select("run", "frame", "percent", "base_percent", "delta", "normal")
+
+
 def against_base(nodes_: DataFrame, base_run: str) -> DataFrame:
     """Nodes of the other runs against the base run's by path: change in samples and in percentage points of all, and that change over the greatest one of its run."""
     all_ = nodes_.where(F.size("node") == 1).groupBy("run").agg(F.sum("total").alias("_all"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import expr
-from gaugeframe.operators import counters, joins, profile, rules
+from gaugeframe.operators import calltree, counters, joins, profile, rules
 from gaugeframe.operators import timeseries as ts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,7 +207,7 @@ def profile_collapsed(spark, d):
 @query(f"WITH {S} SELECT run, coalesce(sum(n) FILTER (WHERE regexp_matches(f1, '^A') AND regexp_matches(f3, '^B')), 0)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE regexp_matches(f1, '^A') AND regexp_matches(f3, '^B')), 0)::BIGINT AS self FROM s WHERE NOT regexp_matches(f2, '^B') GROUP BY run")
 def profile_pattern(spark, d):
     rows = samples(spark, d).where(~F.element_at("path", 2).rlike("^B"))
-    return profile.matches(rows, ["^A", "^B"])
+    return profile.matches(rows, ["A.*", "B.*"])
 
 
 @query(f"WITH {S} SELECT run, f1 || ';' || f2 || ';' || f3 AS stack, sum(n)::BIGINT AS count FROM s GROUP BY ALL")
@@ -218,7 +218,71 @@ def profile_collapsed_whole(spark, d):
 @query(f"""WITH {S}, m AS (SELECT run, n, regexp_matches(f1, '^A') AS a1, regexp_matches(f2, '^A') AS a2, regexp_matches(f2, '^B') AS b2, regexp_matches(f3, '^B') AS b3 FROM s)
 SELECT run, coalesce(sum(n) FILTER (WHERE (a1 AND (b2 OR b3)) OR (a2 AND b3)), 0)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE (a1 OR a2) AND b3), 0)::BIGINT AS self FROM m GROUP BY run""")
 def profile_pattern_whole(spark, d):
-    return profile.matches(samples(spark, d), ["^A", "^B"])
+    return profile.matches(samples(spark, d), ["A.*", "B.*"])
+
+
+#: Stacks with endings of frame names: a nation's kind of code follows from its key.
+KINDS = """k AS (SELECT 'run' || (c_custkey % 2) AS run, r_name AS f1, n_name || CASE n_nationkey % 3 WHEN 0 THEN '_[j]' WHEN 1 THEN '_[0]' ELSE '' END AS f2, c_mktsegment || CASE c_custkey % 2 WHEN 0 THEN '_[k]' ELSE '' END AS f3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    kind = lambda k: F.when(k == 0, "_[j]").when(k == 1, "_[0]").otherwise("")
+    path = F.array("r_name", F.concat("n_name", kind(F.col("n_nationkey") % 3)), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "_[k]").otherwise("")))
+    return rows.select(F.concat(F.lit("run"), F.col("c_custkey") % 2).alias("run"), path.alias("path"), F.lit(1).cast("long").alias("count"))
+
+
+#: By the rule of patterns: ^pattern(ending)?$ for each frame, the last with the ending asked for; in order from the root; total: any stack that completes them, self: the last one is the leaf, with the others above it.
+ANY = r"(_\[(0|j|i|k|1|v)\])?"
+TYPED = f"""{KINDS}, m AS (SELECT run, regexp_matches(f1, '^(?:ASIA|AFRICA){ANY}$') AS a1, regexp_matches(f2, '^(?:ASIA|AFRICA){ANY}$') AS a2, regexp_matches(f2, '^.*I.*_\\[j\\]$') AS b2, regexp_matches(f3, '^.*I.*_\\[j\\]$') AS b3,
+regexp_matches(f2, '^.*I.*{ANY}$') AS c2, regexp_matches(f3, '^.*I.*{ANY}$') AS c3 FROM k)"""
+
+
+@query(f"""WITH {TYPED} SELECT run, count(*) FILTER (WHERE a1 AND (b2 OR b3) OR a2 AND b3)::BIGINT AS total, count(*) FILTER (WHERE (a1 OR a2) AND b3)::BIGINT AS self FROM m GROUP BY run""")
+def profile_typed_pattern(spark, d):
+    return profile.matches(typed(spark, d), ["(?:ASIA|AFRICA)", ".*I.*"], "compiled")
+
+
+@query(f"""WITH {TYPED} SELECT run, count(*) FILTER (WHERE a1 AND (c2 OR c3) OR a2 AND c3)::BIGINT AS total, count(*) FILTER (WHERE (a1 OR a2) AND c3)::BIGINT AS self FROM m GROUP BY run""")
+def profile_tree_pattern(spark, d):
+    return calltree.matches(calltree.tree(typed(spark, d)), ["(?:ASIA|AFRICA)", ".*I.*"])
+
+
+#: Layout of the three levels of stacks from the leaf up: siblings by falling total, then name, from where their parent begins.
+LAYOUT = """a1 AS (SELECT run, f3 AS p1, count(*) AS t FROM k GROUP BY ALL), a2 AS (SELECT run, f3 AS p1, f2 AS p2, count(*) AS t FROM k GROUP BY ALL), a3 AS (SELECT run, f3 AS p1, f2 AS p2, f1 AS p3, count(*) AS t FROM k GROUP BY ALL),
+x1 AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY run ORDER BY t DESC, p1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM a1),
+x2 AS (SELECT a2.*, x1.x + coalesce(sum(a2.t) OVER (PARTITION BY a2.run, p1 ORDER BY a2.t DESC, p2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM a2 JOIN x1 USING (run, p1)),
+x3 AS (SELECT a3.*, x2.x + coalesce(sum(a3.t) OVER (PARTITION BY a3.run, p1, p2 ORDER BY a3.t DESC, p3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM a3 JOIN x2 USING (run, p1, p2))"""
+
+
+@query(f"""WITH {KINDS}, {LAYOUT} SELECT run, p1 AS node, 1 AS depth, t AS total, 0 AS self, x::BIGINT AS x FROM x1 UNION ALL SELECT run, p1 || ';' || p2, 2, t, 0, x::BIGINT FROM x2 UNION ALL SELECT run, p1 || ';' || p2 || ';' || p3, 3, t, t, x::BIGINT FROM x3""")
+def profile_flame_reverse(spark, d):
+    s = typed(spark, d)
+    rows = calltree.with_paths(calltree.laid_out(calltree.tree(s, backward=True)), s, backward=True)
+    return rows.select("run", F.concat_ws(";", "node").alias("node"), "depth", "total", "self", "x")
+
+
+@query(f"""WITH {KINDS}, n AS (SELECT run, count(*) AS every FROM k GROUP BY run), f AS (SELECT run, unnest([f1, f2, f3]) AS frame FROM k), h AS (SELECT run, frame, count(*) * 100.0 / any_value(every) AS percent FROM f JOIN n USING (run) GROUP BY run, frame),
+q AS (SELECT h.run, h.frame, h.percent, coalesce(b.percent, 0) AS base_percent, h.percent - coalesce(b.percent, 0) AS delta FROM h LEFT JOIN h b ON b.frame = h.frame AND b.run = 'run0' WHERE h.run <> 'run0'),
+w AS (SELECT *, CASE WHEN abs(delta) < 0.01 THEN 0 ELSE delta END AS moved FROM q) SELECT run, frame, round(percent, 6) AS percent, round(base_percent, 6) AS base_percent, round(delta, 6) AS delta, round(coalesce(moved / nullif(max(abs(moved)) OVER (PARTITION BY run), 0), 0), 6) AS normal FROM w""")
+def profile_function_deltas(spark, d):
+    return rounded(profile.function_deltas(typed(spark, d), "run0"))
+
+
+#: Orders as a stored tree: node 0 the root, below it a node for each of ten residues, below these the priorities, a customer's node below its priority; the customers' orders are counts of blocks.
+@query("""WITH o AS (SELECT o_custkey % 10 AS a, o_orderpriority AS p, o_custkey AS c, o_orderstatus AS s, year(o_orderdate) AS block FROM orders)
+SELECT s AS run, 'p' AS profiler, 'cpu' AS profile_type, block::BIGINT AS block, 1 AS thread_state, 'r' || a || ';' || p || ';c' || c AS path, count(*) AS count FROM o GROUP BY ALL""")
+def profile_from_stored_tree(spark, d):
+    by = [F.col("o_orderstatus").alias("run"), F.lit("p").alias("profiler"), F.lit("cpu").alias("profile_type")]
+    o = table(spark, d, "orders").select(*by, F.xxhash64(F.concat(F.lit("r"), F.col("o_custkey") % 10)).alias("r"), "o_orderpriority", "o_custkey", F.year("o_orderdate").cast("long").alias("block"))
+    names = [F.concat(F.lit("r"), F.col("o_custkey") % 10), F.col("o_orderpriority"), F.concat(F.lit("c"), "o_custkey")]
+    ids = [F.xxhash64(names[0]), F.xxhash64(names[0], names[1]), F.xxhash64(*names)]
+    own = lambda k: o.select("run", "profiler", "profile_type", ids[k].alias("node_id"), (ids[k - 1] if k else F.lit(0).cast("long")).alias("parent"), F.xxhash64(names[k]).alias("frame_id"), names[k].alias("name"))
+    every = own(0).unionByName(own(1)).unionByName(own(2)).distinct()
+    frames = every.select("run", "profiler", "profile_type", "frame_id", "name").distinct()
+    counts = o.groupBy("run", "profiler", "profile_type", "block", F.lit(1).alias("thread_state"), ids[2].alias("node_id")).agg(F.count("*").alias("count"))
+    return calltree.from_stored(every.drop("name"), frames, counts).withColumn("path", F.concat_ws(";", "path"))
 
 
 @query(f"""WITH {S}, q AS (SELECT *, CASE WHEN contains(node, ';') THEN left(node, length(node) - length(split_part(node, ';', -1)) - 1) ELSE '' END AS parent FROM g)

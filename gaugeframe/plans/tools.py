@@ -235,7 +235,7 @@ def stated(spark, d) -> DataFrame:
 @query(f"""WITH {ST}, q AS (SELECT run, 'p' || (block % 3) AS key, sum(n) AS every, sum(n) FILTER (WHERE regexp_matches(f1, '^A') AND (regexp_matches(f2, '^B') OR regexp_matches(f3, '^B')) OR regexp_matches(f2, '^A') AND regexp_matches(f3, '^B')) AS x, sum(n) FILTER (WHERE regexp_matches(f1, '^E') OR regexp_matches(f2, '^E') OR regexp_matches(f3, '^E')) AS y FROM s WHERE state > 0 GROUP BY ALL)
 SELECT run, key, 'Stacks' AS rule_name, -16.0::DOUBLE AS score, '5.0 % of samples' AS description FROM q WHERE (coalesce(x, 0) + coalesce(y, 0)) * 100.0 / every >= 5""")
 def rule_stack_threshold(spark, d):
-    return rules.StackThreshold("Stacks", (("^A", "^B"), ("^E",)), 5.0, -16).findings(stated(spark, d))
+    return rules.StackThreshold("Stacks", (("A.*", "B.*"), ("E.*",)), 5.0, -16).findings(stated(spark, d))
 
 
 META = """md AS (SELECT 'run' || c_nationkey AS run, c_mktsegment AS profiler, CASE WHEN min(c_custkey) % 3 = 0 THEN NULL ELSE 'v' || (min(c_custkey) % 2) END AS value FROM customer WHERE c_nationkey < 9 AND (c_nationkey > 2 OR c_mktsegment = 'BUILDING') GROUP BY ALL), mk AS (SELECT * FROM md WHERE value IS NOT NULL)"""
