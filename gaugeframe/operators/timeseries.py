@@ -82,11 +82,13 @@ def statistics_of(digest_: DataFrame, by: list[str]) -> DataFrame:
     away = F.col("mean") - F.col("avg")
     spread = F.greatest(F.col("_q") - F.try_divide(F.col("_s") * F.col("_s"), "n"), F.lit(0.0)) + F.col("n") * away * away
     std = F.sqrt(F.try_divide(F.sum(spread), F.max("all")))
-    out = of_cell.groupBy("_g").agg(F.max("avg").alias("avg"), std.alias("std"), F.min("low").alias("min"), F.max("high").alias("max"))
     rank = {p: F.floor(F.col("all") * q) - F.col("before") for p, q in QUANTILES.items()}
-    wanted = of_cell.where(F.col("n") > 0).select("_g", "cell", *[F.when((r >= 0) & (r < F.col("n")), r).alias(f"_{p}") for p, r in rank.items()]).where(" or ".join(f"_{p} is not null" for p in QUANTILES))
-    found = rows.join(wanted, ["_g", "cell"]).groupBy("_g").agg(*[F.min(F.when(F.col("upto") > F.col(f"_{p}"), F.col("value"))).alias(p) for p in QUANTILES])
-    return out.join(found, "_g", "left").select(*[F.col("_g")[c].alias(c) for c in by], *STATS)
+    at = [F.max(F.when((r >= 0) & (r < F.col("n")), F.struct(F.lit(p).alias("of"), "cell", r.alias("rank")))) for p, r in rank.items()]
+    known = of_cell.groupBy("_g").agg(F.max("avg").alias("avg"), std.alias("std"), F.min("low").alias("min"), F.max("high").alias("max"), F.array(*at).alias("at"))
+    wanted = known.withColumn("at", F.explode_outer(F.array_compact("at"))).select("_g", "avg", "std", "min", "max", "at.*")
+    found = wanted.join(rows.select("_g", "cell", "value", "upto"), ["_g", "cell"], "left")
+    value = lambda p: F.min(F.when((F.col("of") == p) & (F.col("upto") > F.col("rank")), F.col("value"))).alias(p)
+    return found.groupBy("_g", "avg", "std", "min", "max").agg(*map(value, QUANTILES)).select(*[F.col("_g")[c].alias(c) for c in by], *STATS)
 
 
 def statistics(values: DataFrame, by: list[str]) -> DataFrame:

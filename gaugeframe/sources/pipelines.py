@@ -31,6 +31,31 @@ def partly_rates(rows: DataFrame, gauge) -> DataFrame:
     return ts.rates(rows.where(~gauge)).unionByName(rows.where(gauge))
 
 
+def derived(points: DataFrame, quotients: dict[str, tuple[str, str]]) -> DataFrame:
+    """``points`` and, for each quotient (above, below), that metric of every series and snapshot with one of the two: 0 where ``below`` is 0 or missing. A series' metrics at a snapshot
+    are one row with a map in between, so points are read once, however many quotients there are. Of points with equal keys the last by value holds."""
+    keys = ["run", "series", "sample_idx"]
+    row = points.groupBy(*keys, "metric").agg(F.max("time_diff").alias("time_diff"), F.max("value").alias("value")).groupBy(*keys).agg(F.min("time_diff").alias("time_diff"), F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    zero = F.lit(0.0)
+    parts = [F.col("m")]
+    for name, (above, below) in quotients.items():
+        a, b = (F.coalesce(F.try_element_at("m", F.lit(x)), zero) for x in (above, below))
+        value = F.when(b > 0, a / F.nullif(b, zero)).otherwise(zero)
+        there = F.map_contains_key("m", F.lit(above)) | F.map_contains_key("m", F.lit(below))
+        parts.append(F.when(there, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,double>")))
+    return row.select(*keys, "time_diff", F.explode(F.map_concat(*parts)).alias("metric", "value"))
+
+
+def aggregated(points: DataFrame, seen: DataFrame) -> DataFrame:
+    """``points`` (one for each series and snapshot) with the average series of every metric that has several series in ``seen`` (run, metric, series), series and averages from one
+    pass by grouping sets."""
+    keys = ["run", "metric", "sample_idx"]
+    sets = points.groupingSets([[*keys, "series"], keys], *keys, "series").agg(F.min("time_diff").alias("time_diff"), F.avg("value").alias("value"), F.grouping("series").alias("_all"))
+    many = seen.groupBy("run", "metric").agg((F.min("series") < F.max("series")).alias("_many"))
+    rows = sets.join(many, ["run", "metric"], "left").where((F.col("_all") == 0) | F.col("_many"))
+    return rows.withColumns({"is_aggregate": F.col("_all") == 1, "series": F.when(F.col("_all") == 1, "average").otherwise(F.col("series"))}).select(*COLUMNS)
+
+
 def cpu_utilization(raw: DataFrame) -> DataFrame:
     rows = timed(text.cpu_shares(text.cpu(raw)))
     return finished(rows.withColumn("is_aggregate", (F.col("metric") == "aggregate") & (F.col("series") == "total")))
@@ -46,7 +71,8 @@ def diskstats(raw: DataFrame) -> DataFrame:
 
 
 def interrupts(raw: DataFrame) -> DataFrame:
-    return finished(ts.with_aggregate(ts.rates(timed(snapshots.interrupts(raw)))))
+    rows = timed(snapshots.interrupts(raw))
+    return aggregated(ts.rates(rows), rows)
 
 
 def meminfo(raw: DataFrame) -> DataFrame:
@@ -58,26 +84,27 @@ def netstat(raw: DataFrame) -> DataFrame:
 
 
 def numastat(raw: DataFrame) -> DataFrame:
-    return finished(ts.without_single_aggregates(ts.with_aggregate(ts.rates(timed(text.components(raw))))))
+    rows = timed(text.components(raw))
+    return aggregated(ts.rates(rows), rows)
 
 
 def ena_stat(raw: DataFrame) -> DataFrame:
-    return finished(ts.without_single_aggregates(ts.with_aggregate(ts.rates(timed(text.queue_split(text.components(raw)))))))
+    rows = timed(text.queue_split(text.components(raw)))
+    return aggregated(ts.rates(rows), rows)
 
 
 def efa_stat(raw: DataFrame) -> DataFrame:
-    rows = ts.rates(timed(text.components(raw)))
-    out = rows
-    for kind in REQUESTS:
-        out = out.unionByName(ts.quotient(rows, f"{kind}_bytes", f"{kind}_wrs", f"avg_bytes_per_{kind}_wr"))
-    return finished(ts.without_single_aggregates(ts.with_aggregate(out)))
+    rows = timed(text.components(raw))
+    quotients = {f"avg_bytes_per_{k}_wr": (f"{k}_bytes", f"{k}_wrs") for k in REQUESTS}
+    names = F.create_map(*[F.lit(x) for name, pair in quotients.items() for m in pair for x in (m, name)])
+    seen = rows.select("run", "series", F.explode(F.array_compact(F.array("metric", F.try_element_at(names, F.col("metric"))))).alias("metric"))
+    return aggregated(derived(ts.rates(rows), quotients), seen)
 
 
 def memalloc(raw: DataFrame) -> DataFrame:
     """payloads of buddies, page types and slabs in columns buddyinfo, pagetypeinfo, slabinfo; gauges."""
-    parts = [f(raw.withColumnRenamed(c, "payload")) for c, f in (("buddyinfo", snapshots.buddies), ("pagetypeinfo", snapshots.page_types), ("slabinfo", snapshots.slabs))]
-    rows = timed(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    return finished(ts.without_single_aggregates(ts.with_aggregate(rows)).withColumn("metric", text.memory_label(F.col("metric"))))
+    rows = timed(snapshots.memory(raw))
+    return aggregated(rows, rows).withColumn("metric", text.memory_label(F.col("metric")))
 
 
 def processes(raw: DataFrame, ticks: int = 100, page_size: int = 4096, own: tuple[str, ...] = (), n: int = 16) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,6 @@ def _at(k: int) -> Column:
     return F.get("p", F.lit(k))
 
 
-def _from(k: int) -> Column:
-    """The parts from place ``k`` on."""
-    return F.slice("p", k + 1, F.greatest(F.size("p") - k, F.lit(0)))
-
-
 def interrupts(raw: DataFrame) -> DataFrame:
     """A line for each interrupt under a line of CPUs; a metric for each, a series for each CPU, one series for MIS and ERR.
 
@@ -60,38 +57,76 @@ def processes(raw: DataFrame, page_size: int = 0) -> DataFrame:
     return rows.select(*KEYS, "series", F.inline(found)).where("value is not null").select(*OUT)
 
 
-def _numbered(rows: DataFrame, first: int, metric: Column, series: Column) -> DataFrame:
-    """Points of the parts from ``first`` on; ``metric`` may name their place, ``k``."""
-    rows = rows.select(*KEYS, "p", series.alias("series"), F.posexplode(_from(first)).alias("k", "x"))
-    return rows.select(*KEYS, metric.alias("metric"), "series", F.col("x").try_cast("double").alias("value")).where("value is not null")
+def _words(payload: str) -> Column:
+    """The parts of each line of a payload."""
+    return F.transform(F.split(payload, "\n"), lambda line: F.split(trimmed(line), r"\s+"))
+
+
+ENTRY = "array<struct<metric:string,series:string,value:double>>"
+
+
+def _entries(some: Column, entries: Column) -> Column:
+    return F.when(some, entries).otherwise(F.array().cast(ENTRY))
+
+
+def _entry(metric: Column, series: Column, value: Column) -> Column:
+    return F.struct(metric.alias("metric"), series.alias("series"), value.try_cast("double").alias("value"))
+
+
+def _numbered(p: Column, first: int, metric: Callable[[Column], Column], series: Column) -> Column:
+    """Entries of the parts from ``first`` on, named by their place."""
+    return F.transform(F.slice(p, first + 1, F.greatest(F.size(p) - first, F.lit(0))), lambda x, k: _entry(metric(k), series, x))
+
 
+def _node_zone(p: Column) -> Column:
+    return F.concat(F.lit("node_"), F.regexp_replace(F.get(p, 1), ",+$", ""), F.lit("_zone_"), F.regexp_replace(F.get(p, 3), ",+$", ""))
 
-def _node_zone() -> Column:
-    return F.concat(F.lit("node_"), F.regexp_replace(_at(1), ",+$", ""), F.lit("_zone_"), F.regexp_replace(_at(3), ",+$", ""))
+
+def _buddies(p: Column) -> Column:
+    return _entries(F.size(p) >= 5, _numbered(p, 4, lambda k: F.concat(F.lit("buddyinfo_order_"), k), _node_zone(p)))
+
+
+def _page_types(p: Column) -> Column:
+    node = F.get(p, 0) == "Node"
+    free = _entries(node & (F.size(p) >= 6) & (F.get(p, 4) == "type"), _numbered(p, 6, lambda k: F.concat(F.lit("pagetype_order_"), k, F.lit("_type_"), F.get(p, 5)), _node_zone(p)))
+    names, zone = F.array(*map(F.lit, MIGRATE_TYPES)), F.concat(F.lit("zone_"), F.regexp_replace(F.get(p, 3), ",+$", ""))
+    blocks = _numbered(F.slice(p, 1, 4 + len(MIGRATE_TYPES)), 4, lambda k: F.concat(F.lit("pageblocks_type_"), F.get(names, k)), zone)
+    return F.concat(free, _entries(node & (F.size(p) >= 8) & (F.get(p, 2) == "zone"), blocks))
+
+
+def _slabs(p: Column) -> Column:
+    return _entries(F.size(p) >= 16, F.array(*[_entry(F.lit(f"slabinfo_{m}"), F.get(p, 0), F.get(p, k)) for m, k in SLAB_FIELDS.items()]))
+
+
+def _below_head(payload: str) -> Column:
+    """The parts of the lines below the first one that begins with ``# name``; none without one."""
+    head = F.array_position(F.transform(F.split(payload, "\n"), lambda x: x.startswith("# name")), True)
+    return F.when(head > 0, F.slice(_words(payload), F.greatest(head, F.lit(1)).cast("int") + 1, F.size(F.split(payload, "\n"))))
+
+
+def _found(raw: DataFrame, *entries: Column) -> DataFrame:
+    every = F.concat(*[F.coalesce(F.flatten(e), F.array().cast(ENTRY)) for e in entries])
+    return raw.select(*KEYS, F.inline(F.filter(every, lambda x: x["value"].isNotNull()))).select(*OUT)
 
 
 def buddies(raw: DataFrame) -> DataFrame:
     """Lines ``Node n, zone z c0 c1 …``: free blocks of each order."""
-    return _numbered(_split(raw).where(F.size("p") >= 5), 4, F.concat(F.lit("buddyinfo_order_"), "k"), _node_zone())
+    return _found(raw, F.transform(_words("payload"), _buddies))
 
 
 def page_types(raw: DataFrame) -> DataFrame:
     """Free pages of each order and migrate type, and page blocks of each migrate type."""
-    rows = _split(raw).where(_at(0) == "Node")
-    free = _numbered(rows.where((F.size("p") >= 6) & (_at(4) == "type")), 6, F.concat(F.lit("pagetype_order_"), F.col("k"), F.lit("_type_"), _at(5)), _node_zone())
-    names = F.array(*map(F.lit, MIGRATE_TYPES))
-    blocks = rows.where((F.size("p") >= 8) & (_at(2) == "zone")).withColumn("p", F.slice("p", 1, 4 + len(MIGRATE_TYPES)))
-    zone = F.concat(F.lit("zone_"), F.regexp_replace(_at(3), ",+$", ""))
-    return free.unionByName(_numbered(blocks, 4, F.concat(F.lit("pageblocks_type_"), F.get(names, F.col("k"))), zone))
+    return _found(raw, F.transform(_words("payload"), _page_types))
 
 
 def slabs(raw: DataFrame) -> DataFrame:
     """Lines of 16 parts or more below the line ``# name``; a series for each slab."""
-    head = F.array_position(F.transform(F.split("payload", "\n"), lambda x: x.startswith("# name")), True) - 1
-    heads = raw.select("run", "sample_idx", head.alias("head")).where("head >= 0")
-    rows = _split(raw).join(heads, ["run", "sample_idx"]).where((F.col("line_no") > F.col("head")) & (F.size("p") >= 16))
-    fields = F.array(*[F.struct(F.lit(f"slabinfo_{m}").alias("metric"), _at(k).try_cast("double").alias("value")) for m, k in SLAB_FIELDS.items()])
-    return rows.select(*KEYS, _at(0).alias("series"), F.inline(fields)).where("value is not null").select(*OUT)
+    return _found(raw, F.transform(_below_head("payload"), _slabs))
+
+
+def memory(raw: DataFrame) -> DataFrame:
+    """All three in one pass: payloads buddyinfo, pagetypeinfo and slabinfo side by side; a null one has no points."""
+    return _found(raw, F.transform(_words("buddyinfo"), _buddies), F.transform(_words("pagetypeinfo"), _page_types), F.transform(_below_head("slabinfo"), _slabs))
 
 
 def counters(raw: DataFrame) -> DataFrame:
