@@ -3,19 +3,48 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
-    """``left`` with ``name``: the latest ``value`` of ``right`` at or before ``order``, within ``by``. One sort of the union of both."""
+#: Rows of one key that are sorted in one task, and the most parts that a key with more of them is cut into.
+KEY_ROWS, MOST_PARTS = 1 << 20, 256
+#: Of all rows, the part from which on a key may be cut; so at most that many keys are.
+HOT_PART = 10_000
+
+
+def in_parts(rows: DataFrame, by: list[str], order: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``rows`` with ``_part``: 0, but for keys with more than ``key_rows`` rows (and over a HOT_PART of all), whose rows are cut by quantiles of ``order``. Equal values are in one part, lower values
+    in lower parts. The table of bounds is broadcast: HOT_PART keys at most, and as many bounds as their rows fill parts, so 2 x HOT_PART."""
+    least = max(key_rows, rows.count() // HOT_PART)
+    hot = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > least)
+    if hot.isEmpty():
+        return rows.withColumn("_part", F.lit(0))
+    few = F.broadcast(hot.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n"))
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    most = min(MOST_PARTS, max(r["_n"] for r in hot.agg(F.max("_n").alias("_n")).collect()) // least + 1)
+    bounds = rows.join(few, same).groupBy(*[f"_by_{c}" for c in by]).agg(F.percentile_approx(order, [k / most for k in range(1, most)] or [1.0], 10 * MOST_PARTS).alias("_bounds"))
+    return rows.join(F.broadcast(bounds), same, "left").withColumn("_part", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))).drop("_bounds", *[f"_by_{c}" for c in by])
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], order: str, value: str, name: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``left`` with ``name``: the latest ``value`` (not null) of ``right`` at or before ``order``, within ``by``. One sort of the union of both; a key with more rows than a
+    task should sort is cut into parts by ``order``, and each part takes over the last value of those before it."""
     one = left.withColumns({"_side": F.lit(1), name: F.lit(None).cast(right.schema[value].dataType)})
     two = right.select(*by, order, F.col(value).alias(name), F.lit(0).alias("_side"))
-    both = one.unionByName(two, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    both = in_parts(one.unionByName(two, allowMissingColumns=True), by, order, key_rows)
+    w = Window.partitionBy(*by, "_part").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_side = 1")
+    ends = both.where(F.col(name).isNotNull()).groupBy(*by, "_part").agg(F.max_by(name, order).alias("_end"))
+    later = both.where("_part > 0").select(*by, "_part").distinct().join(ends.withColumnRenamed("_part", "_at"), by, "inner").where("_at < _part") if by else None
+    if later is None:
+        return rows.drop("_side", "_part")
+    carry = later.groupBy(*by, "_part").agg(F.max_by("_end", "_at").alias("_end")).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_to"), "_end")
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(F.col(f"_by_{c}")) for c in by]) & (F.col("_part") == F.col("_to"))
+    return rows.join(F.broadcast(carry), same, "left").withColumn(name, F.coalesce(name, "_end")).select(*left.columns, name)
 
 
 def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, length: str, width: int | None = None) -> DataFrame:
@@ -44,21 +73,27 @@ MOST_CELLS = 16
 
 
 def enclosing(frames: DataFrame, level: int = 15) -> DataFrame:
-    """Frames (run, depth, x, w, name) with ``parent``: the name of the first frame one level up (down, for those at the top) whose width holds theirs, or '-'."""
+    """Frames (run, depth, x, w, name) with ``parent``: the name of the first frame (by x, then name) one level up (down, for those at the top) whose width holds theirs, or '-'.
+
+    Of a level only frames matter that end behind all that begin before them; among these, the first one that ends late enough also begins first. So each
+    frame looks up one frame by where it ends, and no pairs are made."""
+    at = ["run", "depth"]
+    ends = frames.select(*at, "x", (F.col("x") + F.col("w")).alias("_end"), "name").groupBy(*at, "x", "_end").agg(F.min("name").alias("name"))
+    ends = ends.withColumn("name", F.min("name").over(Window.partitionBy(*at, "x").orderBy(F.desc("_end")).rowsBetween(Window.unboundedPreceding, 0)))
+    tops = ends.groupBy(*at, "x").agg(F.max("_end").alias("_top"))
+    tops = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(*at).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)))
+    records = ends.join(tops, [*at, "x"]).where("_before is null or _end > _before").select("run", F.col("depth").alias("_up"), (-F.col("_end")).alias("_back"), F.struct("x", "name").alias("_frame"))
     up = F.when(F.col("depth") >= level, F.col("depth") - level).otherwise(F.col("depth") + level)
-    rows = frames.withColumn("_up", up)
-    above = frames.select(F.col("run").alias("_run"), F.col("depth").alias("_d"), F.col("x").alias("_x"), F.col("w").alias("_w"), F.col("name").alias("_name"))
-    hit = rows.join(above, (F.col("run") == F.col("_run")) & (F.col("_up") == F.col("_d")) & (F.col("_x") <= F.col("x")) & (F.col("_x") + F.col("_w") >= F.col("x") + F.col("w")), "left")
-    found = hit.groupBy(*frames.columns).agg(F.min_by("_name", F.struct("_x", "_name")).alias("parent"))
-    return found.withColumn("parent", F.coalesce("parent", F.lit("-")))
+    rows = frames.withColumns({"_up": up, "_back": -(F.col("x") + F.col("w"))})
+    found = as_of(rows, records, ["run", "_up"], "_back", "_frame", "_found")
+    return found.withColumn("parent", F.when(F.col("_found.x") <= F.col("x"), F.col("_found.name")).otherwise("-")).select(*frames.columns, "parent")
 
 
 def symbolized(addresses: DataFrame, symbols: DataFrame, by: list[str]) -> DataFrame:
     """``addresses`` (address) with the symbol that starts last at or before each, if it reaches so far; a symbol of size 0 reaches to the next one."""
-    until = F.lead("start").over(Window.partitionBy(*by).orderBy("start"))
-    ends = symbols.withColumn("end", F.when(F.col("size") > 0, F.col("start") + F.col("size")).otherwise(F.coalesce(until, F.lit(1 << 62))))
-    found = as_of(addresses, ends.select(*by, F.col("start").alias("address"), F.struct("name", "end").alias("symbol")), by, "address", "symbol", "_s")
-    return found.withColumn("symbol", F.when(F.col("address") < F.col("_s.end"), F.col("_s.name"))).drop("_s")
+    end = F.when(F.col("size") > 0, F.col("start") + F.col("size"))
+    found = as_of(addresses, symbols.select(*by, F.col("start").alias("address"), F.struct("name", end.alias("end")).alias("symbol")), by, "address", "symbol", "_s")
+    return found.withColumn("symbol", F.when(F.col("_s.end").isNull() | (F.col("address") < F.col("_s.end")), F.col("_s.name"))).drop("_s")
 
 
 def key_values_side_by_side(kv: DataFrame, runs: list[str]) -> DataFrame:
