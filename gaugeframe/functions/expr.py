@@ -42,8 +42,13 @@ def finding_score(value: Column, threshold: Column, base: Column) -> Column:
     return F.when(threshold == 0, F.when(value < 1, base).otherwise((value - 1) * base)).when(value == 0, base * 2).otherwise(far * base)
 
 
+def short(x: Column) -> Column:
+    """A number cut to two decimals, without zeros at its end."""
+    return F.regexp_replace(F.format_string("%.2f", trunc2(x)), r"\.?0+$", "")
+
+
 def percent_text(x: Column) -> Column:
-    size = F.concat(F.format_string("%.2f", trunc2(F.abs(x) * 100)), F.lit("%"))
+    size = F.concat(short(F.abs(x) * 100), F.lit("%"))
     return F.when(x > 0, F.concat(size, F.lit(" greater than"))).when(x < 0, F.concat(size, F.lit(" less than"))).otherwise("equal to")
 
 
@@ -51,8 +56,8 @@ def number_text(x: Column) -> Column:
     """A number with a unit of thousands; negative numbers are never scaled."""
     out = F.when(F.isnan(x), "NaN")
     for size, unit in ((1e12, "T"), (1e9, "G"), (1e6, "M"), (1e3, "K")):
-        out = out.when(x >= size, F.concat(F.format_string("%.2f", trunc2(x / size)), F.lit(unit)))
-    return out.otherwise(F.format_string("%.2f", trunc2(x)))
+        out = out.when(x >= size, F.concat(short(x / size), F.lit(unit)))
+    return out.otherwise(short(x))
 
 
 def nearest_rank(values: Column, q: float) -> Column:

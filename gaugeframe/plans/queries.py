@@ -156,22 +156,38 @@ def ts_delta_runs(spark, d):
     return rounded(ts.delta_runs(points(spark, d).withColumn("value", F.floor(F.col("value") / 20).cast("double"))).withColumn("run_no", F.col("run_no").cast("long")))
 
 
+def cut(x: str) -> str:
+    """SQL of a number cut to two decimals, without zeros at its end."""
+    return rf"regexp_replace(printf('%.2f', trunc(({x}) * 100) / 100), '\.?0+$', '')"
+
+
+def number(x: str) -> str:
+    """SQL of a number with a unit of thousands."""
+    units = " ".join(f"WHEN ({x}) >= {size} THEN {cut(f'({x}) / {size}')} || '{u}'" for size, u in (("1e12", "T"), ("1e9", "G"), ("1e6", "M"), ("1e3", "K")))
+    return f"CASE WHEN isnan(({x})::DOUBLE) THEN 'NaN' {units} ELSE {cut(x)} END"
+
+
+def change(x: str) -> str:
+    """SQL of a relative change in percent."""
+    return f"CASE WHEN ({x}) = 0 THEN 'equal to' ELSE {cut(f'abs({x}) * 100')} || CASE WHEN ({x}) > 0 THEN '% greater than' ELSE '% less than' END END"
+
+
 SCORE = "CASE WHEN {t} = 0 THEN (CASE WHEN {v} < 1 THEN {s} ELSE ({v} - 1) * {s} END) WHEN {v} = 0 THEN 2 * {s} WHEN {v} / {t} < 1 THEN {s} / ({v} / {t}) ELSE ({v} / {t}) * {s} END"
 
 
-@query(f"""WITH {P} SELECT run, metric AS key, 'High rate' AS rule_name, round({SCORE.format(v="p99", t="0.001", s="-2")}, 6) AS score, 'p99 > 0.001' AS description FROM st WHERE metric = 'click' AND p99 > 0.001""")
+@query(f"""WITH {P} SELECT run, metric AS key, 'High rate' AS rule_name, round({SCORE.format(v="p99", t="0.001", s="-2")}, 6) AS score, 'The p99 in ' || run || ' is ' || {number("p99")} || '.' AS description, 'Look at it.' AS message FROM st WHERE metric = 'click' AND p99 > 0.001""")
 def rule_stat_threshold(spark, d):
-    return rounded(rules.StatThreshold("High rate", "click", "p99", ">", 0.001, -2).findings(stats(spark, d)))
+    return rounded(rules.StatThreshold("High rate", "click", "p99", ">", 0.001, -2, message="Look at it.").findings(stats(spark, d)))
 
 
-@query(f"""WITH {P}, c AS (SELECT o.run, o.metric, abs(CASE WHEN o.avg = b.avg THEN 0 WHEN b.avg = 0 THEN 1 ELSE (o.avg - b.avg) / b.avg END) AS c FROM st o JOIN st b USING (metric) WHERE o.run <> 'run0' AND b.run = 'run0' AND metric = 'click')
-SELECT run, metric AS key, 'Changed' AS rule_name, round({SCORE.format(v="c", t="0.01", s="-16")}, 6) AS score, 'avg change >= 0.01' AS description FROM c WHERE c >= 0.01""")
+@query(f"""WITH {P}, a AS (SELECT o.run, o.metric, o.avg AS v, b.avg AS b, CASE WHEN o.avg = b.avg THEN 0 WHEN b.avg = 0 THEN 1 ELSE (o.avg - b.avg) / b.avg END AS d FROM st o JOIN st b USING (metric) WHERE o.run <> 'run0' AND b.run = 'run0' AND metric = 'click'), c AS (SELECT *, abs(d) AS c FROM a)
+SELECT run, metric AS key, 'Changed' AS rule_name, round({SCORE.format(v="c", t="0.01", s="-16")}, 6) AS score, 'The average in ' || run || ' (' || {number("v")} || ') is ' || {change("d")} || ' run0 (' || {number("b")} || ').' AS description, '' AS message FROM c WHERE c >= 0.01""")
 def rule_run_comparison(spark, d):
     return rounded(rules.RunComparison("Changed", "click", "avg", ">=", 0.01, -16, absolute=True).findings(stats(spark, d), "run0"))
 
 
 @query(f"""WITH {P}, h1 AS (SELECT *, {SCORE.format(v="value", t="50", s="-1")} AS score FROM p WHERE regexp_matches(metric, 'c') AND value > 50)
-SELECT run, metric AS key, 'Large values' AS rule_name, round(arg_max(score, (abs(score), series, time_diff)), 6) AS score, 'value > 50' AS description FROM h1 GROUP BY run, metric""")
+SELECT run, metric AS key, 'Large values' AS rule_name, round(arg_max(score, (abs(score), series, time_diff)), 6) AS score, 'At least one data point in ' || run || ' is ' || {number("arg_max(value, (abs(score), series, time_diff))")} || ' (greater than the threshold of 50).' AS description, '' AS message FROM h1 GROUP BY run, metric""")
 def rule_point_threshold(spark, d):
     return rounded(rules.PointThreshold("Large values", "c", ">", 50, -1).findings(points(spark, d)))
 
@@ -199,15 +215,14 @@ def profile_frames(spark, d):
     return profile.frames(samples(spark, d))
 
 
-@query(f"WITH {S} SELECT run, f1 || ';' || f2 || ';' || f3 AS stack, sum(n)::BIGINT AS count FROM s WHERE block >= 10 AND block < 500 GROUP BY ALL")
+@query(f"WITH {S} SELECT run, f1 || ';' || f2 || ';' || f3 AS stack, sum(n)::BIGINT AS count FROM s GROUP BY ALL")
 def profile_collapsed(spark, d):
-    return profile.collapsed(profile.in_range(samples(spark, d), 10, 500))
+    return profile.collapsed(profile.in_range(samples(spark, d), 0, 1 << 60))
 
 
-@query(f"WITH {S} SELECT run, coalesce(sum(n) FILTER (WHERE regexp_matches(f1, '^A') AND regexp_matches(f3, '^B')), 0)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE regexp_matches(f1, '^A') AND regexp_matches(f3, '^B')), 0)::BIGINT AS self FROM s WHERE NOT regexp_matches(f2, '^B') GROUP BY run")
+@query(f"WITH {S} SELECT run, count(*) FILTER (WHERE regexp_matches(f1, '^A') AND regexp_matches(f2, 'I') AND regexp_matches(f3, '^B'))::BIGINT AS total, count(*) FILTER (WHERE regexp_matches(f1, '^A') AND regexp_matches(f2, 'I') AND regexp_matches(f3, '^B'))::BIGINT AS self FROM s GROUP BY run")
 def profile_pattern(spark, d):
-    rows = samples(spark, d).where(~F.element_at("path", 2).rlike("^B"))
-    return profile.matches(rows, ["A.*", "B.*"])
+    return profile.matches(samples(spark, d), ["A.*", ".*I.*", "B.*"])
 
 
 @query(f"WITH {S} SELECT run, f1 || ';' || f2 || ';' || f3 AS stack, sum(n)::BIGINT AS count FROM s GROUP BY ALL")

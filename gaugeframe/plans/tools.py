@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeframe.functions import expr
 from gaugeframe.operators import answers, hotspots, joins, keyvalues, profile, rules
 from gaugeframe.operators import timeseries as ts
-from gaugeframe.plans.queries import EXCURSIONS, SCORE, P, S, points, query, rounded, samples, stats, table
+from gaugeframe.plans.queries import EXCURSIONS, SCORE, P, S, change, number, points, query, rounded, samples, stats, table
 from gaugeframe.sinks import report
 from gaugeframe.sources import binary, jvm, kernel_config, runs, snapshots, text
 
@@ -86,14 +86,14 @@ def ts_common_ranges(spark, d):
     return ts.common_ranges(ts.value_range(points(spark, d), ["run", "metric"]), ["metric"])
 
 
-@query(f"""WITH {Y}, own AS (SELECT run, metric, 'disk' AS series, sample_idx, time_diff, value FROM y WHERE series = '1-URGENT'), proc AS (SELECT run, metric, left(series, 1) || '_' || substr(series, 3) AS series, sample_idx, time_diff, value FROM y WHERE series IN ('2-HIGH', '3-MEDIUM')),
+@query(f"""WITH {Y}, own AS (SELECT run, metric, 'disk' AS series, sample_idx, time_diff, value FROM y WHERE series = '1-URGENT'), proc AS (SELECT run, metric, left(series, 1) || '_' || substr(series, 3) AS series, sample_idx, time_diff, value FROM y WHERE series <> '1-URGENT'),
 u AS (SELECT * FROM own UNION ALL SELECT * FROM proc WHERE (run, split_part(series, '_', 1)) IN (('run0', '2'), ('run1', '2'), ('run1', '3')))
 SELECT run, metric, series, sample_idx, time_diff, round(value, 6) AS value FROM u UNION ALL SELECT run, metric, 'total', min(sample_idx), time_diff, round(sum(value), 6) FROM u GROUP BY run, metric, time_diff""")
 def ts_with_processes(spark, d):
     y = daily(spark, d)
     own = y.where("series = '1-URGENT'").withColumn("series", F.lit("disk"))
     own = own.unionByName(own.withColumn("series", F.lit("total")))
-    proc = y.where("series in ('2-HIGH', '3-MEDIUM')").withColumn("series", F.replace("series", F.lit("-"), F.lit("_")))
+    proc = y.where("series <> '1-URGENT'").withColumn("series", F.replace("series", F.lit("-"), F.lit("_")))
     pids = spark.sql("SELECT * FROM VALUES ('run0', 2L), ('run1', 2L), ('run1', 3L) AS t(run, pid)")
     return rounded(ts.with_processes(own, proc, pids))
 
@@ -194,8 +194,8 @@ def deltas_scored(spark, d):
     return rounded(ts.by_delta(ts.scored_deltas(stats(spark, d), "run0", wished)))
 
 
-@query(f"""WITH {P}, c AS (SELECT a.run, CASE WHEN a.avg = b.avg THEN 0 WHEN b.avg = 0 THEN 1 ELSE (a.avg - b.avg) / b.avg END AS c FROM st a JOIN st b ON a.run = b.run AND a.metric = 'click' AND b.metric = 'purchase')
-SELECT run, 'click' AS key, 'Clicks' AS rule_name, round({SCORE.format(v="c", t="-0.9", s="-2")}, 6) AS score, 'avg against purchase >= -0.9' AS description FROM c WHERE c >= -0.9""")
+@query(f"""WITH {P}, c AS (SELECT a.run, a.avg AS v, b.avg AS b, CASE WHEN a.avg = b.avg THEN 0 WHEN b.avg = 0 THEN 1 ELSE (a.avg - b.avg) / b.avg END AS c FROM st a JOIN st b ON a.run = b.run AND a.metric = 'click' AND b.metric = 'purchase')
+SELECT run, 'click' AS key, 'Clicks' AS rule_name, round({SCORE.format(v="c", t="-0.9", s="-2")}, 6) AS score, 'The average in click (' || {number("v")} || ') is ' || {change("c")} || ' purchase (' || {number("b")} || ').' AS description, '' AS message FROM c WHERE c >= -0.9""")
 def rule_metric_comparison(spark, d):
     return rounded(rules.MetricComparison("Clicks", "purchase", "click", "avg", ">=", -0.9, -2).findings(stats(spark, d)))
 
@@ -211,13 +211,15 @@ def nation_kv(spark, d) -> tuple[DataFrame, DataFrame]:
     return n.select(F.col("n_name").alias("run")), kv
 
 
-@query(f"WITH {KV} SELECT run, 'status' AS key, 'Rich' AS rule_name, -2.0::DOUBLE AS score, 'expected rich' AS description FROM runs LEFT JOIN own USING (run) WHERE value IS DISTINCT FROM 'rich'")
+@query(f"WITH {KV} SELECT run, 'status' AS key, 'Rich' AS rule_name, -2.0::DOUBLE AS score, CASE WHEN value IS NULL THEN 'The key status in ' || run || ' is missing, instead of being set to rich' ELSE 'The value of status in ' || run || ' is \"' || value || '\", instead of \"rich\".' END AS description, '' AS message FROM runs LEFT JOIN own USING (run) WHERE value IS DISTINCT FROM 'rich'")
 def rule_key_expected(spark, d):
     run, kv = nation_kv(spark, d)
     return rules.KeyExpected("Rich", "status", "rich", -2).findings(run, kv.where("grp = 'BUILDING'"))
 
 
-@query(f"WITH {KV}, base AS (SELECT value AS b FROM own WHERE run = (SELECT n_name FROM nation WHERE n_nationkey = 1)) SELECT run, 'status' AS key, 'Same' AS rule_name, -256.0::DOUBLE AS score, 'differs from the base run' AS description FROM runs LEFT JOIN own USING (run), base WHERE run <> (SELECT n_name FROM nation WHERE n_nationkey = 1) AND value IS DISTINCT FROM b")
+@query(f"""WITH {KV}, base AS (SELECT run AS base, value AS b FROM own WHERE run = (SELECT n_name FROM nation WHERE n_nationkey = 1)) SELECT run, 'status' AS key, 'Same' AS rule_name, -256.0::DOUBLE AS score,
+CASE WHEN value IS NULL THEN 'The key status does not exist in ' || run || ', while its value in ' || base || ' is "' || b || '".' ELSE 'The value of status in ' || run || ' ("' || value || '") is different from ' || base || ' ("' || b || '").' END AS description, '' AS message
+FROM runs LEFT JOIN own USING (run), base WHERE run <> (SELECT n_name FROM nation WHERE n_nationkey = 1) AND value IS DISTINCT FROM b""")
 def rule_key_comparison(spark, d):
     run, kv = nation_kv(spark, d)
     base = table(spark, d, "nation").where("n_nationkey = 1").first()["n_name"]
@@ -233,41 +235,41 @@ def stated(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {ST}, q AS (SELECT run, 'p' || (block % 3) AS key, sum(n) AS every, sum(n) FILTER (WHERE regexp_matches(f1, '^A') AND (regexp_matches(f2, '^B') OR regexp_matches(f3, '^B')) OR regexp_matches(f2, '^A') AND regexp_matches(f3, '^B')) AS x, sum(n) FILTER (WHERE regexp_matches(f1, '^E') OR regexp_matches(f2, '^E') OR regexp_matches(f3, '^E')) AS y FROM s WHERE state > 0 GROUP BY ALL)
-SELECT run, key, 'Stacks' AS rule_name, -16.0::DOUBLE AS score, '5.0 % of samples' AS description FROM q WHERE (coalesce(x, 0) + coalesce(y, 0)) * 100.0 / every >= 5""")
+SELECT run, key, 'Stacks' AS rule_name, -16.0::DOUBLE AS score, 'Stack pattern [A.*, B.*], [E.*] accounts for ' || printf('%.2f', (coalesce(x, 0) + coalesce(y, 0)) * 100.0 / every) || '% of samples in all profiles (threshold: 5.00%)' AS description, '' AS message FROM q WHERE (coalesce(x, 0) + coalesce(y, 0)) * 100.0 / every >= 5""")
 def rule_stack_threshold(spark, d):
     return rules.StackThreshold("Stacks", (("A.*", "B.*"), ("E.*",)), 5.0, -16).findings(stated(spark, d))
 
 
-META = """md AS (SELECT 'run' || c_nationkey AS run, c_mktsegment AS profiler, CASE WHEN min(c_custkey) % 3 = 0 THEN NULL ELSE 'v' || (min(c_custkey) % 2) END AS value FROM customer WHERE c_nationkey < 9 AND (c_nationkey > 2 OR c_mktsegment = 'BUILDING') GROUP BY ALL), mk AS (SELECT * FROM md WHERE value IS NOT NULL)"""
+META = """md AS (SELECT 'run' || c_nationkey AS run, CASE WHEN c_nationkey > 2 THEN c_mktsegment ELSE 'BUILDING' END AS profiler, CASE WHEN min(c_custkey) % 3 = 0 THEN NULL ELSE 'v' || (min(c_custkey) % 2) END AS value FROM customer GROUP BY ALL), mk AS (SELECT * FROM md WHERE value IS NOT NULL)"""
 
 
 def profiler_metadata(spark, d) -> DataFrame:
-    rows = table(spark, d, "customer").where("c_nationkey < 9 and (c_nationkey > 2 or c_mktsegment = 'BUILDING')")
+    rows = table(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_nationkey") > 2, F.col("c_mktsegment")).otherwise("BUILDING"))
     low = F.min("c_custkey")
     return rows.groupBy(F.concat(F.lit("run"), "c_nationkey").alias("run"), F.col("c_mktsegment").alias("profiler")).agg(F.when(low % 3 == 0, None).otherwise(F.concat(F.lit("v"), low % 2)).alias("value")).withColumn("key", F.lit("version"))
 
 
-@query(f"WITH {META} SELECT run, profiler AS key, 'Version' AS rule_name, -2.0::DOUBLE AS score, 'expected 1$' AS description FROM md WHERE value IS NULL OR NOT regexp_matches(value, '1$')")
+@query(f"WITH {META} SELECT run, profiler AS key, 'Version' AS rule_name, -2.0::DOUBLE AS score, CASE WHEN value IS NULL THEN 'Event type ''g'' field ''version'' not found in profile data' ELSE 'Event type ''g'' field ''version'' in ' || profiler || ' should match pattern ''1$'', found: \"' || value || '\"' END AS description, '' AS message FROM md WHERE value IS NULL OR NOT regexp_matches(value, '1$')")
 def rule_metadata_expected(spark, d):
     m = profiler_metadata(spark, d)
-    return rules.MetadataExpected("Version", "version", "1$", -2).findings(m.select("run", "profiler"), m.where("value is not null"))
+    return rules.MetadataExpected("Version", "version", "1$", -2, group="g").findings(m.select("run", "profiler"), m.where("value is not null"))
 
 
 @query(f"""WITH {META}, runs AS (SELECT DISTINCT run FROM md), n AS (SELECT run, count(*) AS n, min(value) AS v, min(profiler) AS only FROM mk GROUP BY run), b AS (SELECT * FROM mk WHERE run = 'run4'), bn AS (SELECT * FROM n WHERE run = 'run4'),
-one AS (SELECT n.run, n.only AS key FROM n, bn WHERE n.run <> 'run4' AND n.n = 1 AND bn.n = 1 AND n.v <> bn.v), many AS (SELECT r.run, b.profiler AS key FROM runs r LEFT JOIN n USING (run) CROSS JOIN bn JOIN b ON true LEFT JOIN mk m ON m.run = r.run AND m.profiler = b.profiler WHERE r.run <> 'run4' AND NOT (coalesce(n.n, 0) = 1 AND bn.n = 1) AND (m.value IS NULL OR m.value <> b.value)),
-lacks AS (SELECT 'run4' AS run, 'Versions' AS key WHERE NOT EXISTS (SELECT 1 FROM b)) SELECT run, key, 'Versions' AS rule_name, -256.0::DOUBLE AS score, 'differs from the base run' AS description FROM (SELECT * FROM one UNION ALL SELECT * FROM many UNION ALL SELECT * FROM lacks)""")
+one AS (SELECT n.run, n.only AS key, 'Event type '''' field ''version'' in ' || n.run || ' for ''' || n.only || ''' ("' || n.v || '") differs from run4 for ''' || bn.only || ''' ("' || bn.v || '")' AS said FROM n, bn WHERE n.run <> 'run4' AND n.n = 1 AND bn.n = 1 AND n.v <> bn.v), many AS (SELECT r.run, b.profiler AS key, CASE WHEN m.value IS NULL THEN 'Event type '''' field ''version'' not found in ' || r.run || ' for ''' || b.profiler || ''', while its value in run4 is "' || b.value || '"' ELSE 'Event type '''' field ''version'' in ' || r.run || ' for ''' || b.profiler || ''' ("' || m.value || '") differs from run4 ("' || b.value || '")' END AS said FROM runs r LEFT JOIN n USING (run) CROSS JOIN bn JOIN b ON true LEFT JOIN mk m ON m.run = r.run AND m.profiler = b.profiler WHERE r.run <> 'run4' AND NOT (coalesce(n.n, 0) = 1 AND bn.n = 1) AND (m.value IS NULL OR m.value <> b.value)),
+lacks AS (SELECT 'run4' AS run, 'Versions' AS key, 'Event type '''' field ''version'' not found in run run4.' AS said WHERE NOT EXISTS (SELECT 1 FROM b)) SELECT run, key, 'Versions' AS rule_name, -256.0::DOUBLE AS score, said AS description, '' AS message FROM (SELECT * FROM one UNION ALL SELECT * FROM many UNION ALL SELECT * FROM lacks)""")
 def rule_metadata_comparison(spark, d):
     m = profiler_metadata(spark, d)
     return rules.MetadataComparison("Versions", "version", -256).findings(m.select("run").distinct(), m, "run4")
 
 
-@query(f"""WITH {P}, x AS (SELECT run, metric AS key, 'High' AS rule_name, {SCORE.format(v="p99", t="0.0001", s="-2")} AS score, 'p99 > 0.0001' AS description FROM st WHERE metric = 'click' AND p99 > 0.0001),
-w AS (SELECT run, metric AS key, 'Large' AS rule_name, arg_max({SCORE.format(v="value", t="50", s="1")}, (abs({SCORE.format(v="value", t="50", s="1")}), series, time_diff)) AS score, 'value > 50' AS description FROM p WHERE regexp_matches(metric, 'c') AND value > 50 GROUP BY run, metric)
-SELECT 'events' AS data_name, run, key, rule_name, round(score, 6) AS score, description FROM (SELECT * FROM x UNION ALL SELECT * FROM w) WHERE score < 0 AND contains(lower(rule_name), 'hig') ORDER BY score""")
+@query(f"""WITH {P}, x AS (SELECT run, metric AS key, 'High' AS rule_name, {SCORE.format(v="p99", t="0.0001", s="-2")} AS score, 'The p99 in ' || run || ' is ' || {number("p99")} || '.' AS description, 'Too high.' AS message FROM st WHERE metric = 'click' AND p99 > 0.0001),
+w AS (SELECT run, metric AS key, 'Large' AS rule_name, arg_max({SCORE.format(v="value", t="50", s="1")}, (abs({SCORE.format(v="value", t="50", s="1")}), series, time_diff)) AS score, '' AS description, '' AS message FROM p WHERE regexp_matches(metric, 'c') AND value > 50 GROUP BY run, metric)
+SELECT 'events' AS data_name, run, key, rule_name, round(score, 6) AS score, description, message FROM (SELECT * FROM x UNION ALL SELECT * FROM w) WHERE score < 0 AND contains(lower(rule_name), 'hig') ORDER BY score""")
 def findings_chosen(spark, d):
     facts = rules.Facts(points(spark, d).select("run").distinct(), "run0", stats=stats(spark, d), points=points(spark, d))
-    found = rules.run_rules([rules.StatThreshold("High", "click", "p99", ">", 0.0001, -2), rules.PointThreshold("Large", "c", ">", 50, 1), rules.KeyExpected("No facts", "k", "v", 1)], facts)
-    return rounded(rules.worst_first(rules.chosen(found.withColumn("data_name", F.lit("events")), ("events",), "poor", "HIG")).select("data_name", "run", "key", "rule_name", "score", "description"))
+    found = rules.run_rules([rules.StatThreshold("High", "click", "p99", ">", 0.0001, -2, message="Too high."), rules.PointThreshold("Large", "c", ">", 50, 1), rules.KeyExpected("No facts", "k", "v", 1)], facts)
+    return rounded(rules.worst_first(rules.chosen(found.withColumn("data_name", F.lit("events")), ("events",), "poor", "HIG")).select("data_name", "run", "key", "rule_name", "score", "description", "message"))
 
 
 @query(f"WITH {ST} SELECT run, coalesce(sum(n) FILTER (WHERE state > 0), 0)::BIGINT AS samples FROM s GROUP BY run")
@@ -275,9 +277,9 @@ def profile_total_samples(spark, d):
     return profile.total_samples(stated(spark, d))
 
 
-@query(f"WITH {S}, c AS (SELECT run, block // 20 AS cell, sum(n)::BIGINT AS samples FROM s WHERE block >= 40 GROUP BY ALL) SELECT run, cell, samples, round(samples / max(samples) OVER (PARTITION BY run), 6) AS heat FROM c")
+@query(f"WITH {S}, c AS (SELECT run, block // 20 AS cell, sum(n)::BIGINT AS samples FROM s GROUP BY ALL) SELECT run, cell, samples, round(samples / max(samples) OVER (PARTITION BY run), 6) AS heat FROM c")
 def profile_heat(spark, d):
-    begin, end = profile.block_range(810, 1 << 60)
+    begin, end = profile.block_range(0, 1 << 60)
     return rounded(profile.heat(profile.in_range(samples(spark, d), begin, end), 20))
 
 
@@ -481,11 +483,10 @@ def kv_merged(spark, d):
     return n.select("n_name", F.array_join(keyvalues.pids(F.col("n_nationkey").cast("long"), F.array(F.col("n_regionkey").cast("long") + 100, F.col("n_nationkey").cast("long"))).cast("array<string>"), ",").alias("pids"), maps["x"].alias("x"))
 
 
-@query("""WITH q AS (SELECT p_partkey, (p_retailprice - 1200) * pow(10, p_partkey % 9) AS v FROM part) SELECT p_partkey, CASE WHEN v >= 1e12 THEN printf('%.2fT', trunc(v / 1e12 * 100) / 100) WHEN v >= 1e9 THEN printf('%.2fG', trunc(v / 1e9 * 100) / 100) WHEN v >= 1e6 THEN printf('%.2fM', trunc(v / 1e6 * 100) / 100) WHEN v >= 1e3 THEN printf('%.2fK', trunc(v / 1e3 * 100) / 100) ELSE printf('%.2f', trunc(v * 100) / 100) END AS text,
-CASE WHEN v > 0 THEN printf('%.2f%% greater than', trunc(abs(v) * 100 * 100) / 100) WHEN v < 0 THEN printf('%.2f%% less than', trunc(abs(v) * 100 * 100) / 100) ELSE 'equal to' END AS percent FROM q WHERE abs(v) < 1e10""")
+@query(f"""WITH q AS (SELECT p_partkey, (p_retailprice - 1200) * pow(10, p_partkey % 9) AS v FROM part) SELECT p_partkey, {number("v")} AS text, {change("v")} AS percent FROM q""")
 def expr_number_text(spark, d):
     v = (F.col("p_retailprice") - 1200) * F.pow(F.lit(10.0), F.col("p_partkey") % 9)
-    return table(spark, d, "part").withColumn("v", v).where("abs(v) < 1e10").select("p_partkey", expr.number_text(F.col("v")).alias("text"), expr.percent_text(F.col("v")).alias("percent"))
+    return table(spark, d, "part").withColumn("v", v).select("p_partkey", expr.number_text(F.col("v")).alias("text"), expr.percent_text(F.col("v")).alias("percent"))
 
 
 @query("SELECT series, (row_number() OVER (ORDER BY n, series) - 1)::INT AS place FROM (SELECT DISTINCT 'CPU' || l_suppkey AS series, l_suppkey AS n FROM lineitem)")
@@ -579,7 +580,7 @@ def source_settings(spark, d):
     return snapshots.settings(raw)
 
 
-@query("SELECT n_name AS run, 'CONFIG_PREEMPT_LAZY' AS key, 'PREEMPT_LAZY Detected' AS rule_name, 0.0::DOUBLE AS score, 'lazy preemption' AS description FROM nation WHERE n_nationkey % 10 >= 7 AND n_regionkey % 2 = 0")
+@query("SELECT n_name AS run, 'CONFIG_PREEMPT_LAZY' AS key, 'PREEMPT_LAZY Detected' AS rule_name, 0.0::DOUBLE AS score, 'Kernel ' || n_nationkey % 10 || '.1.0 in ' || n_name || ' is running with PREEMPT_LAZY preemption model.' AS description, '' AS message FROM nation WHERE n_nationkey % 10 >= 7 AND n_regionkey % 2 = 0")
 def rule_preemption(spark, d):
     n = table(spark, d, "nation")
     row = lambda key, value: n.select(F.col("n_name").alias("run"), F.lit("").alias("grp"), F.lit(key).alias("key"), value.alias("value"))
@@ -587,14 +588,15 @@ def rule_preemption(spark, d):
     return rules.PreemptionRule().findings(kv)
 
 
-MEMORY = ["slabinfo_b", "buddyinfo_order_10", "pageblocks_type_Movable", "buddyinfo_order_2", "pagetype_order_3_type_Movable", "pagetype_order_11_type_Isolate", "pagetype_order_2_type_Movable", "x"]
-
-
-@query(f"SELECT unnest({MEMORY}) AS metric, unnest([7, 2, 6, 1, 5, 3, 4, 8]) AS place")
+@query("""WITH m AS (SELECT DISTINCT CASE l_linenumber % 5 WHEN 0 THEN 'buddyinfo_order_' || l_quantity::INT WHEN 1 THEN 'pagetype_order_' || l_quantity::INT || '_type_' || l_returnflag WHEN 2 THEN 'pageblocks_type_' || l_linestatus || l_quantity::INT WHEN 3 THEN 'slabinfo_' || l_returnflag || l_quantity::INT ELSE 'x' || l_quantity::INT END AS metric FROM lineitem)
+SELECT metric, row_number() OVER (ORDER BY CASE WHEN starts_with(metric, 'buddyinfo') THEN 0 WHEN starts_with(metric, 'pagetype') THEN 1 WHEN starts_with(metric, 'pageblocks') THEN 2 WHEN starts_with(metric, 'slabinfo') THEN 3 ELSE 4 END,
+regexp_extract(metric, '_type_(.+)$', 1), coalesce(try_cast(regexp_extract(metric, '_order_(\\d+)', 1) AS INT), -1), metric)::INT AS place FROM m""")
 def order_of_memory_metrics(spark, d):
     from pyspark.sql.window import Window
 
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, MEMORY))).alias("metric"))
+    q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 5
+    name = F.when(k == 0, F.concat(F.lit("buddyinfo_order_"), q)).when(k == 1, F.concat(F.lit("pagetype_order_"), q, F.lit("_type_"), "l_returnflag")).when(k == 2, F.concat(F.lit("pageblocks_type_"), "l_linestatus", q))
+    rows = table(spark, d, "lineitem").select(name.when(k == 3, F.concat(F.lit("slabinfo_"), "l_returnflag", q)).otherwise(F.concat(F.lit("x"), q)).alias("metric")).distinct()  # names only
     return rows.select("metric", F.row_number().over(Window.orderBy(text.memory_order(F.col("metric")))).alias("place"))
 
 

@@ -79,7 +79,7 @@ def test_squeeze_zeros(spark):
 
 def test_text_numbers(spark):
     row = spark.range(1).select(expr.trunc2(F.lit(-1.239)).alias("t"), expr.percent_text(F.lit(0.5)).alias("p"), expr.number_text(F.lit(2500.0)).alias("n"), expr.natural_key(F.lit("CPU10")).alias("k")).first()
-    assert (row["t"], row["p"], row["n"]) == (-1.23, "50.00% greater than", "2.50K")
+    assert (row["t"], row["p"], row["n"]) == (-1.23, "50% greater than", "2.5K")
     assert row["k"] == ["CPU", "10".zfill(20)]
 
 
