@@ -139,6 +139,18 @@ def self_stats(raw: DataFrame) -> DataFrame:
     return finished(ts.with_aggregate(timed(rows), "sum", "total"))
 
 
+def self_stats_of_log(records: DataFrame) -> DataFrame:
+    """The recorder's own log: ``stats`` by metric and series, or in older ones ``counts`` by ``metric-series``, where print stands for write and a key of one part for both; gauges and their sum as series ``total``."""
+    keys = ("run", "sample_idx", "ts")
+    if "stats" in records.columns:
+        rows = records.select(*keys, F.explode("stats").alias("metric", "m")).select(*keys, "metric", F.explode("m").alias("series", "value"))
+    else:
+        parts = F.split("key", "-")
+        series = F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))
+        rows = records.select(*keys, F.explode("counts").alias("key", "n")).select(*keys, F.get(parts, F.lit(0)).alias("metric"), F.when(series == "print", "write").otherwise(series).alias("series"), F.col("n").cast("double").alias("value"))
+    return finished(ts.with_aggregate(timed(rows), "sum", "total"))
+
+
 #: Sources by name; a source of one's own is one more entry.
 SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "cpu_utilization": cpu_utilization, "vmstat": vmstat, "diskstats": diskstats, "interrupts": interrupts, "meminfo": meminfo, "netstat": netstat, "numastat": numastat, "ena_stat": ena_stat, "efa_stat": efa_stat,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import calendar
 import io
 import json
 import os
 import re
+import struct
 import tarfile
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,6 +102,90 @@ def records(files: DataFrame, name: str) -> DataFrame:
     return files.where(data_file(F.col("file"), name)).select("run", "content").mapInPandas(run, "run string, sample_idx long, ts long, payload string")
 
 
+#: What stands in a record of a source's log behind its kind and time, in order; sources that are not listed have one text.
+SHAPES = {
+    "processes": {"ticks_per_second": "u64", "payload": "text"},
+    "memalloc": {"buddyinfo": "text", "pagetypeinfo": "text", "slabinfo": "text"},
+    "self_stats": {"stats": "stats"},
+    "legacy_self_stats": {"name": "text", "counts": "counts"},
+}
+#: Sources whose records have no number of their kind.
+KINDLESS = ("self_stats", "legacy_self_stats")
+COLUMN = {"u64": "long", "text": "string", "stats": "map<string,map<string,double>>", "counts": "map<string,long>"}
+
+
+class _Cursor:
+    """Reads little-endian fields one after the other; at the end of the bytes it raises EOFError."""
+
+    def __init__(self, content: bytes):
+        self.content, self.at = content, 0
+
+    def take(self, n: int) -> bytes:
+        if n > len(self.content) - self.at:
+            raise EOFError
+        self.at += n
+        return self.content[self.at - n : self.at]
+
+    def number(self, size: int = 8) -> int:
+        return int.from_bytes(self.take(size), "little")
+
+    def text(self) -> str:
+        return self.take(self.number()).decode("utf-8")
+
+    def stats(self) -> dict[str, dict[str, float]]:
+        return {self.text(): {self.text(): struct.unpack("<d", self.take(8))[0] for _ in range(self.number())} for _ in range(self.number())}
+
+    def counts(self) -> dict[str, int]:
+        return {self.text(): self.number() for _ in range(self.number())}
+
+    def time(self) -> int:
+        """Milliseconds since 1970: a kind of 0 stands for the text of a moment, 1 for seconds."""
+        kind = self.number(4)
+        if kind > 1:
+            raise ValueError(f"no kind of time: {kind}")
+        return self.number() * 1000 if kind else _milliseconds(self.text())
+
+
+def _milliseconds(moment: str) -> int:
+    """Of a moment in UTC, with any number of digits behind the seconds."""
+    whole, _, part = moment.rstrip("Z").partition(".")
+    return calendar.timegm(time.strptime(whole, "%Y-%m-%dT%H:%M:%S")) * 1000 + int(part[:3].ljust(3, "0"))
+
+
+def log_records(files: DataFrame, name: str, shape_of: str | None = None, kinds: int = 256) -> DataFrame:
+    """run, sample_idx, ts (milliseconds) and the fields of a source's shape (``payload`` for most), of its logs as the recorder writes them: for each record a 32-bit number of its kind (below
+    ``kinds``; not for KINDLESS sources), the time, and the fields; texts and maps have a 64-bit length before them. ``name`` is that of the files, ``shape_of`` the source's if that differs. Reading stops silently at a record that is cut short or can't be read. One task
+    reads one file, record by record."""
+    source = shape_of or name
+    shape, kindless = SHAPES.get(source, {"payload": "text"}), source in KINDLESS
+    columns = ["run", "sample_idx", "ts", *shape]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name_, content in zip(b["run"], b["content"], strict=True):
+                cursor, k, rows = _Cursor(content), 0, []
+                read = {"u64": cursor.number, "text": cursor.text, "stats": cursor.stats, "counts": cursor.counts}
+                try:
+                    while kindless or cursor.number(4) < kinds:
+                        rows.append((name_, k, cursor.time(), *[read[t]() for t in shape.values()]))
+                        k += 1
+                        if len(rows) == 1000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                except (EOFError, ValueError):
+                    pass
+                yield pd.DataFrame(rows, columns=columns)
+
+    schema = ", ".join(["run string, sample_idx long, ts long", *[f"{c} {COLUMN[t]}" for c, t in shape.items()]])
+    return files.where(data_file(F.col("file"), name)).select("run", "content").mapInPandas(run, schema)
+
+
+def since_first(records_: DataFrame) -> DataFrame:
+    """Records with ``ts`` in whole seconds since the first one of their run, as sources take them."""
+    first = records_.groupBy("run").agg(F.min("ts").alias("_first"))
+    return records_.join(F.broadcast(first), "run").withColumn("ts", F.floor((F.col("ts") - F.col("_first")) / 1000).cast("long")).drop("_first")  # a row for each run
+
+
 def valid_runs(files: DataFrame, names: list[str]) -> DataFrame:
     """run and the number of readable sources; a run without any is left out."""
     hits = [F.bool_or(data_file(F.col("file"), n) & (F.length("content") > 0)).cast("int") for n in names]
