@@ -201,9 +201,13 @@ def _excursions(placed: DataFrame) -> Scan:
 
 
 def _closed(placed: DataFrame) -> DataFrame:
-    """kind, number (from 1), begin, end, peak of the runs of such points that another point closes; ``end`` is that point's time."""
+    return closed_runs(_excursions(placed))
+
+
+def closed_runs(scan: Scan) -> DataFrame:
+    """kind, number (from 1), begin, end, peak of the runs of points with _spike or _drop set (1, else 0) that another point closes; ``end`` is that point's time."""
     kinds = ("spike", "drop")
-    scan = _excursions(placed).neighbours(**{f"_was_{k}": (f"_{k}", -1) for k in kinds})
+    scan = scan.neighbours(**{f"_was_{k}": (f"_{k}", -1) for k in kinds})
     was = {k: F.coalesce(f"_was_{k}", F.lit(0)) for k in kinds}
     scan.running(**{f"_no_{k}": ((F.col(f"_{k}") == 1) & (was[k] == 0)).cast("int") for k in kinds})
     part = lambda k: F.when((F.col(f"_{k}") == 1) | (was[k] == 1), F.struct(F.lit(k).alias("kind"), F.col(f"_no_{k}").alias("number"), (F.col(f"_{k}") == 1).alias("inside")))
