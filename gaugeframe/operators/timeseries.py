@@ -44,7 +44,7 @@ def with_aggregate(points: DataFrame, how: str = "average", name: str | None = N
 
 
 #: Parts of a doubling of values that count as one cell.
-CELLS = 4096
+CELLS = 256
 
 
 def _cell(value: Column) -> Column:
