@@ -2,7 +2,7 @@
 
 A series is cut into blocks of so many snapshots. A block is sorted and scanned by itself; what a scan must know of the blocks before is in one row
 a block (its last row, its sums), and a window over these rows gives each block what it takes over. So a task sorts a block, or one row for each
-block of a series, however long that is. The names of run, metric and series are never null.
+block of a series, however long that is. Rows without a name of run, metric or series, or without a place in the order, are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ class Scan:
     def __init__(self, rows: DataFrame, order: str = "sample_idx", then: tuple[str, ...] = (), by: list[str] | None = None, width: int | None = None):
         self.by, self.order = by or SERIES, (order, *then)
         self.keys = [*self.by, "_block"]
-        self.rows = rows.withColumn("_block", F.floor(F.col(order) / (width or WIDTH)))
+        # nulls go at once: else joins drop them at different places of the branches, and these could not share an exchange
+        self.rows = rows.withColumn("_block", F.floor(F.col(order) / (width or WIDTH))).where(" and ".join(f"`{c}` is not null" for c in self.keys))
 
     @property
     def local(self) -> WindowSpec:
