@@ -16,6 +16,15 @@ KEY_ROWS, MOST_PARTS = 1 << 20, 256
 HOT_PART = 10_000
 
 
+#: Rows that a task sorts or groups, where they are dealt by their number.
+TASK_ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """``rows``, ``n`` of them, in as many tasks as they ask for; Spark's own number of tasks does not grow with the input. A task's worth of rows is left to Spark."""
+    return rows if n <= TASK_ROWS else rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS + 1), *by)
+
+
 def in_parts(rows: DataFrame, by: list[str], order: str, key_rows: int = KEY_ROWS) -> DataFrame:
     """``rows`` with ``_part``: 0, but for keys with more than ``key_rows`` rows (and over a HOT_PART of all), whose rows are cut by quantiles of ``order``. Equal values are in one part, lower values
     in lower parts. The table of bounds is broadcast: HOT_PART keys at most, and as many bounds as their rows fill parts, so 2 x HOT_PART."""
@@ -47,10 +56,11 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], order: str, value: s
     return rows.join(F.broadcast(carry), same, "left").withColumn(name, F.coalesce(name, "_end")).select(*left.columns, name)
 
 
-def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, length: str, width: int | None = None) -> DataFrame:
+def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, length: str, width: int | None = None, once: bool = False) -> DataFrame:
     """Each point with the range of its group that starts last at or before it and holds it. Ranges are cut into cells, so points meet only ranges in
     their own cell. ``width`` of a cell is the mean length of ranges if not given; a range that fills more than MOST_CELLS is cut into cells of
-    a coarser grid, of which each is MOST_CELLS times as wide, and so on. Equal points are looked up once."""
+    a coarser grid, of which each is MOST_CELLS times as wide, and so on. Equal points are looked up once, and are one row if ``once``."""
+    key, count, n = points.columns, [] if once else ["_n"], points.count()
     some = ranges.where(F.col(length) > 0)
     mean, longest = some.agg(F.avg(length), F.max(length)).first()
     width = width or max(1, math.ceil(mean or 1))
@@ -60,12 +70,14 @@ def containing(points: DataFrame, ranges: DataFrame, by: list[str], at: str, sta
     size = F.pow(F.lit(float(MOST_CELLS)), F.col("_level")) * width
     level = sum(((F.col(length) > width * MOST_CELLS ** (k + 1)).cast("int") for k in range(levels)), F.lit(0))
     cells = some.withColumn("_level", level).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(start) + F.col(length) - 1) / size))))
-    key = points.columns
-    rows = points.groupBy(*key).agg(F.count("*").alias("_n")).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_cell", F.floor(F.col(at) / size))
-    hit = rows.join(cells, [*by, "_level", "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length)))
+    rows = points if once else dealt(points, n, key).groupBy(*key).agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_cell", F.floor(F.col(at) / size))
+    cells = cells.hint("merge") if n > TASK_ROWS else cells
+    place = [*by, *(["_level"] if levels else []), "_cell"]  # a level that is 0 throughout would be no key of the join, which then deals once more
+    hit = dealt(rows, n * (levels + 1), place).join(cells, place).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length)))
     more = [c for c in ranges.columns if c not in key]
-    last = hit.groupBy(*key, "_n").agg(F.max_by(F.struct(*more), F.col(start)).alias("_r"))
-    return last.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*key, "_r.*")
+    last = dealt(hit, n, key).groupBy(*key, *count).agg(F.max_by(F.struct(*more), F.col(start)).alias("_r"))
+    return last.select(*key, "_r.*") if once else last.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*key, "_r.*")
 
 
 #: Cells that a range fills at most, but for one.

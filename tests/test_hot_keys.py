@@ -44,3 +44,18 @@ def test_enclosing(spark):
         up = depth - 15 if depth >= 15 else depth + 15
         above = [(y, n) for r, d, y, v, n in frames if r == run and d == up and y <= x and y + v >= x + w]
         assert got[k] == (min(above)[1] if above else "-")
+
+
+@pytest.mark.parametrize("longest", [25, 4000])
+@pytest.mark.parametrize("once", [False, True])
+def test_points_in_ranges_are_dealt_by_their_number(spark, monkeypatch, once, longest):
+    """Beyond a task's worth of rows, the tasks of the join and of the choice after it follow the rows, not Spark's number of partitions."""
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    points = [(k % 3, k * 7 % 500 * 10 + 2, k % 900) for k in range(1000)]
+    ranges = [(k % 3, k * 10, longest if k % 50 == 0 else 25) for k in range(500)]
+    at, of = spark.createDataFrame(points, "grp long, at long, id long"), spark.createDataFrame(ranges, "grp long, start long, len long")
+    found = joins.containing(at, of, ["grp"], "at", "start", "len", 50, once)
+    rows = [(g, a, i, max((s, n) for h, s, n in ranges if h == g and s <= a < s + n)) for g, a, i in (set(points) if once else points) if any(h == g and s <= a < s + n for h, s, n in ranges)]
+    assert sorted((r["grp"], r["at"], r["id"], (r["start"], r["len"])) for r in found.collect()) == sorted(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() == 11 and "hashpartitioning(grp" in plan and ", 3), ENSURE_REQUIREMENTS" not in plan
