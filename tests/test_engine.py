@@ -145,3 +145,20 @@ def test_profiles_of_whole_tables(spark, tmp_path, name):
         assert sum(r[2] for r in got) == 1200
     else:
         assert any(total > own > 0 for _, total, own in got)  # run0 has matches in the middle frame
+
+
+@pytest.mark.parametrize("name", ["profile_collapsed"])
+def test_profiles_count_every_block(spark, tmp_path, name):
+    """Also those of a null key and of keys below 0."""
+    import duckdb
+
+    from gaugeframe.plans import queries, tools  # noqa: F401, it registers its queries
+
+    put = lambda rows, columns, table: spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    put([(0, "AFRICA")], "r_regionkey long, r_name string", "region")
+    put([(0, "BENIN", 0)], "n_nationkey long, n_name string, n_regionkey long", "nation")
+    put([(k, 0, "BUILDING") for k in (None, None, -45, -1, 0, 3, 7, 28, 900)], "c_custkey long, c_nationkey long, c_mktsegment string", "customer")
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))) == sorted(map(repr, con.execute(queries.SQL[name]).fetchall()))
