@@ -147,7 +147,7 @@ def test_profiles_of_whole_tables(spark, tmp_path, name):
         assert any(total > own > 0 for _, total, own in got)  # run0 has matches in the middle frame
 
 
-@pytest.mark.parametrize("name", ["profile_collapsed"])
+@pytest.mark.parametrize("name", ["profile_collapsed", "profile_heat"])
 def test_profiles_count_every_block(spark, tmp_path, name):
     """Also those of a null key and of keys below 0."""
     import duckdb
