@@ -187,13 +187,13 @@ class Shard:
             words = list(_terminals(self.first))
             for x, y in self.rules.tolist():
                 words.append(words[x] + words[y])
-            self.used = None
+            self.used, plain = None, np.arange(self.first, dtype="<u4")
         else:  # terminals that occur, renumbered
             self.used = np.unique(np.concatenate([x[x < self.first] for x in (self.symbols, self.rules.reshape(-1))]))
-            words = [int(k).to_bytes(4, "little") for k in self.used]
+            words, plain = [int(k).to_bytes(4, "little") for k in self.used], self.used.astype("<u4")
             for x, y in zip(self._place(self.rules[:, 0]).tolist(), self._place(self.rules[:, 1]).tolist(), strict=True):
                 words.append(words[x] + words[y])
-        self.words = np.frombuffer(b"".join(words), "<u4")  # what each symbol stands for, one after the other
+        self.words = np.concatenate([plain, np.frombuffer(b"".join(words[len(plain) :]), "<u4")])  # what each symbol stands for, one after the other
         self.width = np.r_[np.ones(len(words) - rules, np.int64), self.expands.astype(np.int64)]
         self.where = np.cumsum(self.width) - self.width
         self.symbols = self._place(self.symbols)

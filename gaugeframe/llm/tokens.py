@@ -8,16 +8,25 @@ that hold a special token go through the whole tokenizer.
 from __future__ import annotations
 
 import os
-from array import array
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
+import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Fixed value: the pattern of the tokenizer's file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+pieces = regex.compile(PATTERN).findall
+#: The same for lower-case ASCII.
+pieces_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+#: A part that stands between words; words with control characters do not go together.
+MARK = "\x01"
+CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]|\xc2[\x80-\x9f]").search
 
 
 def byte_letters() -> dict[int, str]:
@@ -27,17 +36,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Parts(dict):
-    """Ids of pattern matches, made when first asked for."""
+#: Letters of bytes, but for the space between parts.
+LETTERS = {b: x for b, x in byte_letters().items() if b != 0x20}
 
-    def __init__(self, model, vocabulary: int):
-        self.model, self.letters = model, byte_letters()
-        self.raw = [k.to_bytes(4, "little") for k in range(vocabulary)]
 
-    def __missing__(self, part: str) -> bytes:
-        tokens = self.model(part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode())))
-        out = self[part] = b"".join([self.raw[t.id] for t in tokens])
-        return out
+class _Runs:
+    """Ids of entries, numbered in the order in which they were first asked for, one run after the other."""
+
+    def __init__(self):
+        self.number: defaultdict = defaultdict(count().__next__)
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Runs of the entries numbered next."""
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these entries in a row, where each one's begin and where the last one's end)"""
+        size = self.start[at + 1] - self.start[at]
+        stop = np.cumsum(size)
+        return self.ids[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1] if len(at) else 0)], np.r_[0, stop]
 
 
 #: Bytes of text that are encoded at once.
@@ -57,7 +76,7 @@ def in_batches(texts: list[str | None], most: int = AT_ONCE) -> Iterator[slice]:
 
 
 class Encoder:
-    """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of at most ``most`` words and ``most`` parts of words, some
+    """Encodes texts as little-endian unsigned 32-bit ids. Keeps the ids of about ``most`` words and ``most`` parts of words, some
     100 MB, as a worker outlives its task and stays beside those of later stages."""
 
     def __init__(self, path: str = WORD_BPE, most: int = 250_000):
@@ -65,55 +84,75 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.normal = self.tokenizer.normalizer.normalize_str
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(PATTERN).findall
-        self.known: dict[bytes, bytes] = {}
-        self.parts = _Parts(self.tokenizer.model.tokenize, self.tokenizer.get_vocab_size())
-        self.most = most
-        self.apart = self._together([b"Don't-\xc3\x89a9"]) == [self._whole(b"Don't-\xc3\x89a9")]
-
-    def _whole(self, word: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-
-    def _together(self, words: list[bytes]) -> list[bytes] | None:
-        """Ids of words that hold no white space after normalizing; else None. Letters alone, and letters before a full stop or comma, are parts as they
-        stand; the pattern cuts the others."""
-        text = b" ".join(words).decode("utf-8", "replace")
-        split = (text.lower() if text.isascii() else self.normal(text)).split(" ")
-        if len(split) != len(words):
-            return None
-        out, parts, pieces = [], self.parts, self.pieces
-        for x in split:
-            if x.isalpha():
-                out.append(parts[x])
-            elif x[-1:] in (".", ",") and x[:-1].isalpha():
-                out.append(parts[x[:-1]] + parts[x[-1]])
-            else:
-                out.append(b"".join([parts[y] for y in pieces(x)]))
-        return out
+        self.model = Tokenizer(self.tokenizer.model)  # of parts with white space between them
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.parts, self.most = _Runs(), _Runs(), most
+        sample = [b"Don't-\xc3\x89a9", b"b."]
+        self.apart = np.array_equal(self._together(sample)[0], np.concatenate([self._whole(w) for w in sample]))
+
+    def _whole(self, word: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _learn_parts(self, new: list[str]) -> None:
+        for k in range(0, len(new), 4096):
+            text = " ".join(new[k : k + 4096])
+            text = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(LETTERS)
+            some = text.split(" ")
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) != len(some) or stop[-1] != len(ids):
+                each = [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)]
+                ids, stop = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
+            self.parts.add(ids, np.diff(stop, prepend=0))
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words in a row, the number of each one's); the words hold no control characters. A mark stands between words, as a part of its own without ids."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        text = f" {MARK} ".encode().join(words).decode("utf-8", "replace")
+        split = pieces_ascii(text.lower()) if text.isascii() else pieces(self.normal(text))
+        known = len(self.parts.number)
+        at = np.fromiter(map(self.parts.number.__getitem__, split), np.int64, len(split))
+        if len(self.parts.number) > known:
+            self._learn_parts(list(islice(self.parts.number, known, None)))
+        marks = np.flatnonzero(at == self.parts.number[MARK]) if len(words) > 1 else np.zeros(0, np.int64)
+        ids, start = self.parts.of(np.delete(at, marks))
+        return ids, np.diff(start[np.r_[0, marks - np.arange(len(marks)), len(at) - len(marks)]])
 
     def _learn(self, new: list[bytes]) -> None:
-        special = {w for w in new if b"<|" in w and any(s in w for s in self.special)} if self.apart else set(new)
-        for w in special:
-            self.known[w] = self._whole(w)
-        if special:
-            new = [w for w in new if w not in special]
-        for words in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
-            for k in range(0, len(words), 256):
-                part = words[k : k + 256]
-                ids = self._together(part)
-                self.known.update(zip(part, ids if ids is not None else map(self._whole, part), strict=True))
+        """Ids of the words numbered last. Words with special tokens or control characters go through the whole tokenizer, each on its own."""
+        joined = b" ".join(new)
+        odd = not self.apart or CONTROL(joined) or b"<|" in joined
+        kind = np.where(np.fromiter(map(bytes.isascii, new), bool, len(new)), 0, 1).astype(np.int8)
+        if odd:
+            kind[[not self.apart or CONTROL(w) is not None or any(s in w for s in self.special) for w in new]] = 2
+        order = np.argsort(kind, kind="stable")
+        words = list(map(new.__getitem__, order.tolist()))
+        cut, wholes = np.searchsorted(kind[order], [1, 2]).tolist()
+        whole = [self._whole(w) for w in words[wholes:]]
+        found = [self._together(words[:cut]), self._together(words[cut:wholes]), (np.concatenate([*whole, np.zeros(0, np.uint32)]), np.array([len(x) for x in whole], np.int64))]
+        runs = _Runs()
+        for ids, sizes in found:
+            runs.add(ids, sizes)
+        ids, start = runs.of(np.argsort(order, kind="stable"))
+        self.words.add(ids, np.diff(start))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
+        if len(self.words.number) > self.most:
+            self.words = _Runs()
+        if len(self.parts.number) > self.most:
+            self.parts = _Runs()
         splits = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts]
-        new = set().union(*splits) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, split)) for split in splits]
+        known, sizes = len(self.words.number), np.array([len(x) for x in splits], np.int64)
+        at = np.fromiter(map(self.words.number.__getitem__, chain.from_iterable(splits)), np.int64, int(sizes.sum()))
+        if len(self.words.number) > known:
+            self._learn(list(islice(self.words.number, known, None)))
+        ids, start = self.words.of(at)
+        raw, stop = ids.tobytes(), (4 * start[np.r_[0, np.cumsum(sizes)]]).tolist()
+        return [raw[x:y] for x, y in zip(stop, stop[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -253,3 +253,22 @@ def test_favourite_followers_are_of_all_pairs(spark, pair_bytes):
             names = {of[y][1] for (d, x, y), n in count.items() if d == k and x == w and n == most}
             assert got[h][f"v{k}"] == most and (most == 0 or got[h][f"f{k}"] in names)
     assert got[of[b"a"][0]]["f1"] == of[b"c"][1] and got[of[b"a"][0]]["v1"] == 20
+
+
+def test_new_words_are_encoded_together():
+    """As the tokenizer does it, odd words included, with few calls of the model for many words."""
+    import random
+
+    import numpy as np
+
+    from gaugeframe.llm.tokens import Encoder
+
+    gen, e = random.Random(1), Encoder()
+    pool = ["a", "B", "É", "e\u0301", "ß", "Σ", "İ", "'s", "'", "9", "٣", ".", ",", "<|endoftext|>", "<|", "\x01", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "漢", "</w>", "\x7f", "\x00", "\t", " ", "\n"]
+    texts = [None, "", "  ", *["".join(gen.choices(pool, k=gen.randint(1, 30))) for _ in range(500)]]
+    want = [np.array(e.tokenizer.encode(x or "", add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
+    assert [ids for k in range(0, len(texts), 50) for ids in e.encode(texts[k : k + 50])] == want
+    calls, model = [], e.model
+    e.model = type("Counted", (), {"encode_batch_fast": lambda self, x, **more: calls.append(1) or model.encode_batch_fast(x, **more)})()
+    text = " ".join("".join(gen.choices("abcdefgh", k=9)) for _ in range(8000))
+    assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()] and len(calls) == 2
