@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = texts.join(wanted, texts["text_hash"].eqNullSafe(wanted["hash"]) & texts["doc_id"].eqNullSafe(wanted["id"]))
     links = confirmed(members.select("root", "p", "q", "own", "cid", "text"), width, percent)
     comps = components(links).withColumnRenamed("node", "cid")
-    named = classes.select("cid", "row").join(comps, "cid")
+    named = materialize(classes.select("cid", "row").join(comps, "cid"))
     moved = named.drop("row").join(named.groupBy("root").agg(F.min("row").alias("low")), "root")
     label = classes.select("cid", F.col("row").alias("own")).join(moved, "cid", "left").select("cid", F.coalesce("low", "own").alias("keeper"), F.coalesce("root", "cid").alias("component"))
     out = prints.select("doc_id", "text_hash", "n_shingles", "cid").join(label, "cid", "left")

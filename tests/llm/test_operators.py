@@ -272,3 +272,21 @@ def test_new_words_are_encoded_together():
     e.model = type("Counted", (), {"encode_batch_fast": lambda self, x, **more: calls.append(1) or model.encode_batch_fast(x, **more)})()
     text = " ".join("".join(gen.choices("abcdefgh", k=9)) for _ in range(8000))
     assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()] and len(calls) == 2
+
+
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """Right components of chains, a hub and single links, by rounds whose plans name the links and the large star twice at most."""
+    from gaugeframe.llm import common
+
+    own, plans, whole = np.random.default_rng(4), [], common.materialize
+    links = [(k, k + 1) for k in range(30)] + [(100, 101 + k) for k in range(40)] + [tuple(own.choice(200, 2) + 200) for _ in range(120)] + [(7, 7)]
+    rows = [(f"{a:03d}".encode(), f"{b:03d}".encode()) for a, b in links]
+    monkeypatch.setattr(common, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    got = {bytes(r["node"]).decode(): bytes(r["root"]).decode() for r in common.components(spark.createDataFrame([*rows, (None, b"000")], "a binary, b binary")).collect()}
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == {f"{x:03d}": f"{y:03d}" for x, y in root.items()}
+    assert len(plans) > 3 and max(p.count("Aggregate") for p in plans) <= 6
