@@ -133,3 +133,17 @@ def test_late_rows_do_not_turn_time_back(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["time_diff"], r["value"]) for r in spark.table("late_rates").collect()) == [(0, 0.0), (10, 10.0), (20, 20.0)]
+
+
+def test_round_trip_keeps_events_of_one_second_by_id(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from gaugeframe.plans import queries, tools  # noqa: F401
+
+    start = datetime(2024, 1, 1)
+    rows = [(n, start + timedelta(seconds=n // 50, milliseconds=n % 5), 1, "view", float(n * 7919 % 200)) for n in range(200)]
+    for turn in (1, -1):  # however they lie in the table
+        at = str(tmp_path / str(turn))
+        spark.createDataFrame(rows[::turn], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{at}/events.parquet")
+        got = queries.QUERIES["report_round_trip"](spark, at).orderBy("sample_idx").select("sample_idx", "time_diff", "value").collect()
+        assert [tuple(r) for r in got] == [(n, n // 50, float(n * 7919 % 200)) for n in range(200)]
