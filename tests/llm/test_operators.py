@@ -274,6 +274,32 @@ def test_new_words_are_encoded_together():
     assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()] and len(calls) == 2
 
 
+def test_known_words_are_kept_and_told_apart():
+    """Words of all lengths that differ in one byte; some times ``most`` words stay known, and a table that grows finds all."""
+    import random
+
+    from gaugeframe.llm import tokens
+
+    gen, e = random.Random(2), tokens.Encoder(most=1000)
+    words = ["".join(gen.choices("abcdefgh", k=9)) for _ in range(3000)]
+    again = [" ".join(words[k : k + 100]) for k in range(0, 3000, 100)]
+    want = [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in again]
+    assert e.encode(again) == want
+    calls, model = [], e.model
+    e.model = type("Counted", (), {"encode_batch_fast": lambda self, x, **more: calls.append(1) or model.encode_batch_fast(x, **more)})()
+    assert e.encode(again) == want and not calls
+    odd = ["x" * n for n in range(1, 300)] + ["x" * k + "é" + "x" * (n - k) for n in (1, 7, 8, 16, 255, 257, 300) for k in range(n + 1)]
+    raw = np.frombuffer((" " + " \t\r".join(odd) + " " * 9).encode(), np.uint8)
+    begin, size = tokens.words_of(raw)
+    h = tokens.word_hashes(raw, begin, size)
+    assert [raw[b : b + n].tobytes().decode() for b, n in zip(begin.tolist(), size.tolist(), strict=True)] == odd and len(set(h.tolist())) == len(odd)
+    assert tokens.word_hashes(raw[begin[250] - 1 :], *tokens.words_of(raw[begin[250] - 1 :])).tolist() == h[250:].tolist()  # wherever they stand
+    found = tokens.Numbers(bits=4)
+    for k in range(0, len(h), 50):
+        found.add(h[k : k + 50])
+    assert found.find(h).tolist() == list(range(len(h))) and (found.find(h + np.uint64(1)) == -1).all()
+
+
 def test_rounds_of_components_have_small_plans(spark, monkeypatch):
     """Right components of chains, a hub and single links, by rounds whose plans name the links and the large star twice at most."""
     from gaugeframe.llm import common
