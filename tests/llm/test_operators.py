@@ -274,6 +274,18 @@ def test_new_words_are_encoded_together():
     assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()] and len(calls) == 2
 
 
+def test_each_block_is_scored_in_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeframe.llm import mixing_model
+    from gaugeframe.llm.common import with_block
+
+    docs = spark.createDataFrame([(k, f"some words of text {k} and {k % 7}") for k in range(60)], "doc_id long, text string")
+    block = {r["doc_id"]: r["block"] for r in with_block(docs, 200).collect()}
+    got = mixing_model.scores(docs, block_bytes=200).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 60 and len(set(block.values())) > 5 and {r["doc_id"]: r["task"] for r in got} == block
+
+
 def test_known_words_are_kept_and_told_apart():
     """Words of all lengths that differ in one byte; some times ``most`` words stay known, and a table that grows finds all."""
     import random
