@@ -43,90 +43,126 @@ SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, blob binary"
 
 
 CELLS = 1 << 17
+#: Cells of places where no pair begins: behind an end, and those whose pair comes too rarely.
+BEHIND, RARE = CELLS, CELLS + 1
 
 
 def _cells(a: np.ndarray, at: np.ndarray | slice, end: int) -> np.ndarray:
-    """Hashed cells of the pairs at some places; CELLS behind an end, where no pair begins."""
+    """Hashed cells of the pairs at some places; BEHIND an end no pair begins."""
     left = a[:-1][at]
     cell = ((left * np.uint32(0x9E3779B1) ^ (a[1:][at] * np.uint32(0x9E3779B1) >> np.uint32(7))) * np.uint32(0x85EBCA77) >> np.uint32(15)).astype(np.int64)
-    cell[left == end] = CELLS
+    cell[left == end] = BEHIND
     return cell
 
 
-def _frequent(a: np.ndarray, cell: np.ndarray, bound: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(a: np.ndarray, n: int, cell: np.ndarray, bound: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, pairs' ranks): where the pairs at least a ``1 / SHARE`` as frequent as the most frequent one stand; rank 0 is the most frequent.
 
-    Pairs are counted exactly, but only where hashed cells, whose counts (``bound``, without ``off``) bound theirs from above, leave a chance. Of two
-    such pairs in one cell the less frequent one waits for another round. Places in ``off`` do not count.
+    Pairs are counted exactly, but only where hashed cells, whose counts (``bound``) bound theirs from above, leave a chance. Of a run of equal symbols
+    every other pair counts. A pair's newest symbol came into being in one round, so a pair never comes more often than now: one found too rare is RARE for good.
     """
     need = max(least, int(bound.max()) // SHARE)
+    bits, low = n.bit_length(), len(a).bit_length()
     while True:
-        some = (bound >= need).take(cell, mode="clip")
-        some[off] = False
-        at = np.flatnonzero(some)
-        key = np.sort(a[at].astype(np.uint64) << np.uint64(32) | a[at + 1].astype(np.uint64))
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[head, len(key)])
-        top = int(count.max()) if len(count) else 0
+        at = np.flatnonzero((bound >= need).take(cell, mode="clip"))
+        left, right = a.take(at), a.take(at + 1)
+        twin = np.flatnonzero(left == right)
+        if len(twin) > 1:
+            begin = np.flatnonzero(np.diff(at[twin], prepend=-2) != 1)
+            twin = twin[(np.arange(len(twin)) - np.repeat(begin, np.diff(begin, append=len(twin)))) % 2 == 1]
+            at, left, right = np.delete(at, twin), np.delete(left, twin), np.delete(right, twin)
+        key = left.astype(np.int64)
+        if 2 * bits + low < 64:
+            key <<= bits
+            key |= right
+        else:
+            key = np.unique(key << 32 | right, return_inverse=True)[1]
+        key <<= low
+        key |= at
+        key.sort()
+        pair = key >> low
+        head = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+        count = np.diff(head, prepend=0, append=len(key)) if len(key) else head
+        top = int(count.max(initial=0))
         if top >= need or need == least:
             break
         need = max(least, top)
+    at = key & ((1 << low) - 1)
+    rare = at[np.repeat(count < least, count)]
+    rare = rare[a.take(rare) != a.take(rare + 1)]  # a run of equal symbols may count otherwise later on
+    np.subtract.at(bound, cell[rare], 1)
+    cell[rare] = RARE
+    if need == least:
+        less = bound < least
+        less[BEHIND:] = False
+        cell[less.take(cell, mode="clip")] = RARE
     pick = np.flatnonzero(count >= max(need, -(-top // SHARE)))
     pick = pick[np.argsort(-count[pick], kind="stable")]
-    pair = key[head[pick]]
-    left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
-    rank_of = np.full(CELLS + 1, -1, np.int32)
-    of = _cells(np.stack([left, right], axis=1).reshape(-1), slice(None, None, 2), -1)
-    rank_of[of[::-1]] = np.arange(len(pick))[::-1]
-    rank = rank_of.take(cell.take(at, mode="clip"), mode="clip")
-    hit = np.flatnonzero(rank >= 0)
-    at, rank = at.take(hit), rank.take(hit).astype(np.int64)
-    hit = np.flatnonzero((a.take(at) == left.take(rank)) & (a.take(at + 1) == right.take(rank)))
-    return at.take(hit), rank.take(hit)
+    begin, size = (np.cumsum(count) - count)[pick], count[pick]
+    rank = np.repeat(np.arange(len(pick)), size)
+    key = at.take(np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(rank))) << 32 | rank
+    key.sort()
+    return key >> 32, key & 0xFFFFFFFF
 
 
 def replace_pairs(ids: np.ndarray, end: int = END, least: int = LEAST, first: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first nonterminal): pairs replaced, the most frequent first, until none comes ``least`` times; no rule goes on behind an end."""
+    """(symbols, rules, first nonterminal): pairs replaced, the most frequent first, until none comes ``least`` times; no rule goes on behind an end.
+
+    Symbols between rare pairs alone are set aside once they are most of the sequence: a new pair with one of them would be as rare.
+    """
     first = int(ids.max(initial=end)) + 1 if first is None else first
     if len(ids) and int(ids.max()) >= first:
         raise ValueError(f"ids must be below {first}")
     a, rules, n = ids.astype(np.uint32), [], first
     cell = _cells(a, slice(None), end)
-    bound = np.bincount(cell, minlength=CELLS + 1)
+    bound = np.bincount(cell, minlength=CELLS + 2)
+    aside: list[tuple[np.ndarray, ...]] = []  # sequences, the places of what went on, and where they stood themselves
+    place = np.zeros(0, np.int64)
     spare, spare_cell = np.empty_like(a), np.empty_like(cell)  # what stays is copied from one to the other
     while len(a) > 1:
-        twin = np.flatnonzero(a[:-1] == a[1:])  # of a run of equal symbols every other pair counts
-        begin = np.flatnonzero(np.diff(twin, prepend=-2) != 1)
-        off = twin[(np.arange(len(twin)) - np.repeat(begin, np.diff(np.r_[begin, len(twin)]))) % 2 == 1]
-        np.subtract.at(bound, cell[off], 1)
-        bound[CELLS] = 0
-        at, rank = _frequent(a, cell, bound, off, least)
-        np.add.at(bound, cell[off], 1)
+        bound[CELLS:] = 0
+        at, rank = _frequent(a, n, cell, bound, least)
         if not len(at):
             break
-        last, after = np.diff(at, prepend=-2) == 1, np.diff(at, append=len(a) + 1) == 1
-        best = ~(last & (np.r_[0, rank[:-1]] < rank)) & ~(after & (np.r_[rank[1:], 0] < rank))
-        at, rank = at[best], rank[best]
-        good = np.bincount(rank) >= least
-        number = np.cumsum(good) - 1
-        at, rank = at[good[rank]], rank[good[rank]]  # never empty: the first keeps all its places
-        one = np.zeros(len(number), np.int64)
-        one[rank[::-1]] = at[::-1]  # the first place of each pair
-        one = one[good]
+        over = np.flatnonzero(at[1:] - at[:-1] == 1)
+        best = np.ones(len(at), bool)
+        best[over + (rank[over] < rank[over + 1])] = False
+        good = np.bincount(rank[best]) >= least
+        best &= good.take(rank, mode="clip")
+        at, rank = at[best], (np.cumsum(good) - 1).take(rank[best])  # never empty: the first keeps all its places
+        one = np.zeros(np.count_nonzero(good), np.int64)
+        one[rank] = at  # a place of each pair
         rules.append(np.stack([a[one], a[one + 1]], axis=1))
         apart = (np.diff(at, prepend=-3) != 2) & (at > 0)  # no other pair ends just before
-        np.subtract.at(bound, cell[np.concatenate([at, at[at < len(cell) - 1] + 1, at[apart] - 1])], 1)
-        a[at] = (n + number[rank]).astype(np.uint32)
-        keep = np.ones(len(a), bool)
-        keep[at + 1] = False
-        stay = np.flatnonzero(keep)
+        right, left = cell.take(at + 1, mode="clip"), cell.take(at - 1, mode="clip")
+        inside = at + 1 < len(cell)
+        np.subtract.at(bound, np.concatenate([cell[at], right[inside], left[apart]]), 1)
+        a[at] = n + rank
+        now = at - np.arange(len(at))  # where the new symbols will be
+        stay = np.ones(len(a) - len(at), np.int64)
+        stay[0], stay[now[now < len(stay) - 1] + 1] = 0, 2
+        np.cumsum(stay, out=stay)
         a, spare = a.take(stay, out=spare[: len(stay)], mode="clip"), a
         cell, spare_cell = cell.take(stay[:-1], out=spare_cell[: len(stay) - 1], mode="clip"), cell
-        now = at - np.arange(len(at))  # where the new symbols are
-        near = np.concatenate([now[now < len(cell)], now[apart] - 1])
+        cell[now[inside]] = RARE
+        near = np.concatenate([now[inside & (right != RARE)], now[apart & (left != RARE)] - 1])
         cell[near] = _cells(a, near, end)
         np.add.at(bound, cell[near], 1)
-        n += int(good.sum())
+        n += len(one)
+        if aside:
+            place = place.take(stay)
+        if 2 * np.count_nonzero(some := cell != RARE) < len(a):
+            some = np.flatnonzero(np.r_[some, False] | np.r_[False, some])
+            aside.append((a, some, place))
+            a, cell, place = a.take(some), cell.take(some[:-1]), np.arange(len(some))
+            spare, spare_cell = np.empty_like(a), np.empty_like(cell)
+    while aside:
+        whole, some, before = aside.pop()
+        keep = np.ones(len(whole), bool)
+        keep[some] = False
+        keep[some[place]] = True
+        whole[some[place]] = a
+        a, place = whole[keep], before[keep] if aside else before
     return a, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
@@ -208,7 +244,8 @@ class Shard:
         width = self.width[symbols]
         stop = np.cumsum(width)
         shift = np.repeat(self.where[symbols] - stop + width, width)
-        return self.words[shift + np.arange(len(shift))].tobytes()
+        shift += np.arange(len(shift))
+        return self.words.take(shift, mode="clip").tobytes()
 
     def decode(self) -> bytes:
         return self._expand(self.symbols)

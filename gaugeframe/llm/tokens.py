@@ -186,7 +186,8 @@ class Encoder:
             text = " ".join(new[k : k + 4096])
             text = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(LETTERS)
             some = text.split(" ")
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            short = [" ".join(some[j : j + 256]) for j in range(0, len(some), 256)]  # takes less time than one long text
+            ids = np.array([i for x in self.model.encode_batch_fast(short, add_special_tokens=False) for i in x.ids], np.uint32)
             stop = np.flatnonzero(self.last[ids]) + 1
             if len(stop) != len(some) or stop[-1] != len(ids):
                 each = [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)]
@@ -200,7 +201,7 @@ class Encoder:
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         text = b" ".join(words).decode("utf-8", "replace")
-        plain = not BEYOND_LATIN(text) and "\xa0" not in text
+        plain = text.isascii() or not BEYOND_LATIN(text) and "\xa0" not in text
         if plain:
             text = text.lower()
             split = pieces_ascii(text) if text.isascii() else pieces_latin(text)
@@ -224,7 +225,7 @@ class Encoder:
         joined = b" ".join(new)
         odd = not self.apart or CONTROL(joined) or b"<|" in joined
         kind = np.where(np.fromiter(map(bytes.isascii, new), bool, len(new)), 0, 1).astype(np.int8)
-        if BEYOND_LATIN(text := joined.decode("utf-8", "replace")) or "\xa0" in text:
+        if not joined.isascii() and (BEYOND_LATIN(text := joined.decode("utf-8", "replace")) or "\xa0" in text):
             kind[[not w.isascii() and (BEYOND_LATIN(x := w.decode("utf-8", "replace")) is not None or "\xa0" in x) for w in new]] = 2
         if odd:
             kind[[not self.apart or CONTROL(w) is not None or any(s in w for s in self.special) for w in new]] = 3

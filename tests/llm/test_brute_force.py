@@ -214,6 +214,18 @@ def test_re_pair_goes_on_until_no_pair_pays():
     assert (repair.sizes(rules, first) >= 2).all() and not (rules[:, 0] == 2).any()
 
 
+def test_re_pair_leaves_rare_symbols_aside(monkeypatch):
+    """Later rounds look at what may still be replaced alone; what is set aside comes back in its place."""
+    own, lengths, frequent = np.random.default_rng(5), [], repair._frequent
+    monkeypatch.setattr(repair, "_frequent", lambda a, *more: lengths.append(len(a)) or frequent(a, *more))
+    ids = np.where(own.random(60000) < 0.3, own.zipf(1.5, 60000) % 50, own.integers(0, 40000, 60000)).astype("<u4") + 3
+    ids[own.integers(0, 60000, 600)] = 2
+    for some in (ids, np.repeat(ids[:5000], own.integers(1, 9, 5000))):
+        lengths.clear()
+        shard = repair.Shard(repair.to_blob([1], [len(some)], some.tobytes()))
+        assert shard.decode() == some.tobytes() and lengths[-1] < 0.6 * len(shard.symbols)
+
+
 def test_buckets(spark, docs, tmp_path):
     packed = packing.pack(docs)
     packing.write_buckets(packed, str(tmp_path / "b"), 4096)
