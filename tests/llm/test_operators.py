@@ -328,3 +328,14 @@ def test_rounds_of_components_have_small_plans(spark, monkeypatch):
                 root[a] = root[b] = min(root[a], root[b])
     assert got == {f"{x:03d}": f"{y:03d}" for x, y in root.items()}
     assert len(plans) > 3 and max(p.count("Aggregate") for p in plans) <= 6
+
+
+@pytest.mark.parametrize("pack_bytes", [1, 1 << 20])
+def test_rows_are_sent_compressed(spark, pack_bytes):
+    """All rows of a block come back as they were, nulls and repeated rows too, in less than half their bytes where they are alike."""
+    rows = [(None if k % 7 == 0 else (1 << 60) + k, "" if k % 5 == 0 else f"some words of text é {k % 50} " * 20, None if k % 3 == 0 else k % 2 == 0, k % 4) for k in range(400)] * 2
+    got = mixing_model._packed(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, block int").coalesce(1), pack_bytes).toPandas()
+    back = [(None if d is None else int(d), t, h, b) for b, parts in got.groupby("block") for d, t, h in mixing_model._unpacked(parts).itertuples(index=False)]
+    assert sorted(map(repr, back)) == sorted(map(repr, rows))
+    assert pack_bytes == 1 or got["part"].map(len).sum() < sum(len(r[1]) for r in rows) / 2
+    assert not len(mixing_model._unpacked(got[:0]))
