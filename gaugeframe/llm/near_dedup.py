@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import components, forest, hashes, lowered, materialize, mixed, rolled
+from gaugeframe.llm.common import components, forest, hashes, lowered, materialize, mixed, released, rolled
 
 MINIMA, BITS, ROWS = 128, 2, 4
 MISS = 1e-6
 BUCKET_BLOCK, FAMILY_BLOCK = 1024, 384
+#: Texts whose sets a task holds at once.
+AT_ONCE = 1000
 
 
 def bands_for(threshold: float) -> int:
@@ -94,7 +96,7 @@ def fingerprints(docs: DataFrame, width: int, bands: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, cid (class of equal sets, null for an empty one), sig, bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b.iloc[k : k + AT_ONCE] for b in released(batches) for k in range(0, len(b), AT_ONCE)):
             sets = [shingles(t, width) for t in b["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
             cid, sig, key = [None] * len(b), [None] * len(b), [None] * len(b)
@@ -190,7 +192,7 @@ def confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the true links between the members (root, cid, text) of each family."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in grouped(batches, ["root", "p", "q"]):
+        for b in grouped(released(batches), ["root", "p", "q"]):
             for (_, p, q), g in b.groupby(["root", "p", "q"], sort=False):
                 g = g.drop_duplicates("cid")
                 cids, own = g["cid"].tolist(), g["own"].to_numpy()

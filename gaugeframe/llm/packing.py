@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.common import released
 from gaugeframe.llm.tokens import WORD_BPE, encoder, in_batches
 
 END = 2
@@ -42,7 +43,7 @@ def pack(docs: DataFrame, path: str = WORD_BPE, window: int = 4096, end: int = E
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sequence = TaskContext.get().partitionId() << 33
         encode = encoder(path).encode
-        for b in batches:
+        for b in released(batches):
             for at in in_batches(b["text"].tolist()):
                 part, rows = b.iloc[at], []
                 for doc_id, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import hashes, if_few, materialize, mixed, rolled
+from gaugeframe.llm.common import hashes, if_few, materialize, mixed, released, rolled
 
 OWN = 0.7
 BELOW, ABOVE = 6.0, 5.0
@@ -65,7 +65,7 @@ def counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
-        for b in batches:
+        for b in released(batches):
             for k in range(0, len(b), 2000):
                 for lang, texts in b.iloc[k : k + 2000].groupby("lang")["text"]:
                     count: Counter[bytes] = Counter()
@@ -219,7 +219,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _in_parts(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    return lambda batches: (run(b.iloc[k : k + 500]) for b in batches for k in range(0, len(b), 500))
+    return lambda batches: (run(b.iloc[k : k + 500]) for b in released(batches) for k in range(0, len(b), 500))
 
 
 def measured(docs: DataFrame, ship_bytes: int = SHIP_BYTES) -> DataFrame:

@@ -144,7 +144,7 @@ class _Runs:
 
 
 #: Bytes of text that are encoded at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 
 def in_batches(texts: list[str | None], most: int = AT_ONCE) -> Iterator[slice]:
